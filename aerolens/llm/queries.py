@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import mixing, packing, token_files
+from . import fingerprints, mixing, packing, secrets, token_files
 
-_MODULES = (packing, token_files, mixing)
+_MODULES = (fingerprints, secrets, packing, token_files, mixing)
 
 
 def queries() -> dict:
