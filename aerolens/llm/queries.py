@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import fingerprints, mixing, packing, secrets, token_files
+from . import fingerprints, html_text, jaccard, language, mixing, packing, secrets, substrings, token_files
 
-_MODULES = (fingerprints, secrets, packing, token_files, mixing)
+_MODULES = (fingerprints, secrets, packing, language, jaccard, substrings, token_files, mixing, html_text)
 
 
 def queries() -> dict:
