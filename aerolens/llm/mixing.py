@@ -83,6 +83,15 @@ def mix(docs: DataFrame, quality: DataFrame | None = None, seed: int = 0, share:
     return rows.join(plan, ["key_", "bucket_"]).withColumn("taken", (F.col("size") * (F.col("epochs_") + picked)).cast("long")).select("doc_id", "source", "size", "source_size", "target", "taken", F.col("hash_").alias("row_"))
 
 
+def mix_documents(docs: DataFrame, quality: DataFrame | None = None, seed: int = 0) -> DataFrame:
+    """docs, all columns, each row as often as the mix takes it. Rows of equal id and text are taken alike."""
+    taken = mix(docs, quality, seed).where("taken > 0").groupBy("doc_id", "row_").agg(F.max((F.col("taken") / F.col("size")).cast("int")).alias("times_"))
+    taken = taken.select(F.col("doc_id").alias("id_"), "row_", "times_")
+    rows = docs.withColumn("hash_", F.xxhash64("text"))
+    picked = rows.join(taken, F.col("doc_id").eqNullSafe(F.col("id_")) & (F.col("hash_") == F.col("row_")))
+    return picked.withColumn("copy_", F.explode(F.sequence(F.lit(1), F.col("times_")))).select(*docs.columns)
+
+
 def label_weights(labels: DataFrame) -> DataFrame:
     """Quality weights from labels: 2 for good, 0.5 for poor."""
     return labels.where("quality is not null").select("doc_id", F.when(F.col("quality") > 0, 2.0).otherwise(0.5).alias("weight"))
