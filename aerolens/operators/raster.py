@@ -116,7 +116,7 @@ def cast_rays(rays: DataFrame, terrain: Terrain, key: str, cell: float = 1.0, fo
 
 def cast_relational(rays: DataFrame, grid: DataFrame, key: str, cell: float = 1.0) -> DataFrame:
     """(key, step) of the same march with joins only, for grids of any size."""
-    d = F.explode(F.sequence(F.lit(1), F.lit(int(MOST / STEP)))) * F.lit(STEP)
+    d = F.explode(F.transform(F.sequence(F.lit(1), F.lit(int(MOST / STEP))), lambda i: i * F.lit(STEP)))
     s = rays.withColumn("d", d).withColumn("px", F.col("x") + F.col("e") * F.col("d") / cell).withColumn("py", F.col("y") + F.col("n") * F.col("d") / cell)
     s = s.select(F.struct(key, "d").alias("s_"), F.col("px").alias("x"), F.col("py").alias("y"), (F.col("alt") + F.col("u") * F.col("d")).alias("h"))
     g = bilinear_join(s, grid, "s_").select(F.col(f"s_.{key}").alias(key), "s_.d", (F.col("h") - F.col("z")).alias("gap"))

@@ -59,7 +59,7 @@ def build_tracks(samples: DataFrame, reach: float = REACH, misses: int = MISSES)
     A video is one ordered pass, so it is one group; different videos run side by side.
     """
 
-    def run(key, p: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, p: pd.DataFrame) -> pd.DataFrame:
         k, done = Tracker(reach, misses), []
         for r in p.sort_values("t").itertuples():
             found = sorted(((b["x"], b["y"], b["w"], b["h"], b["score"]) for b in (r.blobs if r.blobs is not None else [])), key=lambda b: (-b[4], b[1], b[0]))

@@ -14,7 +14,7 @@ DECIMALS = {"time_s": 2, "lat": 7, "lon": 7}
 
 def telemetry_text(columns: list[str]) -> list[Column]:
     """Columns as text: seven decimals for places, two for times, else one; empty for null."""
-    return [F.coalesce(F.format_string(f"%.{DECIMALS.get(c, 1)}f", F.col(c)), F.lit("")).alias(c) for c in columns]
+    return [F.when(F.col(c).isNull(), "").otherwise(F.format_string(f"%.{DECIMALS.get(c, 1)}f", F.col(c))).alias(c) for c in columns]
 
 
 def write_tsv(df: DataFrame, path: str, mode: str = "overwrite", partition: str | None = None, header: bool = True) -> None:
