@@ -105,7 +105,7 @@ def _ranges(docs: DataFrame) -> tuple[Column, int]:
         m = (i + j) // 2
         return F.when(F.col("doc_id") <= ends[m - 1], pick(i, m)).otherwise(pick(m, j))
 
-    return F.coalesce(pick(0, len(ends)), F.lit(0)).cast("int"), len(ends) * each
+    return F.when(F.col("doc_id").isNull(), 0).otherwise(pick(0, len(ends))).cast("int"), len(ends) * each
 
 
 def with_next(docs: DataFrame) -> DataFrame:

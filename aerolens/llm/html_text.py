@@ -200,17 +200,20 @@ def measure(root: Node) -> list[Node]:
 def main_node(nodes: list[Node]) -> tuple[Node, float]:
     """The element that holds the article, and the threshold.
 
-    Of the containers, the one with the largest sum; ties go to the first on the page. Its article or main
-    element stands for it, if it is inside one.
+    Of the containers, the one with the largest sum; ties go to the first on the page. Where the page names an
+    article with text, or else a main part, only those and what is in them are candidates, and the outermost stands
+    for what is inside it.
     """
-    root = nodes[0]
-    order = sorted((n for n in nodes if n.tag in CONTAINERS), key=lambda n: -n.total)
-    best = order[0]
-    if best.total <= 0:
-        return root, 0.0
-    outer = _inside(best, ("article", "main"))
-    while outer is not None:
-        best, outer = outer, _inside(outer.parent, ("article", "main"))
+    best, names = nodes[0], ("html",)
+    for names in (("article",), ("main",), ("html",)):
+        own = [n for n in nodes if n.chars and n.tag in CONTAINERS and _inside(n, names)]
+        if own:
+            best = max(own, key=lambda n: (n.total, n.chars))
+            break
+    if names != ("html",):
+        outer = _inside(best, names)
+        while outer is not None:
+            best, outer = outer, _inside(outer.parent, names)
     threshold, n = best.density, best
     while n is not None:
         threshold, n = min(threshold, n.density), n.parent

@@ -87,9 +87,9 @@ def mix_documents(docs: DataFrame, quality: DataFrame | None = None, seed: int =
     """docs, all columns, each row as often as the mix takes it. Rows of equal id and text are taken alike."""
     taken = mix(docs, quality, seed).where("taken > 0").groupBy("doc_id", "row_").agg(F.max((F.col("taken") / F.col("size")).cast("int")).alias("times_"))
     taken = taken.select(F.col("doc_id").alias("id_"), "row_", "times_")
-    rows = docs.withColumn("hash_", F.xxhash64("text"))
-    picked = rows.join(taken, F.col("doc_id").eqNullSafe(F.col("id_")) & (F.col("hash_") == F.col("row_")))
-    return picked.withColumn("copy_", F.explode(F.sequence(F.lit(1), F.col("times_")))).select(*docs.columns)
+    rows = docs.select(F.struct(*docs.columns).alias("d_"), F.xxhash64("text").alias("hash_"))  # names of docs can't clash
+    picked = rows.join(taken, F.col("d_.doc_id").eqNullSafe(F.col("id_")) & (F.col("hash_") == F.col("row_")))
+    return picked.select("d_", F.explode(F.sequence(F.lit(1), F.col("times_"))).alias("copy_")).select("d_.*")
 
 
 def label_weights(labels: DataFrame) -> DataFrame:

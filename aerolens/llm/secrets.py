@@ -106,7 +106,7 @@ def redact(docs: DataFrame, ledger: DataFrame | None = None) -> DataFrame:
     Documents that no rule can match pass by; only the others are joined with their findings.
     """
     hit = may_hold(F.col("text"))
-    risky = docs.where(hit).withColumn("blob_", blob_id(F.col("text")))
+    risky = docs.where(hit).select(F.struct(*docs.columns).alias("d_"), F.col("text"), blob_id(F.col("text")).alias("blob_"))  # names of docs can't clash
     rows = scan(docs.where(hit), ledger) if ledger is None else ledger
     known = rows.where(F.col("rule_version") == RULE_VERSION).select(F.col("blob").alias("blob_"), F.col("found").alias("found_"))
     zero = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out"))
@@ -117,10 +117,9 @@ def redact(docs: DataFrame, ledger: DataFrame | None = None) -> DataFrame:
         return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), add.alias("out"))
 
     clean = F.aggregate("found_", zero, step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"].cast("int") + 1, F.lit(2**31 - 1))))
-    done = risky.join(known, "blob_", "left").withColumn("text", F.when(F.size("found_") > 0, clean).otherwise(F.col("text")))
-    if "n_chars" in docs.columns:
-        done = done.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return docs.where(~hit).unionByName(done.select(*docs.columns))
+    done = risky.join(known, "blob_", "left").withColumn("new_", F.when(F.size("found_") > 0, clean).otherwise(F.col("text")))
+    new = {"text": F.col("new_"), "n_chars": F.length("new_").cast("long")}
+    return docs.where(~hit).unionByName(done.select(*[new.get(c, F.col("d_")[c]).alias(c) for c in docs.columns]))
 
 
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
