@@ -40,7 +40,7 @@ def box_colour(pixels: DataFrame, boxes: DataFrame, key: str) -> DataFrame:
 
 
 def group_rank(keys: list[str], order: list[Column]) -> Column:
-    return F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    return F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("long")
 
 
 def resorted(df: DataFrame, distance: str, order: str) -> DataFrame:

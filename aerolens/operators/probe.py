@@ -39,3 +39,9 @@ def patch_class(p: DataFrame, key: str, light: str = "L") -> DataFrame:
     """snow, scree or none of each patch, by median and shares of lightness."""
     g = p.groupBy(key).agg(F.median(light).alias("med"), F.avg((F.col(light) >= 170).cast("int")).alias("bright"), F.avg((F.col(light) <= 170).cast("int")).alias("dark"))
     return g.select(key, F.when((F.col("med") >= 200) & (F.col("bright") >= 0.9), "snow").when((F.col("med") <= 130) & (F.col("dark") >= 0.9), "scree").alias("class"))
+
+
+def size_range(recalls: DataFrame, least: float = 0.5) -> DataFrame:
+    """(bg, low, high) of the sizes whose recall over all contrasts is at least `least`."""
+    g = recalls.groupBy("bg", "size").agg((F.sum(F.col("recall") * F.col("n")) / F.sum("n")).alias("r")).where(F.col("r") >= least)
+    return g.groupBy("bg").agg(F.min("size").alias("low"), F.max("size").alias("high"))
