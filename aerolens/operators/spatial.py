@@ -25,7 +25,7 @@ def radius_join(left: DataFrame, right: DataFrame, radius: float, x: str = "x",
 def nearest_distance(cells: DataFrame, hits: DataFrame, key: str, radius: float, x: str = "x", y: str = "y") -> DataFrame:
     """(key, min_dist) of every cell over all hits, infinite if there is none.
 
-    A cell without a hit in reach tries twice the reach, so the number of rounds is the logarithm of the extent.
+    A cell without a hit in reach tries four times the reach, so the number of rounds is the logarithm of the extent.
     """
     box = hits.agg(F.min(x), F.max(x), F.min(y), F.max(y)).first()
     span = cells.agg(F.min(x), F.max(x), F.min(y), F.max(y)).first()
@@ -34,11 +34,11 @@ def nearest_distance(cells: DataFrame, hits: DataFrame, key: str, radius: float,
     extent = sum(max(box[i + 1], span[i + 1]) - min(box[i], span[i]) for i in (0, 2))
     left, done, reach = cells.select(key, x, y), None, radius
     while True:
-        got = radius_join(left, hits.select(x, y), reach, x, y).groupBy(key).agg(F.min("dist").alias("min_dist"))
+        got = radius_join(left, hits.select(x, y), reach, x, y).groupBy(key).agg(F.min("dist").alias("min_dist")).persist()  # a row a cell; two later steps read it
         done = got if done is None else done.unionByName(got)
-        if reach > extent:
+        left = left.join(got, key, "left_anti")
+        if reach > extent or left.isEmpty():
             return done
-        left = cells.select(key, x, y).join(done, key, "left_anti")
         reach *= 4
 
 
