@@ -6,10 +6,10 @@ under one q-gram travel as one stretch of bytes.
 
 1. Chunks of documents send the hashes of these q-grams, packed, to buckets; those that occur once in all
    texts are dropped. Most text ends here, without having been shuffled.
-2. Stretches under q-grams that occur again go to buckets. Equal stretches of a chunk go once.
+2. Stretches under q-grams that occur again go to buckets. Equal stretches of a task go once.
 3. In a bucket, positions are sorted by their first bytes into initial buckets, which are refined by the bucket
-   numbers at later offsets; refined numbers are reused in the next round, so that 8 bytes grow to 16, 32,
-   64 and 100 without comparing text again. Each final bucket keeps its earliest window.
+   numbers at later offsets; refined numbers are reused in the next round, so that 8 bytes grow to 24, 72
+   and 100 without comparing text again. Each final bucket keeps its earliest window.
 4. What the other windows cover is cut from the documents.
 """
 
@@ -33,7 +33,7 @@ CHUNK_DOCS = 256
 CHUNK_BYTES = 1_000_000
 #: Bytes of text for each bucket of q-grams, and of stretches.
 GRAM_BUCKET_BYTES = 12_000_000
-STRETCH_BUCKET_BYTES = 4_000_000
+STRETCH_BUCKET_BYTES = 1_500_000
 LOW_BITS = 40
 _U = np.uint64
 _PLACE = 24
@@ -176,10 +176,9 @@ def _stretches(bits: int, buckets: int, window: int, gram: int):
     schema = _schema(STRETCHES)
 
     def run(batches):
+        seen: set[bytes] = set()  # digests of this task's stretches; rows come in order of place
         for b in batches:
             for rows in _chunks(b):
-                rows.sort(key=lambda r: r[:3])
-                seen: set[bytes] = set()
                 packs: dict[int, list] = {}
                 done: list[tuple[int, int, int]] = []
                 for i, (_, _, _, text, grams) in enumerate(rows):
@@ -191,10 +190,11 @@ def _stretches(bits: int, buckets: int, window: int, gram: int):
                     to = (mix(h[hit]) % _U(buckets)).tolist()
                     for lo, hi, bucket in zip(first[hit].tolist(), last[hit].tolist(), to, strict=True):
                         x = text[lo : hi + window]
-                        if x in seen:
+                        digest = hashlib.blake2b(x, digest_size=16).digest()
+                        if digest in seen:
                             done.append((i, lo, hi + window))
                         else:
-                            seen.add(x)
+                            seen.add(digest)
                             packs.setdefault(bucket, []).append((x, i, lo))
                 if done:
                     packs.setdefault(0, [])
@@ -218,10 +218,20 @@ def _stretches(bits: int, buckets: int, window: int, gram: int):
     return run
 
 
+def _numbered(key: np.ndarray) -> np.ndarray:
+    """Place of each key among the distinct keys."""
+    order = np.argsort(key)
+    k = key[order]
+    out = np.empty(len(key), np.int64)
+    out[order] = np.cumsum(np.concatenate([[0], k[1:] != k[:-1]]))
+    return out
+
+
 def refine(data: np.ndarray, window: int = WINDOW) -> np.ndarray:
     """Bucket numbers of all positions of data with `window` bytes after them: equal exactly if the windows are.
 
-    Initial buckets are by 8 bytes; each round sorts pairs of a position's bucket and the bucket at a later offset.
+    Initial buckets are by 8 bytes; each round sorts a position's bucket with the buckets at one or two later
+    offsets: two if three numbers fit one key, so that 8 bytes grow to 24, 72 and 100.
     """
     n, have = len(data) - 7, 8
     if len(data) < window or window < 8:
@@ -229,11 +239,17 @@ def refine(data: np.ndarray, window: int = WINDOW) -> np.ndarray:
     word = np.zeros(n, _U)
     for k in range(8):
         word |= data[k : k + n].astype(_U) << _U(8 * (7 - k))
-    bucket = np.unique(word, return_inverse=True)[1]
+    bucket = _numbered(word)
     while have < window:
-        step = min(have, window - have)
-        bucket = np.unique(bucket[: len(bucket) - step].astype(_U) << _U(32) | bucket[step:].astype(_U), return_inverse=True)[1]
-        have += step
+        b = bucket.astype(_U)
+        if 3 * have <= window and len(b) < 1 << 21:
+            m = len(b) - 2 * have
+            bucket = _numbered(b[:m] << _U(42) | b[have : have + m] << _U(21) | b[2 * have :])
+            have *= 3
+        else:
+            step = min(have, window - have)
+            bucket = _numbered(b[: len(b) - step] << _U(32) | b[step:])
+            have += step
     return bucket
 
 
@@ -259,17 +275,16 @@ def _spans(window: int):
         data = np.frombuffer(b"".join(t["bytes"].to_pylist()), np.uint8)
         first = np.cumsum(length) - length
         wins = length - window + 1
-        at = np.repeat(first - (np.cumsum(wins) - wins), wins) + np.arange(wins.sum())
-        bucket = refine(data, window)[at] if len(at) else at
-        where, owner = np.repeat(start - first, wins) + at, np.repeat(doc, wins)
-        by = np.lexsort((where, owner, bucket))
-        b, o, w = bucket[by], owner[by], where[by]
-        head = np.concatenate([[True], b[1:] != b[:-1]]) if len(b) else np.zeros(0, bool)
-        lead = np.flatnonzero(head)[np.cumsum(head) - 1] if len(b) else head
+        by = np.lexsort((start, doc))  # windows in the order of their places
+        first, wins, start, doc = first[by], wins[by], start[by], doc[by]
+        step = np.arange(wins.sum()) - np.repeat(np.cumsum(wins) - wins, wins)
+        o, w = np.repeat(doc, wins), np.repeat(start, wins) + step
+        bucket = refine(data, window)[np.repeat(first, wins) + step] if len(o) else o
+        lead = np.zeros(int(bucket.max(initial=0)) + 1, np.int64)
+        lead[bucket[::-1]] = np.arange(len(o))[::-1]  # the first window of each bucket is written last
+        lead = lead[bucket]
         gone = (o != o[lead]) | (w != w[lead])
         o, w = o[gone], w[gone]
-        by = np.lexsort((w, o))
-        o, w = o[by], w[by]
         done = t["done_place"].to_pylist()
         od = rank[np.frombuffer(b"".join(done), np.uint8) + np.repeat(base[:-1], list(map(len, done)))]
         fd, td = (np.frombuffer(b"".join(t[c].to_pylist()), "<u8").astype(np.int64) for c in ("done_from", "done_to"))
@@ -320,7 +335,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> t
     grams = rows.mapInArrow(_grams(bits, window, gram), GRAMS)
     again = grams.groupBy("bucket").applyInArrow(_again(), GRAMS).groupBy("chunk").applyInArrow(_by_document(), AGAIN)
     again = again.groupBy("nul", "id", "h").agg(F.first("grams").alias("grams"))  # a repeated row has the same ones
-    packs = rows.join(again, ["nul", "id", "h"]).select("nul", "id", "h", "text", "grams").mapInArrow(_stretches(bits, buckets, window, gram), STRETCHES)
+    packs = rows.join(again, ["nul", "id", "h"]).select("nul", "id", "h", "text", "grams").sortWithinPartitions("nul", "id", "h").mapInArrow(_stretches(bits, buckets, window, gram), STRETCHES)
     return rows, packs.groupBy("bucket").applyInArrow(_spans(window), SPANS)
 
 
