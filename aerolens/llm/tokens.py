@@ -11,16 +11,17 @@ from __future__ import annotations
 
 import json
 import os
-import re
 
 import numpy as np
 
-#: Entries of each cache; it starts anew beyond that, so its memory is bounded.
-CACHE_ENTRIES = 400_000
+#: Entries of each generation of a cache, of which there are two at most, so its memory is bounded.
+CACHE_ENTRIES = 350_000
 #: Longer chunks and pieces are encoded each time.
 CACHE_CHARS = 48
-_UNSURE = re.compile(r"\s \s|\A | \Z|  ")
-_PLAIN = re.compile(r"[\x00-ɏ]*\Z")
+#: Chunks with letters beyond these take the library's own path.
+LAST_PLAIN = "\u024f"
+#: White space before a space.
+_GAPS = [chr(c) + " " for c in range(0x3001) if chr(c).isspace()]
 _encoders: dict[str, Encoder] = {}
 #: Fixed value: the pattern that the library's byte-level pre-tokenizer uses.
 _BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -33,27 +34,41 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in same} | {b: chr(256 + i) for i, b in enumerate(others)}
 
 
-class _Pieces(dict):
-    def __init__(self, model):
-        self.tokenize, self.letters = model.tokenize, byte_letters()
+class _Cache(dict):
+    """A dict that computes what it lacks. Full, it becomes its own elder generation, which is asked before computing."""
+
+    elder: dict[str, bytes] = {}
 
-    def __missing__(self, piece: str) -> bytes:
-        ids = [t.id for t in self.tokenize(piece.encode().decode("latin-1").translate(self.letters))]
-        out = np.array(ids, "<u4").tobytes()
-        if len(piece) <= CACHE_CHARS:
-            self[piece] = out
+    def __missing__(self, key: str) -> bytes:
+        out = self.elder.get(key)
+        if out is None:
+            out = self.compute(key)
+        if len(key) <= CACHE_CHARS:
+            self[key] = out
         return out
 
+    def trim(self) -> None:
+        if len(self) > CACHE_ENTRIES:
+            self.elder = dict(self)
+            self.clear()
+
+
+class _Pieces(_Cache):
+    def __init__(self, model, size: int):
+        self.tokenize, self.letters = model.tokenize, byte_letters()
+        self.four = [i.to_bytes(4, "little") for i in range(size)]
+
+    def compute(self, piece: str) -> bytes:
+        four = self.four
+        return b"".join([four[t.id] for t in self.tokenize(piece.encode().decode("latin-1").translate(self.letters))])
 
-class _Chunks(dict):
+
+class _Chunks(_Cache):
     def __init__(self, lead: str, of):
         self.lead, self.of = lead, of
 
-    def __missing__(self, chunk: str) -> bytes:
-        out = self.of(self.lead + chunk)
-        if len(chunk) <= CACHE_CHARS:
-            self[chunk] = out
-        return out
+    def compute(self, chunk: str) -> bytes:
+        return self.of(self.lead + chunk)
 
 
 class Encoder:
@@ -76,21 +91,22 @@ class Encoder:
             self.pattern = regex.compile(parts[0]["pattern"]["Regex"])
         else:
             self.pattern = None
-        self.pieces, self.first, self.rest = _Pieces(self.tok.model), _Chunks("", self._ids), _Chunks(" ", self._ids)
+        self.pieces, self.first, self.rest = _Pieces(self.tok.model, self.tok.get_vocab_size()), _Chunks("", self._ids), _Chunks(" ", self._ids)
 
     def _ids(self, chunk: str) -> bytes:
-        if self.pattern is None or not _PLAIN.match(chunk):
+        if self.pattern is None or not chunk.isascii() and max(chunk) > LAST_PLAIN:
             return np.array(self.tok.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
         if self.lower:
             chunk = chunk.lower()
+        if chunk.isalpha() or not self.lower and chunk[:1] == " " and chunk[1:].isalpha():
+            return self.pieces[chunk]
         return b"".join(map(self.pieces.__getitem__, self.pattern.findall(chunk)))
 
     def encode(self, text: str) -> bytes:
-        if self.pattern is None or _UNSURE.search(text):
+        if self.pattern is None or text[:1] == " " or text[-1:] == " " or any(x in text for x in _GAPS):
             return self._ids(text)
         for cache in (self.pieces, self.first, self.rest):
-            if len(cache) > CACHE_ENTRIES:
-                cache.clear()
+            cache.trim()
         first, *rest = text.split(" ")
         return self.first[first] + b"".join(map(self.rest.__getitem__, rest))
 
