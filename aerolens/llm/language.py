@@ -1,7 +1,8 @@
 """Language identification by compression with a zstandard raw-content dictionary for each language.
 
-A text is reduced to lower-case letters and single spaces, compressed once for each language, and the
-smallest result names the language. Short texts are compressed with several dictionaries of each
+A text is reduced to lower-case letters and single spaces, compressed for each language in pieces that each
+meet the dictionary anew, and the smallest sum names the language: sizes and their differences both grow with the
+text, so the margin doesn't hang on its length. Short texts are compressed with several dictionaries of each
 language, alone and after an opening in that language, and the sizes are averaged, which gives a finer
 measure. A narrow margin is a rejection.
 """
@@ -27,6 +28,8 @@ DICTIONARIES = 4
 SHORT_BYTES = 1000
 #: Bytes of another dictionary of the language that a short text is set behind: alone it may be too short to be coded at all.
 OPENING_BYTES = 500
+#: Bytes of a piece at most. In a longer one the text's own words soon serve as well as the dictionary's.
+PIECE_BYTES = 4096
 LEVEL = 6
 #: A smallest size that is less than this share below the second is too close to call.
 MARGIN = 0.005
@@ -45,6 +48,12 @@ def letters(text: str) -> bytes:
     return out.encode("utf-8", "replace") if any(map(str.isalpha, out)) else b""
 
 
+def pieces(data: bytes) -> list[bytes]:
+    """Data in as few pieces of about equal length as PIECE_BYTES allows."""
+    size = max(1, -(-len(data) // max(1, -(-len(data) // PIECE_BYTES))))
+    return [data[i : i + size] for i in range(0, len(data), size)]
+
+
 def fit(docs: DataFrame, fold: int = 0, folds: int = FOLDS) -> list[tuple[str, list[bytes]]]:
     """Languages, the most common first, with their dictionaries, from labelled documents outside the fold.
 
@@ -71,7 +80,7 @@ class Classifier:
         for lang, parts in model:
             own = []
             for k, data in enumerate(parts):
-                p = z.ZstdCompressionParameters.from_level(LEVEL, source_size=4096, dict_size=len(data), write_content_size=False)
+                p = z.ZstdCompressionParameters.from_level(LEVEL, source_size=PIECE_BYTES, dict_size=len(data), write_content_size=False)
                 d = z.ZstdCompressionDict(data or b" " * 8, dict_type=z.DICT_TYPE_RAWCONTENT)
                 d.precompute_compress(compression_params=p)
                 c = z.ZstdCompressor(compression_params=p, dict_data=d)
@@ -90,7 +99,8 @@ class Classifier:
         if len(data) < SHORT_BYTES:
             sizes = [(sum(len(c.compress(data)) + len(c.compress(opening + data)) - n for c, opening, n in own) / (2 * len(own)), i) for i, (_, own) in enumerate(self.langs)]
         else:
-            sizes = [(float(len(own[0][0].compress(data))), i) for i, (_, own) in enumerate(self.langs)]
+            cut = pieces(data)
+            sizes = [(float(sum(len(own[0][0].compress(x)) for x in cut)), i) for i, (_, own) in enumerate(self.langs)]
         sizes.sort()
         best = sizes[0][0]
         margin = (sizes[1][0] - best) / max(1.0, sizes[1][0]) if len(sizes) > 1 else 1.0

@@ -372,6 +372,22 @@ def test_language(spark, docs, none):
     assert empty.count() == 0 and language.identify(docs, []).select("lang_pred").distinct().collect()[0][0] == "und"
 
 
+def test_long_clear_texts_are_not_rejected(spark):
+    rng = random.Random(2)
+    parts = {"aa": ["ba", "ku", "lo", "zi"], "bb": ["str", "eng", "och", "tter"]}
+    say = lambda k, n: " ".join("".join(rng.choice(parts[k]) for _ in range(rng.randint(1, 4))) for _ in range(n))
+    model = language.fit(spark.createDataFrame([(i, say(k, 300), k) for i in range(200) for k in parts], "doc_id long, text string, lang string"))
+    c = language.Classifier(model)
+    long, short = say("bb", 400_000), say("bb", 13_000)
+    assert len(long) > 3_000_000
+    lang, _, margin, rejected = c.predict(long)
+    assert lang == "bb" and not rejected and abs(margin / c.predict(short)[2] - 1) < 0.25
+    assert language.keep_identified(spark.createDataFrame([(1, long)], "doc_id long, text string"), model).count() == 1
+    for n in (0, 1, 4096, 4097, 100_000):
+        cut = language.pieces(bytes(n))
+        assert b"".join(cut) == bytes(n) and all(2048 <= len(x) <= 4096 for x in cut if n > 4096)
+
+
 def _brute_removed(rows, window=100):
     seen, out = {}, {}
     for i, t in sorted({(r[0], r[1] or "") for r in rows}, key=lambda r: (r[0] is None, r[0] or 0)):
