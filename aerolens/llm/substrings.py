@@ -177,11 +177,15 @@ def _stretches(bits: int, buckets: int, window: int, gram: int):
 
     def run(batches):
         seen: set[bytes] = set()  # digests of this task's stretches; rows come in order of place
+        before = None  # place of the row before: what a repeated row repeats of itself is no repeat, and spans hold for all rows of a document
         for b in batches:
             for rows in _chunks(b):
                 packs: dict[int, list] = {}
                 done: list[tuple[int, int, int]] = []
-                for i, (_, _, _, text, grams) in enumerate(rows):
+                for i, (*place, text, grams) in enumerate(rows):
+                    if place == before:
+                        continue
+                    before = place
                     h, first, last = filed(text, window, gram)
                     own = np.frombuffer(grams, "<u8")
                     key = h >> _U(64 - bits - LOW_BITS)

@@ -412,6 +412,20 @@ def test_repeats(docs, none):
     assert sum(x[1] for x in want.values()) > 1000
 
 
+def test_a_repeated_row_is_no_repeat_of_itself(spark):
+    rng = random.Random(9)
+    say = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    once, twice, passage = say(500), say(700), say(150)
+    rows = [(1, once), (1, once), (2, passage + say(300) + passage), (3, say(200) + passage), (3, twice), (3, twice), (3, twice), (4, twice[:400])]
+    rows += [rows[2], rows[3]]
+    want = _brute_removed(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for n in (1, 4):
+        got = Counter((r["doc_id"], *tuple(r)[1:4]) for r in substrings.remove_repeats(df.repartition(n)).collect())
+        assert got == Counter({(1, 500, 0, 0): 2, (2, 600, 150, 1): 2, (3, 350, 150, 1): 2, (3, 700, 0, 0): 3, (4, 400, 400, 1): 1})
+    assert want[1][:3] == (500, 0, 0) and want[2][:3] == (600, 150, 1) and want[4][:3] == (400, 400, 1)
+
+
 def test_buckets_are_refined_to_equal_windows():
     rng = np.random.default_rng(2)
     data = np.concatenate([rng.integers(0, 2, 300), np.zeros(150, int), rng.integers(0, 2, 300)]).astype(np.uint8)
