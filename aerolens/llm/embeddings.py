@@ -2,7 +2,8 @@
 
 Filter directions are a structured random product code: a direction joins one codeword of each half of the
 (randomly rotated) space. A vector is list-decoded to all directions whose cap holds it: for each word of
-the first half, sorted inner products of the second tell at once which words reach the threshold. Vectors
+the first half, sorted inner products of the second tell at once which words reach the threshold. A vector that
+too few caps hold goes to its best directions instead, so that each has a list that its near copies share. Vectors
 of one label that share a direction are compared in double precision; a pair counts under the first
 direction that it shares, so it is met once. Equal vectors are one class. Full caps are cut into blocks, and each
 pair of blocks is one group; a group returns sums of links and a spanning forest, not pairs.
@@ -26,6 +27,8 @@ LEAST = 0.98
 #: Directions that a vector is decoded to, on average, and vectors for each direction.
 LIST = 40
 VECTORS_PER_DIRECTION = 12
+#: Directions of each vector at least, or all there are: its best ones, be they above the threshold or not.
+LEAST_LIST = 32
 #: Vectors of a block of a full cap, and rows of a group of small caps.
 BLOCK = 512
 GROUP_ROWS = 4000
@@ -53,8 +56,18 @@ def threshold(dim: int, words: int, per_vector: float = LIST) -> float:
     return NormalDist().inv_cdf(1 - share) / dim**0.5
 
 
-def decode(unit: np.ndarray, words: int, per_vector: float = LIST) -> list[np.ndarray]:
-    """For each unit vector, the sorted numbers of all directions whose caps hold it."""
+def best(p: np.ndarray, q: np.ndarray, k: int) -> np.ndarray:
+    """Numbers of the k directions with the largest sums of a word's product in p and one's in q, or of all if there are less.
+
+    The k best joins are of the k best words of each half.
+    """
+    a, b = np.argsort(-p, kind="stable")[:k], np.argsort(-q, kind="stable")[:k]
+    top = np.argsort(-(p[a][:, None] + q[b]).ravel(), kind="stable")[:k]
+    return a[top // len(b)] * len(q) + b[top % len(b)]
+
+
+def decode(unit: np.ndarray, words: int, per_vector: float = LIST, at_least: int = 0) -> list[np.ndarray]:
+    """For each unit vector, the sorted numbers of all directions whose caps hold it, or of its at_least best if these are more."""
     dim = unit.shape[1]
     if dim < 2:
         return [np.zeros(1, np.int64)] * len(unit)
@@ -68,6 +81,9 @@ def decode(unit: np.ndarray, words: int, per_vector: float = LIST) -> list[np.nd
         down = -q[i, order[i]]
         a = np.flatnonzero(p[i] >= reach + down[0])
         count = np.searchsorted(down, p[i, a] - reach, "right")
+        if count.sum() < at_least:
+            out.append(np.sort(best(p[i], q[i], at_least)))
+            continue
         at = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
         out.append(np.sort(np.repeat(a, count) * words + order[i, at]))
     return out
@@ -87,7 +103,7 @@ def _decoded(words: int, per_vector: float):
                     own = [i for i, x in enumerate(raw) if len(x) == dim]
                     v = np.stack([raw[i] for i in own]).astype(np.float64)
                     v /= np.abs(v).max(axis=1, keepdims=True)
-                    for i, found in zip(own, decode(v / np.linalg.norm(v, axis=1, keepdims=True), words, per_vector), strict=True):
+                    for i, found in zip(own, decode(v / np.linalg.norm(v, axis=1, keepdims=True), words, per_vector, LEAST_LIST), strict=True):
                         n = len(found)
                         for c, x in zip(schema.names, (label[i], dim, None, cid[i], mult[i], raw[i].tobytes(), found.astype("<u4").tobytes()), strict=True):
                             cols[c].extend(found.tolist() if c == "direction" else [x] * n)
