@@ -324,10 +324,37 @@ def jaccard_components(docs: DataFrame, num: int = NUM, den: int = DEN, words: i
     return some.unionByName(none)
 
 
-def keep_one(docs: DataFrame, num: int = NUM, den: int = DEN, words: int = WORDS) -> DataFrame:
-    """The rows of docs, all columns, whose id is the least of its component; of repeated rows of one id, one."""
-    kept = jaccard_components(docs, num, den, words).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+def _own_ids(docs: DataFrame) -> DataFrame | None:
+    """(real_id_, text_hash_, own_id_) of the documents whose id is null or is that of different texts too, or None if there are none.
+
+    Own ids lie above all others; ids near the end of a long leave no room for them.
+    """
+    keys = docs.select(F.col("doc_id").cast("long").alias("real_id_"), F.xxhash64("text").alias("text_hash_"))
+    reused = keys.where("real_id_ is not null").groupBy("real_id_").agg(F.min("text_hash_").alias("lo_"), F.max("text_hash_").alias("hi_")).where("lo_ <> hi_").select("real_id_")
+    odd = keys.where("real_id_ is null").unionByName(keys.join(reused, "real_id_", "left_semi")).distinct()
+    top = keys.agg(F.max("real_id_")).first()[0]
+    odd = written(odd.withColumn("own_id_", F.monotonically_increasing_id() + F.lit(max(0, (top or 0) + 1))), "own_ids")
+    return None if odd.isEmpty() else odd
+
+
+def keep_one(docs: DataFrame, num: int = NUM, den: int = DEN, words: int = WORDS, nameless: bool = False) -> DataFrame:
+    """One row of docs, all columns, for each component: one with the least id. Rows without a word all stay.
+
+    A row's document is its id and text: repeated rows are one, and rows that share an id but neither text nor
+    links are of different components and stay. Rows with a null id come after all others: one stays if its component has
+    no other rows and nameless is set; else rows with a null id go.
+    """
+    odd = _own_ids(docs if nameless else docs.where("doc_id is not null"))
+    if odd is None:
+        kept = jaccard_components(docs, num, den, words).where("doc_id = component_id").select("doc_id").distinct()
+        return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    named = docs.withColumn("row_hash_", F.xxhash64("text")).join(odd, F.col("doc_id").eqNullSafe(F.col("real_id_")) & (F.col("row_hash_") == F.col("text_hash_")), "left").drop("real_id_", "row_hash_", "text_hash_")
+    named = named.withColumn("own_id_", F.coalesce("own_id_", F.col("doc_id").cast("long")))
+    found = jaccard_components(named.select(F.col("own_id_").alias("doc_id"), "text"), num, den, words).where("component_id is not null").select(F.col("doc_id").alias("own_id_"), "component_id").where("own_id_ is not null")
+    found = found.join(odd.select("own_id_", "real_id_", F.lit(True).alias("odd_")), "own_id_", "left").withColumn("real_id_", F.when(F.col("odd_"), F.col("real_id_")).otherwise(F.col("own_id_")))
+    least = F.min(F.struct(F.col("real_id_").isNull().alias("null_"), "real_id_", "own_id_"))
+    kept = found.groupBy("component_id").agg(least["own_id_"].alias("own_id_")).select("own_id_")
+    return named.join(kept, "own_id_", "left_semi").dropDuplicates(["own_id_"]).select(*docs.columns)
 
 
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,8 +18,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group that links of 0.75 or more on five-word shingles hold together, the smallest doc_id stays."""
-    return keep_one(docs)
+    """Of each group that links of 0.75 or more on five-word shingles hold together, one document of the smallest doc_id stays; null counts as the largest."""
+    return keep_one(docs, nameless=True)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

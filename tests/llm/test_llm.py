@@ -141,6 +141,21 @@ def test_jaccard_join(docs, none):
     assert Counter(r["doc_id"] for r in kept.collect()) == Counter({d for d, _, c, _ in want if d is not None and d == c} | {d for d, n, _, _ in want if n == 0})
 
 
+def test_one_row_of_each_component_stays_whatever_its_id(spark, docs):
+    rng = random.Random(10)
+    a, b, c, d, e, f = (" ".join(rng.choice("abcdefghijklmnop") for _ in range(60)) for _ in range(6))
+    rows = [(5, a), (5, b), (5, b), (9, b + " x"), (None, c), (None, c), (None, c + " x"), (None, d), (4, e), (None, e), (3, f), (3, f + " x"), (7, None), (None, ""), (8, "z y x w v u t s")]
+    df = spark.createDataFrame([(i, t, "x", "y") for i, t in rows], "doc_id long, text string, own_id string, cid string").repartition(3)
+    got = jaccard.keep_one(df, nameless=True)
+    assert got.columns == df.columns
+    group = {a: "a", b: "b", b + " x": "b", c: "c", c + " x": "c", d: "d", e: "e", f: "f", f + " x": "f"}
+    want = {(5, "a"), (5, "b"), (None, "c"), (None, "d"), (4, "e"), (3, "f"), (7, None), (None, ""), (8, rows[-1][1])}
+    assert Counter((r["doc_id"], group.get(r["text"], r["text"])) for r in got.collect()) == Counter(want)
+    named = Counter((r["doc_id"], group.get(r["text"], r["text"])) for r in jaccard.keep_one(df).collect())
+    assert named == Counter(x for x in want if x[0] is not None)
+    assert {None, *(r["doc_id"] for r in jaccard.keep_one(docs).collect())} == {r["doc_id"] for r in jaccard.keep_one(docs, nameless=True).collect()}
+
+
 def test_join_block_splits_and_filters_lose_nothing():
     rng = np.random.default_rng(4)
     base = np.sort(rng.choice(2**40, 60, replace=False)).astype(np.uint64)
