@@ -5,8 +5,6 @@ Each is one shuffle on the key and one sorted pass, so a series of n rows costs
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -95,24 +93,19 @@ def sessions(df: DataFrame, keys: list[str], t: str, gap: float, out: str = "ses
 def pan_pairs(df: DataFrame, key: str, dt: float = 0.5, every: float = 2.0, least: float = 0.4, most: float = 8.0) -> DataFrame:
     """(key, t0, t1) where the camera (t, yaw, pitch, yaw unwrapped) turns between `least` and `most` degrees about one axis.
 
-    After a pair the scan jumps `every` seconds, else it steps `dt`; so each key is one ordered pass.
+    Pairs start `every` seconds apart at least, on a grid of `dt`, as early as they can. All offsets are measured at
+    once. Marks that far behind the mark before them start a chain of their own, which no earlier choice reaches,
+    so only the marks of one chain are gone through in order.
     """
-
-    def run(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.dropna(subset=["t", "yaw", "pitch"]).sort_values("t")
-        out = []
-        if len(p):
-            ts, yaw, pitch = (p[c].to_numpy() for c in ("t", "yaw", "pitch"))
-            t = ts[0]
-            while t + dt <= ts[-1]:
-                dy = np.interp(t + dt, ts, yaw) - np.interp(t, ts, yaw)
-                dp = np.interp(t + dt, ts, pitch) - np.interp(t, ts, pitch)
-                a, b = sorted((abs(dy), abs(dp)))
-                found = least <= np.hypot(dy, dp) <= most and b > 2 * a
-                if found:
-                    out.append((p[key].iloc[0], t, t + dt))
-                t += every if found else dt
-        return pd.DataFrame(out, columns=[key, "t0", "t1"])
-
-    kind = dict(df.dtypes)[key]
-    return df.select(key, "t", "yaw", "pitch").groupBy(key).applyInPandas(run, f"{key} {kind}, t0 double, t1 double")
+    series = df.select(key, "t", "yaw", "pitch").dropna(subset=["t", "yaw", "pitch"])
+    at = interpolate(resample(series, [key], "t", dt), series, [key], "t", ["yaw", "pitch"])
+    w = Window.partitionBy(key).orderBy("i")
+    turn = [F.abs(F.lead(c).over(w) - F.col(c)) for c in ("yaw", "pitch")]
+    size, one_axis = F.hypot("dy_", "dp_"), F.greatest("dy_", "dp_") > 2 * F.least("dy_", "dp_")
+    marks = at.select(key, "i", "t", turn[0].alias("dy_"), turn[1].alias("dp_")).where(size.between(least, most) & one_axis)
+    apart = round(every / dt)
+    chains = sessions(marks.select(key, "i", "t"), [key], "i", apart - 1).groupBy(key, "session").agg(F.sort_array(F.collect_list(F.struct("i", "t"))).alias("m_"))
+    none = F.slice("m_", 1, 0)
+    free = lambda acc, x: (F.size(acc) == 0) | (x["i"] - F.try_element_at(acc, F.lit(-1))["i"] >= apart)
+    chosen = F.aggregate("m_", none, lambda acc, x: F.when(free(acc, x), F.array_append(acc, x)).otherwise(acc))
+    return chains.select(key, F.explode(chosen).alias("m_")).select(key, F.col("m_.t").alias("t0"), (F.col("m_.t") + dt).alias("t1"))

@@ -2,68 +2,103 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-#: Pixels within which a blob continues a track, and samples that it may miss.
-REACH, MISSES = 60.0, 3
+#: Pixels within which a blob continues a track, samples that it may miss, and blobs of a sample.
+REACH, MISSES, TOP = 60.0, 3, 25
 OUT = "video string, track int, t_best double, t0 double, t1 double, x int, y int, w int, h int, score double"
+_CLOSED = OUT.replace("track int", "closed long")
 
 
 class Tracker:
-    """The state of one video. feed() takes one sample and returns the tracks that it closes."""
+    """The state of one video. feed() takes one sample and returns the tracks that it closes.
+
+    The centre of a box is its corner plus half its size, rounded down.
+    """
 
     def __init__(self, reach: float = REACH, misses: int = MISSES):
         self.reach, self.misses = reach, misses
+        self.at = np.zeros((0, 2))
         self.open: list[dict] = []
 
     def feed(self, t: float, dx: float, dy: float, found: list[tuple]) -> list[dict]:
         """found: (x, y, w, h, score), best first. A blob may continue a track that this very sample began."""
+        n = len(self.open)
+        at = np.concatenate([self.at + (dx, dy), np.zeros((len(found), 2))])
         for k in self.open:
-            k["cx"] += dx
-            k["cy"] += dy
             k["miss"] += 1
         for x, y, w, h, score in found:
-            cx, cy = x + w / 2, y + h / 2
-            d = [((k["cx"] - cx) ** 2 + (k["cy"] - cy) ** 2) ** 0.5 for k in self.open]
-            i = min(range(len(d)), key=d.__getitem__, default=None)  # of equals, the earlier
-            if i is None or d[i] >= self.reach:
-                self.open.append({"cx": cx, "cy": cy, "miss": 0, "t0": t, "t1": t, "t_best": t, "box": (x, y, w, h), "score": score})
+            centre = np.array([x + w // 2, y + h // 2], float)
+            d = np.hypot(*(at[:n] - centre).T)
+            i = int(d.argmin()) if n else -1  # of equals, the earlier
+            if i < 0 or d[i] >= self.reach:
+                at[n] = centre
+                n += 1
+                self.open.append({"miss": 0, "t0": t, "t1": t, "t_best": t, "box": (x, y, w, h), "score": score})
                 continue
+            at[i] = centre
             k = self.open[i]
-            k.update(cx=cx, cy=cy, miss=0, t1=t)
+            k.update(miss=0, t1=t)
             if score > k["score"]:
                 k.update(score=score, box=(x, y, w, h), t_best=t)
-        done = [k for k in self.open if k["miss"] > self.misses]
-        self.open = [k for k in self.open if k["miss"] <= self.misses]
+        stay = np.array([k["miss"] <= self.misses for k in self.open], bool)
+        done = [k for k, s in zip(self.open, stay, strict=True) if not s]
+        self.open = [k for k, s in zip(self.open, stay, strict=True) if s]
+        self.at = at[:n][stay]
         return done
 
     def state(self) -> list[tuple]:
-        return [(k["cx"], k["cy"], k["miss"], k["t0"], k["t1"], k["t_best"], *k["box"], k["score"]) for k in self.open]
+        return [(*map(float, c), k["miss"], k["t0"], k["t1"], k["t_best"], *k["box"], k["score"]) for c, k in zip(self.at, self.open, strict=True)]
 
     def restore(self, rows: list) -> None:
-        names = ("cx", "cy", "miss", "t0", "t1", "t_best")
-        self.open = [dict(zip(names, r[:6], strict=True)) | {"box": tuple(r[6:10]), "score": r[10]} for r in rows]
+        names = ("miss", "t0", "t1", "t_best")
+        self.at = np.array([r[:2] for r in rows], float).reshape(-1, 2)
+        self.open = [dict(zip(names, r[2:6], strict=True)) | {"box": tuple(r[6:10]), "score": r[10]} for r in rows]
 
 
-def rows(video, done: list[dict]) -> pd.DataFrame:
-    """Closed tracks, best first; ties stay in closing order."""
-    done = sorted(done, key=lambda k: -k["score"])
-    cols = OUT.replace(",", "").split()[::2]
-    return pd.DataFrame([(video, i, k["t_best"], k["t0"], k["t1"], *map(int, k["box"]), k["score"]) for i, k in enumerate(done)], columns=cols)
+def rows(video, done: list[dict], first: int = 0) -> pd.DataFrame:
+    """Closed tracks with their places in closing order, from `first`."""
+    cols = _CLOSED.replace(",", "").split()[::2]
+    return pd.DataFrame([(video, first + i, k["t_best"], k["t0"], k["t1"], *map(int, k["box"]), k["score"]) for i, k in enumerate(done)], columns=cols)
 
 
-def build_tracks(samples: DataFrame, reach: float = REACH, misses: int = MISSES) -> DataFrame:
-    """Tracks of all videos from (video, t, dx, dy, blobs), blobs an array of (x, y, w, h, score).
+def best_first(blobs, top: int) -> list[tuple]:
+    """The `top` best blobs of a sample: by score, then from the top and from the left."""
+    found = [] if blobs is None else [(b["x"], b["y"], b["w"], b["h"], b["score"]) for b in blobs]
+    return sorted(found, key=lambda b: (-b[4], b[1], b[0]))[:top]
 
-    A video is one ordered pass, so it is one group; different videos run side by side.
-    """
 
-    def run(key: tuple, p: pd.DataFrame) -> pd.DataFrame:
-        k, done = Tracker(reach, misses), []
-        for r in p.sort_values("t").itertuples():
-            found = sorted(((b["x"], b["y"], b["w"], b["h"], b["score"]) for b in (r.blobs if r.blobs is not None else [])), key=lambda b: (-b[4], b[1], b[0]))
-            done += k.feed(r.t, r.dx, r.dy, found)
-        return rows(key[0], done + k.open)
+def build_tracks(samples: DataFrame, reach: float = REACH, misses: int = MISSES, top: int = TOP) -> DataFrame:
+    """Tracks of all videos from (video, t, dx, dy, blobs), blobs an array of (x, y, w, h, score), numbered by score.
+
+    A task reads the samples of its videos in order, batch by batch, and holds the open tracks of one video only;
+    tracks leave as they close. What is open when a video ends closes then. Equal scores go by closing order.
+    """
 
-    return samples.groupBy("video").applyInPandas(run, OUT)
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        video, k, n = None, None, 0
+        for p in parts:
+            for own in (g for _, g in p.groupby("video", sort=False, dropna=False)):
+                name = own["video"].iloc[0]
+                if k is None or name != video and not (pd.isna(name) and pd.isna(video)):
+                    if k is not None:
+                        yield rows(video, k.open, n)
+                    video, k, n = name, Tracker(reach, misses), 0
+                done = []
+                for t, dx, dy, blobs in zip(own["t"], own["dx"], own["dy"], own["blobs"], strict=True):
+                    done += k.feed(t, dx, dy, best_first(blobs, top))
+                yield rows(video, done, n)
+                n += len(done)
+        if k is not None:
+            yield rows(video, k.open, n)
+
+    dealt = samples.select("video", "t", "dx", "dy", "blobs").repartition("video").sortWithinPartitions("video", "t")
+    closed = dealt.mapInPandas(run, _CLOSED)
+    track = F.row_number().over(Window.partitionBy("video").orderBy(F.col("score").desc(), "closed")) - 1
+    return closed.withColumn("track", track.cast("int")).select(*OUT.replace(",", "").split()[::2])

@@ -328,7 +328,7 @@ def q30_json_field(spark, sf_dir):
 @query()
 def q31_tracks(spark, sf_dir):
     e = _events(spark, sf_dir)
-    blob = F.struct(F.floor(F.col("value")).cast("int").alias("x"), (F.col("event_id") % 40).cast("int").alias("y"), F.lit(4).alias("w"), F.lit(4).alias("h"), F.col("value").alias("score"))
+    blob = F.struct(F.floor(F.col("value")).cast("int").alias("x"), (F.col("event_id") % 40).cast("int").alias("y"), (F.col("event_id") % 4 + 3).cast("int").alias("w"), F.lit(5).alias("h"), F.col("value").alias("score"))
     samples = e.groupBy(F.col("user_id").cast("string").alias("video"), F.floor(F.col("us") / 3_600_000_000).cast("double").alias("t")).agg(F.collect_list(blob).alias("blobs"))
     return tracking.build_tracks(samples.select("video", "t", F.lit(0.0).alias("dx"), F.lit(0.0).alias("dy"), "blobs"))
 
@@ -407,9 +407,19 @@ def q39_last_wins(spark, sf_dir):
     return ingest.last_wins(_t(spark, sf_dir, "documents").select("source", "doc_id", "lang"), "source", "doc_id")
 
 
-@query()
-def q40_pan_pairs(spark, sf_dir):
-    e = _events(spark, sf_dir).select("user_id", (F.col("us") / 3.6e9).alias("t"), (F.col("event_id") * 37 % 11).cast("double").alias("yaw"), (F.col("event_id") % 3).cast("double").alias("pitch"))
-    return timeseries.pan_pairs(e, "user_id")
+_TURNS = """e AS (SELECT user_id, epoch_us(ts) / 3.6e9 AS t, (event_id * 37 % 11)::DOUBLE AS yaw, (event_id % 3)::DOUBLE AS pitch FROM events),
+g AS (SELECT user_id, i, lo + i * 0.5 AS t FROM (SELECT user_id, min(t) AS lo, max(t) AS hi FROM e GROUP BY 1), LATERAL (SELECT unnest(range(0, floor((hi - lo) / 0.5)::BIGINT + 1)) AS i)),
+p AS (SELECT g.*, e.t AS t0, e.yaw AS y0, e.pitch AS p0 FROM g ASOF JOIN e ON g.user_id = e.user_id AND g.t >= e.t),
+n AS (SELECT p.*, e.t AS t1, e.yaw AS y1, e.pitch AS p1 FROM p ASOF LEFT JOIN e ON p.user_id = e.user_id AND p.t <= e.t),
+v AS (SELECT user_id, i, t, CASE WHEN t1 IS NULL OR t1 = t0 THEN y0 ELSE y0 + (y1 - y0) * ((t - t0) / (t1 - t0)) END AS yaw, CASE WHEN t1 IS NULL OR t1 = t0 THEN p0 ELSE p0 + (p1 - p0) * ((t - t0) / (t1 - t0)) END AS pitch FROM n),
+d AS (SELECT user_id, i, t, abs(lead(yaw) OVER w - yaw) AS dy, abs(lead(pitch) OVER w - pitch) AS dp FROM v WINDOW w AS (PARTITION BY user_id ORDER BY i)),
+m AS (SELECT user_id, i, t FROM d WHERE sqrt(dy * dy + dp * dp) BETWEEN 0.4 AND 8 AND greatest(dy, dp) > 2 * least(dy, dp)),
+after AS (SELECT a.user_id, a.i, b.i AS nx FROM m a ASOF LEFT JOIN m b ON a.user_id = b.user_id AND a.i + 4 <= b.i)"""
 
 
+@query(f"""
+WITH RECURSIVE {_TURNS}, c AS (SELECT user_id, min(i) AS i FROM m GROUP BY 1 UNION ALL SELECT c.user_id, a.nx FROM c JOIN after a ON a.user_id = c.user_id AND a.i = c.i WHERE a.nx IS NOT NULL)
+SELECT user_id, round(m.t, 6) AS t0, round(m.t + 0.5, 6) AS t1 FROM c JOIN m USING (user_id, i)""")
+def q40_pan_pairs(spark, sf_dir):
+    e = _events(spark, sf_dir).select("user_id", (F.col("us") / 3.6e9).alias("t"), (F.col("event_id") * 37 % 11).cast("double").alias("yaw"), (F.col("event_id") % 3).cast("double").alias("pitch"))
+    return timeseries.pan_pairs(e, "user_id").select("user_id", F.round("t0", 6).alias("t0"), F.round("t1", 6).alias("t1"))

@@ -8,28 +8,35 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.tracking import OUT, Tracker, rows
+from ..operators.tracking import MISSES, OUT, REACH, TOP, Tracker, best_first, rows
 
 _STATE = "last_t double, tracks array<array<double>>"
 
 
-def stream_tracks(samples: DataFrame) -> DataFrame:
+def stream_tracks(samples: DataFrame, reach: float = REACH, misses: int = MISSES, top: int = TOP, idle_ms: int | None = None) -> DataFrame:
     """Tracks as they close, from a stream of (video, t, dx, dy, blobs). Samples no later than the last one seen are
-    left out. Tracks still open stay in the state; `track` numbers those of one batch."""
+    left out; `track` numbers the tracks that one batch closes. Tracks still open stay in the state, or close, if
+    idle_ms is given, when a video has had no sample for so long."""
 
     def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last, tracker = float("-inf"), Tracker()
+        last, tracker = float("-inf"), Tracker(reach, misses)
         if state.exists:
             last, held = state.get
             tracker.restore([list(h) for h in held])
+        if state.hasTimedOut:
+            state.remove()
+            yield rows(key[0], tracker.open).rename(columns={"closed": "track"})
+            return
         done = []
         for r in pd.concat(list(parts)).sort_values("t").itertuples():
             if r.t <= last:
                 continue
             last = r.t
-            found = sorted(((b["x"], b["y"], b["w"], b["h"], b["score"]) for b in (r.blobs if r.blobs is not None else [])), key=lambda b: (-b[4], b[1], b[0]))
-            done += tracker.feed(r.t, r.dx, r.dy, found)
+            done += tracker.feed(r.t, r.dx, r.dy, best_first(r.blobs, top))
         state.update((float(last), [[float(v) for v in s] for s in tracker.state()]))
-        yield rows(key[0], done)
+        if idle_ms is not None:
+            state.setTimeoutDuration(idle_ms)
+        yield rows(key[0], done).rename(columns={"closed": "track"})
 
-    return samples.groupBy("video").applyInPandasWithState(run, OUT, _STATE, "append", GroupStateTimeout.NoTimeout)
+    timeout = GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout
+    return samples.groupBy("video").applyInPandasWithState(run, OUT, _STATE, "append", timeout)

@@ -134,7 +134,13 @@ def test_track_rules():
     k = tracking.Tracker()
     k.feed(0.0, 0, 0, [(0, 0, 2, 2, 5.0), (59, 0, 2, 2, 4.0), (200, 0, 2, 2, 3.0)])
     assert len(k.open) == 2  # the second blob continued the track that this sample began
-    assert k.open[0]["score"] == 5.0 and k.open[0]["cx"] == 60.0
+    assert k.open[0]["score"] == 5.0 and k.at[0].tolist() == [60.0, 1.0]
+    k = tracking.Tracker()
+    k.feed(0.0, 0, 0, [(0, 0, 3, 2, 1.0), (61, 0, 2, 2, 0.5)])
+    assert k.at.tolist() == [[1.0, 1.0], [62.0, 1.0]]  # half an odd width is rounded down
+    k = tracking.Tracker()
+    k.feed(0.0, 0, 0, [(0, 0, 3, 2, 1.0), (60, 0, 2, 2, 0.5)])
+    assert len(k.open) == 2
     k = tracking.Tracker()
     k.feed(0.0, 0, 0, [(0, 0, 0, 0, 1.0)])
     assert k.feed(1.0, 0, 0, [(60, 0, 0, 0, 1.0)]) == [] and len(k.open) == 2  # exactly 60 is too far
@@ -143,6 +149,44 @@ def test_track_rules():
     assert [len(k.feed(float(t), 0, 0, [])) for t in (1, 2, 3, 4)] == [0, 0, 0, 1]
 
 
+def _plain_tracks(samples, reach=60.0, misses=3, top=25):
+    """Tracks of one video as sets of values, by exhaustive search over all open tracks."""
+    live, closed = [], []
+    for t, blobs in sorted(samples.items()):
+        for x, y, w, h, score in sorted(blobs, key=lambda b: (-b[4], b[1], b[0]))[:top]:
+            c = (x + w // 2, y + h // 2)
+            near = [(math.dist(c, k["c"]), i) for i, k in enumerate(live) if math.dist(c, k["c"]) < reach]
+            if not near:
+                live.append({"c": c, "seen": [t], "best": (score, t, (x, y, w, h))})
+                continue
+            k = live[min(near)[1]]
+            k["c"] = c
+            k["seen"].append(t)
+            if score > k["best"][0]:
+                k["best"] = (score, t, (x, y, w, h))
+        late = [k for k in live if sum(u > k["seen"][-1] for u in samples if u <= t) > misses]
+        closed += late
+        live = [k for k in live if k not in late]
+    return closed + live
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_tracks_query_equals_a_plain_search(spark):
+    import pandas as pd
+
+    e = pd.read_parquet(f"{SF}/events.parquet")
+    hour = e.ts.astype("datetime64[us]").astype("int64") // 3_600_000_000
+    want = set()
+    for user, own in e.assign(hour=hour).groupby("user_id"):
+        samples = {float(t): [(int(r.value // 1), r.event_id % 40, 3 + r.event_id % 4, 5, r.value) for r in g.itertuples()] for t, g in own.groupby("hour")}
+        want |= {(str(user), k["best"][1], k["seen"][0], k["seen"][-1], *k["best"][2], k["best"][0]) for k in _plain_tracks(samples)}
+    got = survey.QUERIES["q31_tracks"](spark, SF).collect()
+    assert {(r["video"], r["t_best"], r["t0"], r["t1"], r["x"], r["y"], r["w"], r["h"], r["score"]) for r in got} == want and len(got) == len(want) > 100
+    for video in {r["video"] for r in got}:
+        own = sorted((r for r in got if r["video"] == video), key=lambda r: r["track"])
+        assert [r["track"] for r in own] == list(range(len(own))) and all(a["score"] >= b["score"] for a, b in zip(own, own[1:]))
+
+
 def test_streamed_tracks_equal_batch(spark, tmp_path):
     from aerolens.streaming.tracks import stream_tracks
 
