@@ -54,8 +54,8 @@ def token_pieces(docs: DataFrame, vocab: str, capacity: int = CAPACITY, end_id:
         enc = encoder(vocab)
         for b in batches:
             out = []
-            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                ids = enc.encode(text.as_py() or "") + end
+            for doc_id, own in zip(b.column(0).to_pylist(), enc.encode_all(b.column(1)), strict=True):
+                ids = own.tobytes() + end
                 for i, (s, n) in enumerate(cut(len(ids) // 4, capacity)):
                     out.append((doc_id, i, s, n, zlib.crc32(memoryview(ids)[4 * s : 4 * (s + n)])))
             yield _batch(out)

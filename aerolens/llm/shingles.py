@@ -9,6 +9,8 @@ _ODD = 0x9E3779B97F4A7C15
 _table = np.random.default_rng(20240229).integers(1, 2**63, 256, dtype=np.int64).astype(_U) * _U(2) + _U(1)
 _space = np.zeros(256, bool)
 _space[[32, 9, 10, 11, 12, 13]] = True
+#: Bytes between two places whose powers are kept, and bytes that are summed at once.
+_STEP, _SEGMENT = 1 << 14, 1 << 20
 _powers: tuple[np.ndarray, np.ndarray] = (np.ones(1, _U), np.ones(1, _U))
 
 
@@ -32,15 +34,38 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers
 
 
+def _table_of(base: int, n: int) -> np.ndarray:
+    x = np.full(n, base, _U)
+    x[0] = 1
+    return np.cumprod(x, dtype=_U)
+
+
+_UP, _DOWN = _table_of(_ODD, _STEP), _table_of(pow(_ODD, -1, 2**64), _STEP)
+
+
+def run_hashes(a: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A hash of each run of bytes [start, end) of a; starts and ends ascend. Sums are held for one segment of a at a time."""
+    low, high = np.zeros(len(start), _U), np.zeros(len(end), _U)
+    carry = _U(0)
+    for lo in range(0, len(a) + 1, _SEGMENT):
+        seg = a[lo : lo + _SEGMENT]
+        up = (_table_of(pow(_ODD, _STEP, 2**64), -(-len(seg) // _STEP) + 1)[:, None] * _UP).ravel()[: len(seg)] * _U(pow(_ODD, lo, 2**64))
+        total = np.concatenate([[carry], carry + np.cumsum(_table[seg] * up, dtype=_U)])
+        for at, out in ((start, low), (end, high)):
+            i, j = np.searchsorted(at, [lo, lo + _SEGMENT])
+            out[i:j] = total[at[i:j] - lo]
+        carry = total[-1]
+    far = _table_of(pow(_ODD, -_STEP, 2**64), len(a) // _STEP + 1)
+    return mix((high - low) * _DOWN[start % _STEP] * far[start // _STEP])
+
+
 def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     """(hash, first byte) of each word of data, which is in lower case already."""
     a = np.frombuffer(data, np.uint8)
     gap = _space[a]
     edge = np.flatnonzero(np.diff(np.concatenate([[True], gap, [True]]).astype(np.int8)))
     start, end = edge[0::2], edge[1::2]
-    up, down = powers(len(a) + 1)
-    total = np.concatenate([np.zeros(1, _U), np.cumsum(_table[a] * up[: len(a)], dtype=_U)])
-    return mix((total[end] - total[start]) * down[start]), start
+    return run_hashes(a, start, end), start
 
 
 def shingle_sets(texts: list[bytes], words: int = 5) -> list[np.ndarray]:

@@ -37,7 +37,7 @@ STRETCH_BUCKET_BYTES = 1_500_000
 LOW_BITS = 40
 _U = np.uint64
 _PLACE = 24
-_SEGMENT = 1 << 22
+_SEGMENT = (1 << 20) - 200
 
 _KEY = "nul int, id long, h long"
 GRAMS = "bucket int, chunk long, low binary, high binary, times binary, place binary, nuls binary, ids binary, hs binary"

@@ -116,7 +116,7 @@ def write_tokens(docs: DataFrame, vocab: str, folder: str, kind: str = "uint16",
     document has its end id at least; an empty table gives no file. `kind` must hold every id.
     """
     spark = docs.sparkSession
-    end = np.array([end_id], "<u4").tobytes()
+    end = np.array([end_id], "<u4")
 
     def run(batches):
         from pyspark import TaskContext
@@ -126,13 +126,15 @@ def write_tokens(docs: DataFrame, vocab: str, folder: str, kind: str = "uint16",
         rows: list[tuple[int, int, int]] = []
         own = uuid.uuid4().hex
         for b in batches:
-            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                if out is None:
-                    enc = encoder(vocab)
-                    fs, at = _fs(folder)
-                    fs.create_dir(at)
-                    out = SequenceWriter(fs, f"{at}/_{name}-{own}", kind, length)
-                ids = np.frombuffer(enc.encode(text.as_py() or "") + end, "<u4")
+            if out is None and b.num_rows:
+                enc = encoder(vocab)
+                fs, at = _fs(folder)
+                fs.create_dir(at)
+                out = SequenceWriter(fs, f"{at}/_{name}-{own}", kind, length)
+                if max(enc.tok.get_vocab_size(), end_id + 1) > 1 << 8 * out.kind.itemsize:
+                    raise ValueError(f"{kind} does not hold every id")
+            for doc_id, of in zip(b.column(0).to_pylist(), enc.encode_all(b.column(1)) if b.num_rows else [], strict=True):
+                ids = np.concatenate([of, end])
                 rows.append((doc_id, out.total, len(ids)))
                 out.write(ids)
                 n_docs += 1

@@ -8,10 +8,11 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from aerolens.llm import embeddings, fingerprints, html_text, jaccard, language, mixing, packing, secrets, shingles, substrings, token_files
+from aerolens.llm import embeddings, fingerprints, html_text, jaccard, language, mixing, packing, secrets, shingles, substrings, token_files, tokens
 from aerolens.llm.components import components
 from aerolens.llm.tokens import Encoder, vocabulary
 
@@ -330,12 +331,35 @@ def test_dominance_keeps_small_instances_optimal(seed):
     assert packing.placements(Counter(sizes), 20)[1] >= optimum
 
 
-def test_encoder_equals_the_library():
-    odd = ["", " ", "a  b", " lead", "trail ", "a \n b", "a\n b\n\nc", "don't I'LL we've", "x  y", "Σας ΟΔΟΣ", "ﬁ é İ", "日本 語", "<|endoftext|> 12345 --- ...", "a\x1c b", "tab\t end"] + [r[1] for r in ROWS if r[1]]
+def test_encoder_equals_the_library(monkeypatch):
+    from tokenizers import Tokenizer
+
+    rng = random.Random(4)
+    odd = ["", " ", "a  b", " lead", "trail ", "a \n b", "a\n b\n\nc", "don't I'LL we've", "x  y", "Σας ΟΔΟΣ", "ﬁ é İ", "日本 語", "a\x1c b", "a\x85 b", "tab\t end", "a \u0301b", "z" * 500 + " " + "y" * 60]
+    odd += ["<|endoftext|> 12345 --- ...", "x <|endoftext|> y", "a <|startoftext|>b", "<|ENDOFTEXT|> <|endof text|>", "c <|endoftext|><|endoftext|> "] + [r[1] for r in ROWS if r[1]]
+    letters = [*"abzAZ 0'.,<|>\n\té\u0301ÉßİΣ日\xa0\u3000\x1c", "  ", " ", "<|", "endoftext", "|>", "'s", "'LL"]
+    odd += ["".join(rng.choice(letters) for _ in range(rng.randint(1, 25))) for _ in range(1500)]
     for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
-        e = Encoder(vocabulary(name))
-        for t in odd * 2:
-            assert np.frombuffer(e.encode(t), "<u4").tolist() == e.tok.encode(t, add_special_tokens=False).ids, t
+        e, plain = Encoder(vocabulary(name)), Tokenizer.from_file(vocabulary(name))
+        want = [plain.encode(t, add_special_tokens=False).ids for t in odd]
+        for held, size in ((800_000, 4_000_000), (50, 300)):  # the second forgets all the time
+            monkeypatch.setattr(tokens, "TABLE_CHUNKS", held)
+            monkeypatch.setattr(tokens, "SLICE_BYTES", size)
+            got = list(e.encode_all(pa.array([*odd, None, *odd])))
+            assert len(got) == 2 * len(odd) + 1 and not len(got[len(odd)])
+            for t, ids, again, x in zip(odd, got[: len(odd)], got[len(odd) + 1 :], want, strict=True):
+                assert ids.tolist() == again.tolist() == x, t
+
+
+def test_runs_are_hashed_alike_wherever_they_stand(monkeypatch):
+    rng = np.random.default_rng(12)
+    words = [bytes(rng.integers(97, 123, int(rng.integers(1, 90))).astype(np.uint8)) for _ in range(200)]
+    data = b" ".join(words * 3)
+    h, start = shingles.word_hashes(data)
+    assert len(set(h.tolist())) == len(set(words)) and (h[:200] == h[400:]).all()
+    for step in (7, 64, 5000):
+        monkeypatch.setattr(shingles, "_SEGMENT", step)
+        assert (shingles.word_hashes(data)[0] == h).all()
 
 
 def test_token_files(spark, docs, none, tmp_path):
