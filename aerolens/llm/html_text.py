@@ -1,9 +1,10 @@
 """Main text of web pages by composite text density.
 
 A tolerant scan builds the element tree. Elements that say what they are (menus, forms, adverts, comments)
-go first. For each remaining element, characters per tag are adjusted by its share of links; the element
-whose children's densities have the largest sum holds the article. The least density on its path to the
-body is the threshold below which blocks of links inside it go as well.
+go first, unless by their name alone they would take the article with them. For each remaining element, characters per
+tag are adjusted by its share of links; the element whose children's densities have the largest sum, whatever its tag,
+holds the article. The least density on its path to the body is the threshold below which lists of links inside it
+go as well.
 """
 
 from __future__ import annotations
@@ -11,6 +12,8 @@ from __future__ import annotations
 import html
 import math
 import re
+from bisect import bisect_right
+from collections import defaultdict
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -58,13 +61,17 @@ DROP_NAMES = frozenset(
     "comment comments disqus replies share sharing social related recommended widget toolbar pagination pager".split()
 )
 NEVER_DROP = frozenset(["html", "body", "article", "main"])
+#: How sure a drop is: by tag or role, or by a word of its class or id only.
+SURE, NAMED = 1, 2
+#: Share of the page's text that no element is dropped with by its name, and links that make a list of links.
+MOST_TEXT, LIST_LINKS = 0.9, 3
 CONTAINERS = frozenset("body html article main section div td blockquote center details".split())
 
 
 class Node:
     __slots__ = ("tag", "parent", "items", "drop", "chars", "tags", "link_chars", "link_tags", "density", "total", "kids")
 
-    def __init__(self, tag: str, parent: Node | None, drop: bool = False):
+    def __init__(self, tag: str, parent: Node | None, drop: int = 0):
         self.tag, self.parent, self.drop = tag, parent, drop
         self.items: list = []
         self.kids: list[Node] = []
@@ -72,46 +79,65 @@ class Node:
         self.density = self.total = 0.0
 
 
-def _dropped(tag: str, attrs: str, parent: Node) -> bool:
+def _dropped(tag: str, attrs: str, in_article: bool) -> int:
     if tag in NEVER_DROP:
-        return False
-    if tag in DROP_TAGS:
-        return True
-    if tag == "header":
-        return not _inside(parent, ("article", "main"))
+        return 0
+    if tag in DROP_TAGS or tag == "header" and not in_article:
+        return SURE
+    drop = 0
     if attrs:
         for m in _ATTR.finditer(attrs):
             value = m[2] or m[3] or m[4] or ""
             if m[1].lower() == "role":
                 if value.strip().lower() in DROP_ROLES:
-                    return True
+                    return SURE
             elif any(x.lower() in DROP_NAMES for x in _NAME.findall(value)):
-                return True
-    return False
+                drop = NAMED
+    return drop
 
 
-def _inside(node: Node | None, tags: tuple) -> Node | None:
-    while node is not None and node.tag not in tags:
-        node = node.parent
-    return node
+class _Open:
+    """The open elements, and for each tag how deep its open elements are."""
+
+    def __init__(self, root: Node):
+        self.stack, self.depths = [root], defaultdict(list)
+
+    def last(self, tags) -> int:
+        """Depth of the innermost open element of these tags; 0 if there is none."""
+        return max((self.depths[t][-1] for t in tags if self.depths[t]), default=0)
+
+    def outermost(self, tags, below: int) -> int:
+        """Depth of the outermost open element of these tags that is deeper than `below`; 0 if there is none."""
+        own = [d[i] for t in tags if (d := self.depths[t]) and (i := bisect_right(d, below)) < len(d)]
+        return min(own, default=0)
+
+    def close(self, depth: int) -> None:
+        """Close the element at this depth and all inside it."""
+        while len(self.stack) > depth:
+            self.depths[self.stack.pop().tag].pop()
+
+    def add(self, node: Node) -> None:
+        self.depths[node.tag].append(len(self.stack))
+        self.stack.append(node)
 
 
 def parse(page: str) -> Node:
     """The element tree of a page, with its text between the elements. Never fails: what is no markup is text."""
-    root = at = Node("html", None)
-    open_p = 0
+    root = Node("html", None)
+    at = _Open(root)
     pos, end, lower = 0, len(page), None
     find = _TOKEN.search
     while pos < end:
         m = find(page, pos)
+        items = at.stack[-1].items
         if m is None:
-            at.items.append(page[pos:])
+            items.append(page[pos:])
             break
         if m.start() > pos:
-            at.items.append(page[pos : m.start()])
+            items.append(page[pos : m.start()])
         pos = m.end()
         if m["cdata"] is not None:
-            at.items.append(m["cdata"].replace("&", "&amp;"))
+            items.append(m["cdata"].replace("&", "&amp;"))
         elif m["start"] is not None:
             tag, attrs = m["start"].lower(), m["attrs"]
             if tag in ("html", "body"):
@@ -125,44 +151,49 @@ def parse(page: str) -> Node:
                     close = re.compile(rf"</{re.escape(tag)}(?=[\s/>]|\Z)[^>]*(?:>|\Z)").search(lower, pos)
                     pos = close.end() if close else end
                 continue
-            if open_p and tag in ENDS_P:
-                p = _inside(at, ("p", "button", "table"))
-                if p is not None and p.tag == "p":
-                    at = p.parent
-                    open_p -= 1
+            if tag in ENDS_P and (p := at.last(("p",))) > at.last(("button", "table")):
+                at.close(p)
             if tag in ENDS:
                 close_, limit = ENDS[tag]
-                n, last = at, None
-                while n is not None and n.tag not in limit:
-                    if n.tag in close_:
-                        last = n
-                    n = n.parent
-                if last is not None:
-                    at = last.parent
-            node = Node(tag, at, _dropped(tag, attrs, at))
-            at.items.append(node)
+                if outer := at.outermost(close_, at.last(limit)):
+                    at.close(outer)
+            parent = at.stack[-1]
+            node = Node(tag, parent, _dropped(tag, attrs, at.last(("article", "main")) > 0))
+            parent.items.append(node)
             if tag not in VOID and not (attrs.endswith("/") and tag in ("svg", "path")):
-                at = node
-                open_p += tag == "p"
+                at.add(node)
         elif m["end"] is not None:
             tag = m["end"].lower()
             if tag in ("html", "body"):
                 continue
             if tag == "br":
-                at.items.append(Node("br", at))
+                items.append(Node("br", at.stack[-1]))
                 continue
-            n = at
-            while n is not None and n.tag != tag:
-                n = None if n.tag in ("table", "td", "th") and tag not in BLOCK else n.parent
-            if n is not None and n.parent is not None:
-                while at is not n:
-                    open_p -= at.tag == "p"
-                    at = at.parent
-                open_p -= at.tag == "p"
-                at = n.parent
+            depth = at.last((tag,))
+            if depth and (tag in BLOCK or depth > at.last(("table", "td", "th"))):
+                at.close(depth)
     return root
 
 
+def spare(root: Node) -> None:
+    """Undo drops by name alone of elements that hold an article, a main part, or nearly all text of the page."""
+    nodes, todo = [], [root]
+    while todo:
+        n = todo.pop()
+        nodes.append(n)
+        todo.extend(x for x in n.items if isinstance(x, Node) and x.drop != SURE)
+    holds: set[Node] = set()
+    for n in reversed(nodes):
+        n.chars += sum(len("".join(x.split())) for x in n.items if isinstance(x, str))
+        if n.parent is not None:
+            n.parent.chars += n.chars
+            if n in holds or n.tag in ("article", "main"):
+                holds.add(n.parent)
+    for n in nodes:
+        if n.drop == NAMED and n.chars and (n in holds or n.chars >= MOST_TEXT * root.chars):
+            n.drop = 0
+
+
 def _in_order(root: Node) -> list[Node]:
     """Elements that stay, each before its descendants."""
     out, todo = [], [root]
@@ -198,22 +229,8 @@ def measure(root: Node) -> list[Node]:
 
 
 def main_node(nodes: list[Node]) -> tuple[Node, float]:
-    """The element that holds the article, and the threshold.
-
-    Of the containers, the one with the largest sum; ties go to the first on the page. Where the page names an
-    article with text, or else a main part, only those and what is in them are candidates, and the outermost stands
-    for what is inside it.
-    """
-    best, names = nodes[0], ("html",)
-    for names in (("article",), ("main",), ("html",)):
-        own = [n for n in nodes if n.chars and n.tag in CONTAINERS and _inside(n, names)]
-        if own:
-            best = max(own, key=lambda n: (n.total, n.chars))
-            break
-    if names != ("html",):
-        outer = _inside(best, names)
-        while outer is not None:
-            best, outer = outer, _inside(outer.parent, names)
+    """The container with the largest sum of its children's densities, ties to the first on the page, and the threshold."""
+    best = max((n for n in nodes if n.chars and n.tag in CONTAINERS), key=lambda n: (n.total, n.chars), default=nodes[0])
     threshold, n = best.density, best
     while n is not None:
         threshold, n = min(threshold, n.density), n.parent
@@ -221,7 +238,7 @@ def main_node(nodes: list[Node]) -> tuple[Node, float]:
 
 
 def text_of(node: Node, threshold: float) -> str:
-    """Text of the blocks of an element in page order, without blocks that are mostly links and below the threshold."""
+    """Text of the blocks of an element in page order, without lists of links that are below the threshold."""
     out: list[str] = []
     todo: list = [node]
     while todo:
@@ -232,7 +249,7 @@ def text_of(node: Node, threshold: float) -> str:
         if x is None:
             out.append(" ")
             continue
-        if x.drop or x is not node and x.tag in BLOCK and x.density < threshold and 2 * x.link_chars > x.chars:
+        if x.drop or x is not node and x.tag in BLOCK and x.density <= threshold and x.link_tags >= LIST_LINKS and 2 * x.link_chars > x.chars:
             continue
         block = x.tag in BLOCK
         if block:
@@ -246,7 +263,9 @@ def extract(page: str | None) -> str:
     """Main text of a page; empty for null, for an empty page, or if there is no text."""
     if not page:
         return ""
-    nodes = measure(parse(page))
+    root = parse(page)
+    spare(root)
+    nodes = measure(root)
     return text_of(*main_node(nodes))
 
 
