@@ -1,10 +1,9 @@
 """Language identification by compression with a zstandard raw-content dictionary for each language.
 
-A text is reduced to lower-case letters and single spaces, compressed for each language in pieces that each
-meet the dictionary anew, and the smallest sum names the language: sizes and their differences both grow with the
-text, so the margin doesn't hang on its length. Short texts are compressed with several dictionaries of each
-language, alone and after an opening in that language, and the sizes are averaged, which gives a finer
-measure. A narrow margin is a rejection.
+A text is reduced to lower-case letters and single spaces and cut into pieces. For each language, each piece is
+compressed behind a short opening in that language, with the dictionary in reach, and the smallest sum names the
+language: sizes and their differences both grow with the text, so the margin doesn't hang on its length. The
+opening makes short texts compressible at all. A narrow margin is a rejection.
 """
 
 from __future__ import annotations
@@ -19,24 +18,22 @@ from pyspark.sql.window import Window
 
 from .common import table
 
-#: The sample that dictionaries are made of: so many labelled documents of each language, so many characters of each.
+#: The sample that a dictionary is made of: so many labelled documents of each language, whole. Their passages of so
+#: many characters, in the order of a hash, fill the dictionary.
 SAMPLE_DOCS = 200
-SAMPLE_CHARS = 16_384
-DICTIONARY_BYTES = 65_536
-DICTIONARIES = 4
-#: Texts below so many bytes are measured with all dictionaries of a language.
-SHORT_BYTES = 1000
-#: Bytes of another dictionary of the language that a short text is set behind: alone it may be too short to be coded at all.
+PASSAGE_CHARS = 1024
+DICTIONARY_BYTES = 262_144
+#: Bytes of the sample that are the opening.
 OPENING_BYTES = 500
 #: Bytes of a piece at most. In a longer one the text's own words soon serve as well as the dictionary's.
 PIECE_BYTES = 4096
-LEVEL = 6
+LEVEL = 9
 #: A smallest size that is less than this share below the second is too close to call.
 MARGIN = 0.005
 FOLDS = 5
 UNKNOWN = "und"
 #: Bytes of size difference that make a language e times less likely, for the score.
-SCORE_BYTES = 3.0
+SCORE_BYTES = 4.0
 _OTHER = re.compile(r"[\W\d_]+")
 
 OUT = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("margin", T.DoubleType()), T.StructField("rejected", T.BooleanType())])
@@ -54,39 +51,41 @@ def pieces(data: bytes) -> list[bytes]:
     return [data[i : i + size] for i in range(0, len(data), size)]
 
 
-def fit(docs: DataFrame, fold: int = 0, folds: int = FOLDS) -> list[tuple[str, list[bytes]]]:
-    """Languages, the most common first, with their dictionaries, from labelled documents outside the fold.
+def fit(docs: DataFrame, fold: int = 0, folds: int = FOLDS) -> list[tuple[str, bytes]]:
+    """Languages, the most common first, with their sample, from labelled documents outside the fold.
 
-    The sample is the SAMPLE_DOCS documents of each language with the smallest hashes; how common a language
-    is counts all documents. Its size depends on the number of languages only.
+    The documents are the SAMPLE_DOCS of each language with the smallest hashes; of their passages, those with the smallest
+    hashes are taken, as many as a dictionary and an opening hold. How common a language is counts all documents. The
+    size of the result depends on the number of languages only.
     """
     known = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & (F.crc32(F.col("doc_id").cast("string")) % folds != fold))
     counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
     w = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", "lang"), "doc_id")
-    rows = known.select("lang", "doc_id", F.substring("text", 1, SAMPLE_CHARS).alias("text")).withColumn("rank_", F.row_number().over(w)).where(F.col("rank_") <= SAMPLE_DOCS).collect()
+    chosen = known.select("lang", "doc_id", F.row_number().over(w).alias("rank_")).where(F.col("rank_") <= SAMPLE_DOCS).select("lang", "doc_id").distinct()
+    sample = known.select("lang", "doc_id", "text").join(F.broadcast(chosen), ["lang", "doc_id"], "left_semi")  # at most SAMPLE_DOCS ids a language
+    passages = sample.select("lang", "doc_id", F.posexplode(F.regexp_extract_all("text", F.lit(f"(?s).{{1,{PASSAGE_CHARS}}}"), F.lit(0))).alias("at_", "text"))
+    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", "at_"), "doc_id", "at_", "text")
+    most = 2 * (DICTIONARY_BYTES + OPENING_BYTES) // PASSAGE_CHARS  # not all of a passage may be letters
+    rows = passages.withColumn("rank_", F.row_number().over(order)).where(F.col("rank_") <= most).select("lang", "rank_", "text").collect()
     out = []
     for lang in sorted(counts, key=lambda x: (-counts[x], x)):
-        whole = b" ".join(letters(r["text"]) for r in sorted((r for r in rows if r["lang"] == lang), key=lambda r: r["rank_"]))[: DICTIONARY_BYTES * DICTIONARIES]
-        size = max(1, -(-len(whole) // DICTIONARIES))
-        out.append((lang, [whole[i * size : (i + 1) * size] for i in range(DICTIONARIES)]))
+        own = sorted((r["rank_"], r["text"]) for r in rows if r["lang"] == lang)
+        out.append((lang, b" ".join(letters(text) for _, text in own)[: DICTIONARY_BYTES + OPENING_BYTES]))
     return out
 
 
 class Classifier:
-    def __init__(self, model: list[tuple[str, list[bytes]]]):
+    def __init__(self, model: list[tuple[str, bytes]]):
         import zstandard as z
 
-        self.langs: list[tuple[str, list]] = []
-        for lang, parts in model:
-            own = []
-            for k, data in enumerate(parts):
-                p = z.ZstdCompressionParameters.from_level(LEVEL, source_size=PIECE_BYTES, dict_size=len(data), write_content_size=False)
-                d = z.ZstdCompressionDict(data or b" " * 8, dict_type=z.DICT_TYPE_RAWCONTENT)
-                d.precompute_compress(compression_params=p)
-                c = z.ZstdCompressor(compression_params=p, dict_data=d)
-                opening = parts[(k + 1) % len(parts)][:OPENING_BYTES] + b" "
-                own.append((c, opening, len(c.compress(opening))))
-            self.langs.append((lang, own))
+        self.langs: list[tuple] = []
+        for lang, sample in model:
+            opening, data = sample[:OPENING_BYTES] + b" ", sample[OPENING_BYTES:]
+            p = z.ZstdCompressionParameters.from_level(LEVEL, source_size=PIECE_BYTES, dict_size=len(data), write_content_size=False)
+            d = z.ZstdCompressionDict(data or b" " * 8, dict_type=z.DICT_TYPE_RAWCONTENT)
+            d.precompute_compress(compression_params=p)
+            c = z.ZstdCompressor(compression_params=p, dict_data=d)
+            self.langs.append((lang, c, opening, len(c.compress(opening))))
 
     def predict(self, text: str | None) -> tuple[str, float, float, bool]:
         """(language, score, margin, rejected). Equal sizes go to the more common language.
@@ -96,11 +95,8 @@ class Classifier:
         data = letters(text or "")
         if not data or not self.langs:
             return UNKNOWN, 0.0, 0.0, True
-        if len(data) < SHORT_BYTES:
-            sizes = [(sum(len(c.compress(data)) + len(c.compress(opening + data)) - n for c, opening, n in own) / (2 * len(own)), i) for i, (_, own) in enumerate(self.langs)]
-        else:
-            cut = pieces(data)
-            sizes = [(float(sum(len(own[0][0].compress(x)) for x in cut)), i) for i, (_, own) in enumerate(self.langs)]
+        cut = pieces(data)
+        sizes = [(float(sum(len(c.compress(opening + x)) - n for x in cut)), i) for i, (_, c, opening, n) in enumerate(self.langs)]
         sizes.sort()
         best = sizes[0][0]
         margin = (sizes[1][0] - best) / max(1.0, sizes[1][0]) if len(sizes) > 1 else 1.0
@@ -108,7 +104,7 @@ class Classifier:
         return self.langs[sizes[0][1]][0], score, margin, margin < MARGIN
 
 
-def identify(docs: DataFrame, model: list[tuple[str, list[bytes]]]) -> DataFrame:
+def identify(docs: DataFrame, model: list[tuple[str, bytes]]) -> DataFrame:
     """doc_id, lang_pred, score, margin and rejected for each row of docs, of whose columns only doc_id and text are read."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by fit()
 
@@ -124,7 +120,7 @@ def identify(docs: DataFrame, model: list[tuple[str, list[bytes]]]) -> DataFrame
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, OUT)
 
 
-def keep_identified(docs: DataFrame, model: list[tuple[str, list[bytes]]]) -> DataFrame:
+def keep_identified(docs: DataFrame, model: list[tuple[str, bytes]]) -> DataFrame:
     """The rows of docs, all columns, whose language is told without doubt."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index("text")
