@@ -1,10 +1,10 @@
 """Secret scans with an incremental blob ledger.
 
-Every version of a document is addressed by the SHA-256 of its text. The ledger says which blob has been
-scanned under which rule version, and with what findings; only pairs that it lacks are scanned, once
-each, however many documents hold the blob. Findings are then joined back to all documents. All of it is
-DataFrame operations: the text between matches and the matches themselves come from one pattern, and a
-running sum of their lengths gives the places in code points.
+Every row is a version of the path doc_id, and every version is addressed by the SHA-256 of its text. The ledger says
+which blob has been scanned under which rule version, and with what findings. Pairs that it lacks are found by their
+hashes alone, and only their texts, one for each blob, meet a pattern. Findings are then joined back to all versions of all
+paths. All of it is DataFrame operations: the text between matches and the matches themselves come from one pattern,
+and a running sum of their lengths gives the places in code points.
 """
 
 from __future__ import annotations
@@ -15,21 +15,25 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import table
+from .common import table, written
 
 RULE_VERSION = "2"
-#: kind, pattern, group that counts, its least length. The first three are the base; later ones add spans.
+#: kind, pattern, group that counts, its least length, and what a text that it matches holds in lower case: one of these,
+#: if there are any. The first three are the base; later ones add spans.
 RULES = (
-    ("assign", r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 8),
-    ("access", r"AKIA[A-Z0-9]+", 0, 16),
-    ("hex", r"[0-9a-f]{32,}", 0, 32),
-    ("private_key", r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----", 0, 1),
-    ("code_host", r"gh[pousr]_[A-Za-z0-9]{36,}", 0, 1),
-    ("web_token", r"eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}", 0, 1),
-    ("chat_token", r"xox[abprs]-[A-Za-z0-9-]{20,}", 0, 1),
+    ("assign", r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 8, ("passw", "secret", "token", "api")),
+    ("access", r"AKIA[A-Z0-9]+", 0, 16, ("akia",)),
+    ("hex", r"[0-9a-f]{32,}", 0, 32, ()),
+    ("private_key", r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----", 0, 1, ("-----begin ",)),
+    ("code_host", r"gh[pousr]_[A-Za-z0-9]{36,}", 0, 1, ("ghp_", "gho_", "ghu_", "ghs_", "ghr_")),
+    ("web_token", r"eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}", 0, 1, ("eyj",)),
+    ("chat_token", r"xox[abprs]-[A-Za-z0-9-]{20,}", 0, 1, ("xox",)),
 )
 BASE = 3
 MASK = "[SECRET]"
+#: Rows of unseen blobs that are broadcast at most, of some 100 bytes each; more are joined by shuffling.
+MOST_BROADCAST = 100_000
+_FOUND = "array<struct<start:bigint,kind:int,end:bigint>>"
 
 
 def blob_id(text: Column) -> Column:
@@ -37,15 +41,21 @@ def blob_id(text: Column) -> Column:
 
 
 def may_hold(text: Column) -> Column:
-    """Whether any rule can match at all."""
-    return F.coalesce(text.rlike("|".join(f"(?:{p})" for _, p, _, _ in RULES)), F.lit(False))
+    """Whether any rule can match at all. A pattern is tried only where its text is."""
+    low = F.lower(text)
+
+    def one(pattern: str, marks: tuple) -> Column:
+        there = reduce(Column.__or__, [F.contains(low, F.lit(m)) for m in marks]) if marks else F.lit(True)
+        return there & text.rlike(pattern)
+
+    return F.coalesce(reduce(Column.__or__, [one(r[1], r[4]) for r in RULES]), F.lit(False))
 
 
 def blob_spans(texts: DataFrame) -> DataFrame:
     """(blob, kind, start, end) of all findings in (blob, text): kind is a place in RULES, start and end are code points."""
 
     def lengths(k: int) -> Column:
-        _, p, group, _ = RULES[k]
+        _, p, group, *_ = RULES[k]
         long = lambda a: F.transform(a, lambda x: F.length(x))
         return F.struct(F.lit(k).alias("kind"), F.arrays_zip(long(F.split("text", p, -1)).alias("gap"), long(F.regexp_extract_all("text", F.lit(p), F.lit(0))).alias("len"), long(F.regexp_extract_all("text", F.lit(p), F.lit(group))).alias("value")).alias("parts"))
 
@@ -65,17 +75,18 @@ def scan(docs: DataFrame, ledger: DataFrame | None = None, rule_version: str = R
     """New ledger rows (blob, rule_version, found) for the blobs of docs that ledger lacks under rule_version.
 
     found: array of (start, kind, end), sorted; empty if there is none. One row for each blob; a null
-    text is the empty blob, and an empty table gives no rows.
+    text is the empty blob, and an empty table gives no rows. Texts of known blobs meet no pattern.
     """
     path = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
     blobs = docs.select(blob_id(F.col("text")).alias("blob"), path.alias("path_"), F.col("text"))
     unseen = blobs.groupBy("blob").agg(F.min("path_").alias("path_"))
     if ledger is not None:
         unseen = unseen.join(ledger.where(F.col("rule_version") == rule_version).select("blob"), "blob", "left_anti")
-    texts = blobs.join(unseen, ["blob", "path_"], "left_semi")
+    unseen = written(unseen, "unseen")
+    few = unseen.count() <= MOST_BROADCAST
+    texts = blobs.join(F.broadcast(unseen) if few else unseen.hint("shuffle_hash"), ["blob", "path_"], "left_semi")
     found = blob_spans(texts).groupBy("blob").agg(F.sort_array(F.collect_list(F.struct("start", "kind", "end"))).alias("found"))
-    none = F.array().cast("array<struct<start:bigint,kind:int,end:bigint>>")
-    return unseen.join(found, "blob", "left").select("blob", F.lit(rule_version).alias("rule_version"), F.coalesce("found", none).alias("found"))
+    return unseen.join(found, "blob", "left").select("blob", F.lit(rule_version).alias("rule_version"), F.coalesce("found", F.array().cast(_FOUND)).alias("found"))
 
 
 class Ledger:
@@ -103,12 +114,20 @@ def findings(docs: DataFrame, ledger: DataFrame, rule_version: str = RULE_VERSIO
 def redact(docs: DataFrame, ledger: DataFrame | None = None) -> DataFrame:
     """docs, all columns and rows, with MASK for each run of findings, and n_chars of the new text if there is that column.
 
-    Documents that no rule can match pass by; only the others are joined with their findings.
+    Without a ledger, documents that some rule may match are set aside and scanned; the others pass by. With one, which
+    must know all blobs of docs, no text is scanned at all.
     """
-    hit = may_hold(F.col("text"))
-    risky = docs.where(hit).select(F.struct(*docs.columns).alias("d_"), F.col("text"), blob_id(F.col("text")).alias("blob_"))  # names of docs can't clash
-    rows = scan(docs.where(hit), ledger) if ledger is None else ledger
-    known = rows.where(F.col("rule_version") == RULE_VERSION).select(F.col("blob").alias("blob_"), F.col("found").alias("found_"))
+    own = [F.struct(*docs.columns).alias("d_"), F.col("text"), blob_id(F.col("text")).alias("blob_")]  # names of docs can't clash
+    if ledger is None:
+        hit = may_hold(F.col("text"))
+        rest = docs.where(~hit)
+        risky = written(docs.where(hit).select(*own), "risky")
+        ledger = scan(risky.select("d_.doc_id", "text"))
+        known = _known(ledger)
+    else:
+        known = _known(ledger)
+        rest = docs.select(*own).join(known, "blob_", "left_anti").select("d_.*")
+        risky = docs.select(*own).join(known.select("blob_"), "blob_", "left_semi")
     zero = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
@@ -119,12 +138,21 @@ def redact(docs: DataFrame, ledger: DataFrame | None = None) -> DataFrame:
     clean = F.aggregate("found_", zero, step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"].cast("int") + 1, F.lit(2**31 - 1))))
     done = risky.join(known, "blob_", "left").withColumn("new_", F.when(F.size("found_") > 0, clean).otherwise(F.col("text")))
     new = {"text": F.col("new_"), "n_chars": F.length("new_").cast("long")}
-    return docs.where(~hit).unionByName(done.select(*[new.get(c, F.col("d_")[c]).alias(c) for c in docs.columns]))
+    return rest.unionByName(done.select(*[new.get(c, F.col("d_")[c]).alias(c) for c in docs.columns]))
+
+
+def _known(ledger: DataFrame) -> DataFrame:
+    """(blob_, found_) of the blobs with findings."""
+    rows = ledger.where((F.col("rule_version") == RULE_VERSION) & (F.size("found") > 0))
+    return rows.select(F.col("blob").alias("blob_"), F.col("found").alias("found_"))
 
 
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two increments: about half of the documents, then all of them, of which the ledger knows the first half."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = findings(docs, scan(docs))
+    ledger = written(scan(docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0)), "ledger")
+    ledger = ledger.unionByName(written(scan(docs, ledger), "ledger"))
+    found = findings(docs, ledger)
     base = F.filter("found", lambda x: x["kind"] < BASE)
     count = lambda k: F.size(F.filter("found", lambda x: x["kind"] == k)).cast("long")
     return found.select("doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), F.sha2(_joined(base), 256).alias("base_sha256"), _joined(F.col("found")).alias("spans"))

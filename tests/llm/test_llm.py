@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import os
 import random
 import re
 import zlib
@@ -283,9 +284,35 @@ def test_secrets(spark, tmp_path):
     clean = {r["doc_id"]: r for r in secrets.redact(df).collect()}
     assert len(clean) == len(texts) and clean[4]["text"] == "plain" and clean[5]["text"] is None and clean[4]["found"] == "x"
     assert clean[0]["text"] == f'é {secrets.MASK}" and {secrets.MASK}' and clean[0]["n_chars"] == len(clean[0]["text"])
+    assert Counter(map(str, secrets.redact(df, ledger).collect())) == Counter(map(str, clean.values()))
     assert secrets.redact(df.limit(0)).count() == 0 and secrets.scan(df.limit(0)).count() == 0
 
 
+def test_known_blobs_meet_no_pattern(spark, tmp_path, monkeypatch):
+    df = spark.createDataFrame([(1, f"a {SECRET}"), (1, "an older version, token: abcdefghij"), (2, f"a {SECRET}"), (3, None)], "doc_id long, text string")
+    df.where("doc_id = 1").write.parquet(f"{tmp_path}/documents.parquet")
+    ledger = secrets.scan(spark.read.parquet(f"{tmp_path}/documents.parquet")).cache()
+    assert ledger.count() == 2
+    df.write.mode("overwrite").parquet(f"{tmp_path}/documents.parquet")
+    docs, tried = spark.read.parquet(f"{tmp_path}/documents.parquet"), []
+    plain = secrets.blob_spans
+    monkeypatch.setattr(secrets, "blob_spans", lambda texts: tried.append([r["text"] for r in texts.collect()]) or plain(texts))
+    for few in (100_000, 0):  # by broadcasting and by shuffling
+        monkeypatch.setattr(secrets, "MOST_BROADCAST", few)
+        new = secrets.scan(docs, ledger)
+        assert [tuple(r["found"]) for r in new.collect()] == [()] and tried.pop() == [None]
+        assert secrets.scan(docs, ledger.unionByName(new)).count() == 0 and tried.pop() == []
+        whole = secrets.scan(docs)
+        plan = whole._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.index("RLIKE") < plan.index("LeftSemi") and "RLIKE" not in plan[plan.index("LeftSemi") :]
+        assert secrets.scan(docs, ledger, "9").count() == 3  # another rule version knows none of them
+        tried.clear()
+    found = {(r["doc_id"], len(r["found"])) for r in secrets.findings(docs, whole).collect()}
+    assert found == {(1, 1), (2, 1), (3, 0)}
+    got = secrets.op3_secret_scan(spark, str(tmp_path)).collect()
+    assert Counter((r["doc_id"], r["n_assign"], r["n_access"], r["n_hex"]) for r in got) == Counter([(1, 0, 1, 0), (1, 1, 0, 0), (2, 0, 1, 0), (3, 0, 0, 0)])
+
+
 def test_packing(spark, docs, none):
     enc = Encoder(vocabulary("byte_bpe_50k.json"))
     got = packing.pack_documents(docs).collect()
@@ -442,6 +469,38 @@ def test_language(spark, docs, none):
     assert empty.count() == 0 and language.identify(docs, []).select("lang_pred").distinct().collect()[0][0] == "und"
 
 
+def _plain_choice(text, samples):
+    """The language whose sample compresses the text best, piece by piece, by the plainest use of the library."""
+    import zstandard as z
+
+    letters = re.sub(r"[\W\d_]+", " ", text.lower()).strip().encode()
+    n = max(1, -(-len(letters) // 4096))
+    size = max(1, -(-len(letters) // n))
+
+    def cost(sample):
+        c = z.ZstdCompressor(compression_params=z.ZstdCompressionParameters.from_level(9, source_size=4096, dict_size=len(sample) - 500, write_content_size=False), dict_data=z.ZstdCompressionDict(sample[500:], dict_type=z.DICT_TYPE_RAWCONTENT))
+        return sum(len(c.compress(sample[:500] + b" " + letters[i : i + size])) - len(c.compress(sample[:500] + b" ")) for i in range(0, len(letters), size))
+
+    return min(samples, key=lambda x: cost(x[1]))[0]
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables")
+def test_language_query_equals_a_plain_choice(spark):
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    model, rows = language.fit(docs), {r["doc_id"]: r for r in docs.collect()}
+    learned = b" ".join(language.letters(r["text"]) for r in rows.values() if r["text"] and r["lang"] and zlib.crc32(str(r["doc_id"]).encode()) % 5)
+    assert all(len(s) <= language.DICTIONARY_BYTES + language.OPENING_BYTES and s[700:800] in learned for _, s in model)
+    got = language.op5_language_id(spark, sf).collect()
+    assert len(got) == len(rows) and Counter(r["doc_id"] for r in got) == Counter(rows)
+    for r in got:
+        text = rows[r["doc_id"]]["text"]
+        assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0)
+        assert r["lang_pred"] == (_plain_choice(text, model) if text and re.search(r"[^\W\d_]", text) else "und")
+    held = [r for r in got if r["held_out"] and rows[r["doc_id"]]["lang"]]
+    assert sum(r["lang_pred"] == rows[r["doc_id"]]["lang"] for r in held) >= 0.95 * len(held) > 20
+
+
 def test_long_clear_texts_are_not_rejected(spark):
     rng = random.Random(2)
     parts = {"aa": ["ba", "ku", "lo", "zi"], "bb": ["str", "eng", "och", "tter"]}
@@ -531,10 +590,76 @@ two &lt;tag&gt; and more words that follow on to the end.</p><p>Ok.</p><div clas
 
 def test_html():
     assert html_text.extract(PAGE) == "Head & tail First bolded words, many of them to make a text of some length here. Second one line two <tag> and more words that follow on to the end. Ok. item one item two"
-    cases = {None: "", "": "", "<p>": "", "just text": "just text", "<p>a<p>b &amp; c": "a b & c", "<article><p>x</p></article><p>y": "x", "<a \"'>": "", "<!-- x": "", "a<b": "a", "<table><tr><td>a<td>b</table>": "a b", "<p>x</p></div></p></span>y": "x y", "<![CDATA[a&b]]>": "a&b", "<script>x": "", "&#65;&bogus;&eacute": "A&bogus;é"}
+    cases = {None: "", "": "", "<p>": "", "just text": "just text", "<p>a<p>b &amp; c": "a b & c", "<article><p>x<p>z</article><p>y": "x z y", "<a \"'>": "", "<!-- x": "", "a<b": "a", "<table><tr><td>a<td>b</table>": "a b", "<p>x</p></div></p></span>y": "x y", "<![CDATA[a&b]]>": "a&b", "<script>x": "", "&#65;&bogus;&eacute": "A&bogus;é"}
     for page, want in cases.items():
         assert html_text.extract(page) == want, page
-    assert html_text.extract("<div>" * 3000 + "deep" + "</div>" * 3000) == "deep"
+    assert html_text.extract("<div>" * 100_000 + "deep" + "</div>" * 100_000) == "deep"
+    assert html_text.extract("<p>x<ul><li>y" * 20_000).startswith("x y x")
+    for wrap in ('<div class="layout has-sidebar"><article>{}</article></div>', '<div id="page-with-comments"><div>{}</div></div>'):  # a wrapper's name takes nothing with it
+        assert html_text.extract(f"<body><nav>menu</nav>{wrap.format('<h1>Head</h1><p>A long first paragraph of words.</p><p>And a second one.</p>')}</body>") == "Head A long first paragraph of words. And a second one."
+    linked = '<article><p>Some words that come before it, quite a few of them.</p><p><a href="/x">A paragraph that is one link</a></p><p>Some words that come after it, again a few.</p><ul>' + "".join(f'<li><a href="/{i}">more</a></li>' for i in range(9)) + "</ul></article>"
+    assert html_text.extract(linked) == "Some words that come before it, quite a few of them. A paragraph that is one link Some words that come after it, again a few."
+
+
+def _plain_density(tree):
+    """(tag, children or text, ...) -> list of (tag, density, sum of the children's densities) in page order, by the formula alone."""
+
+    def count(node):
+        c = t = lc = lt = 0
+        for x in node[1:]:
+            if isinstance(x, str):
+                c += len("".join(x.split()))
+            else:
+                a, b, d, e = count(x)
+                c, t, lc, lt = c + a, t + b + 1, lc + d, lt + e + (x[0] == "a")
+        return c, t, c if node[0] == "a" else lc, lt
+
+    body = count(tree)
+
+    def density(node):
+        c, t, lc, lt = count(node)
+        t, lt = max(t, 1), max(lt, 1)
+        inner = c / max(lc, 1) * t / lt
+        base = math.log(c / max(c - lc, 1) * lc + body[2] / max(body[0], 1) * c + math.e)
+        return c / t * max(0.0, math.log(inner) / base) if inner > 0 else 0.0
+
+    def walk(node):
+        kids = [x for x in node[1:] if not isinstance(x, str)]
+        return [(node[0], density(node), sum(map(density, kids)))] + [y for k in kids for y in walk(k)]
+
+    return walk(tree)
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_densities_and_the_chosen_element_equal_the_formula(seed):
+    rng = random.Random(seed)
+
+    def grow(depth):
+        tag = rng.choice(["div", "section", "td"]) if depth else "span"
+        kids = [grow(depth - 1) if rng.random() < 0.6 and depth else rng.choice(["word " * rng.randint(1, 30), ("a", "link text"), ("span", "x y")]) for _ in range(rng.randint(1, 4))]
+        return (tag, *kids)
+
+    tree = ("html", *[grow(4) for _ in range(3)])
+    text = lambda n: n if isinstance(n, str) else f"<{n[0]}>{''.join(map(text, n[1:]))}</{n[0]}>" if n[0] != "html" else "".join(map(text, n[1:]))
+    page = text(tree).replace("<td>", "<section>").replace("</td>", "</section>")
+    want = _plain_density(tree)
+    nodes = html_text.measure(html_text.parse(page))
+    order = {id(n): n for n in nodes}
+
+    def walk(n):
+        return [n] + [y for k in n.kids for y in walk(k)]
+
+    got = walk(nodes[0])
+    assert len(got) == len(order) == len(want)
+    for n, (_, d, total) in zip(got, want):
+        assert math.isclose(n.density, d, abs_tol=1e-9) and math.isclose(n.total, total, abs_tol=1e-9)
+    best, threshold = html_text.main_node(nodes)
+    assert math.isclose(best.total, max(t for tag, _, t in want if tag in ("html", "div", "section", "td")), abs_tol=1e-9)
+    path, n = [], best
+    while n is not None:
+        path.append(n.density)
+        n = n.parent
+    assert threshold == min(path)
 
 
 def test_html_pages(spark):
