@@ -59,7 +59,9 @@ def blob_spans(texts: DataFrame) -> DataFrame:
         long = lambda a: F.transform(a, lambda x: F.length(x))
         return F.struct(F.lit(k).alias("kind"), F.arrays_zip(long(F.split("text", p, -1)).alias("gap"), long(F.regexp_extract_all("text", F.lit(p), F.lit(0))).alias("len"), long(F.regexp_extract_all("text", F.lit(p), F.lit(group))).alias("value")).alias("parts"))
 
-    kinds = texts.where(may_hold(F.col("text"))).select("blob", F.explode(F.array(*[lengths(k) for k in range(len(RULES))])).alias("k_")).select("blob", "k_.kind", F.posexplode("k_.parts").alias("pos", "p_"))
+    # A filter isn't moved below a column that Spark can't recompute, so the patterns stay above the join that chose the texts.
+    chosen = texts.withColumn("place_", F.monotonically_increasing_id()).where((F.col("place_") >= 0) & may_hold(F.col("text")))
+    kinds = chosen.select("blob", F.explode(F.array(*[lengths(k) for k in range(len(RULES))])).alias("k_")).select("blob", "k_.kind", F.posexplode("k_.parts").alias("pos", "p_"))
     parts = kinds.select("blob", "kind", "pos", "p_.gap", "p_.len", "p_.value").where("len is not null").dropDuplicates(["blob", "kind", "pos"])
     upto = Window.partitionBy("blob", "kind").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     least = F.element_at(F.array(*[F.lit(r[3]) for r in RULES]), F.col("kind") + 1)
@@ -112,7 +114,7 @@ def findings(docs: DataFrame, ledger: DataFrame, rule_version: str = RULE_VERSIO
 
 
 def redact(docs: DataFrame, ledger: DataFrame | None = None) -> DataFrame:
-    """docs, all columns and rows, with MASK for each run of findings, and n_chars of the new text if there is that column.
+    """docs, all columns and rows, with MASK for each run of findings, and n_chars, if there is that column, of a text that changed.
 
     Without a ledger, documents that some rule may match are set aside and scanned; the others pass by. With one, which
     must know all blobs of docs, no text is scanned at all.
@@ -136,8 +138,10 @@ def redact(docs: DataFrame, ledger: DataFrame | None = None) -> DataFrame:
         return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), add.alias("out"))
 
     clean = F.aggregate("found_", zero, step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"].cast("int") + 1, F.lit(2**31 - 1))))
-    done = risky.join(known, "blob_", "left").withColumn("new_", F.when(F.size("found_") > 0, clean).otherwise(F.col("text")))
-    new = {"text": F.col("new_"), "n_chars": F.length("new_").cast("long")}
+    done = risky.join(known, "blob_", "left").withColumn("new_", F.when(F.size("found_") > 0, clean))
+    new = {"text": F.coalesce("new_", "text")}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.coalesce(F.length("new_").cast("long"), F.col("d_.n_chars"))
     return rest.unionByName(done.select(*[new.get(c, F.col("d_")[c]).alias(c) for c in docs.columns]))
 
 
