@@ -1,18 +1,22 @@
 """Exact Jaccard join on word shingles: rare-first prefixes with length, positional and suffix filters.
 
-1. Texts are hashed in chunks, and postings (shingle, place of the document in its chunk) go to the
-   shingle's bucket, packed as bytes. Texts themselves are never shuffled.
+1. Texts are hashed in blocks of chunks, and postings (shingle, place of the document in its chunk) go to the
+   shingle's bucket, packed as bytes, a row for each block and bucket. Texts themselves are never shuffled.
 2. A bucket counts in how many documents each shingle is, and sends those that are shared, with their
-   frequency, back to the chunks.
-3. A chunk puts each document's shared shingles in rare-first order; those of one document only come
+   frequency, back to the blocks. What a block knows of its documents goes there directly.
+3. A block puts each document's shared shingles in rare-first order; those of one document only come
    before all others. If they fill the prefix, the document links with nothing and is done.
-4. Documents of equal sets are one class. Classes whose prefixes share shingles, directly or through
-   others, form a cluster; a cluster is cut into blocks, and each pair of blocks is one group, so that
+4. Documents of equal sets are one class. Classes whose prefixes share shingles and whose sizes are near enough, directly or
+   through others, form a cluster; a cluster is cut into blocks, and each pair of blocks is one group, so that
    each pair of classes is met in one group only. There, pairs that meet on a prefix shingle pass
    the filters and are verified once, on the shared shingles, which hold all that two documents have
    in common. A group returns sums of links and a spanning forest, not pairs.
 
 A cluster's blocks are bounded, so a large group of near copies is spread over many tasks.
+
+A shingle is told by 48 to 58 bits of its hash and of a 64-bit one in a document's own set. Among N different shingles about
+N^2 / 2^(b + 1) pairs are taken for one by chance (b bits): one in 500 tables of a million, seven pairs in a table of two billion
+(b = 58). One such pair counts a shingle too many for the documents that hold its two.
 """
 
 from __future__ import annotations
@@ -23,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import table, written
 from .components import components
@@ -31,24 +36,26 @@ from .shingles import shingle_sets
 WORDS = 5
 #: Least similarity, as a fraction.
 NUM, DEN = 75, 100
-#: Documents and bytes of a chunk. A document's place in its chunk is one byte.
+#: Documents and bytes of a chunk, and chunks of a block. A document's place in its chunk is one byte.
 CHUNK_DOCS = 256
 CHUNK_BYTES = 1_500_000
+CHUNKS = 16
 #: Postings of a bucket, about, and bytes of text that give one posting.
-BUCKET_POSTINGS = 500_000
+BUCKET_POSTINGS = 1_000_000
 POSTING_BYTES = 6
 #: Bits of a shingle's identity: those of its bucket and at most so many more; the upper six bits of a key tell its frequency.
-LOW_BITS, KEY_BITS = 40, 58
-#: Classes of a block.
+LOW_BITS, KEY_BITS = 48, 58
+#: Classes of a block of a cluster.
 BLOCK = 400
 SEGMENTS = 16
 
 _U = np.uint64
-POSTS = "bucket int, chunk long, low binary, high binary, place binary, doc_ids binary, nulls binary, sizes binary, sigs binary, reps binary"
-SHARED = "chunk long, bucket int, low binary, high binary, place binary, df binary, doc_ids binary, nulls binary, sizes binary, sigs binary, reps binary"
+POSTS = "bucket long, block long, low binary, high binary, place binary, counts binary, doc_ids binary, nulls binary, sizes binary, sigs binary, reps binary, docs binary"
+SHARED = POSTS + ", df binary"
 SETS = "doc_id long, n long, sig binary, keys binary"
 LINKS = "cid long, links long, root long"
-_INFO = ("doc_ids", "nulls", "sizes", "sigs", "reps")
+_INFO = ("doc_ids", "nulls", "sizes", "sigs", "reps", "docs")
+_NEAR = "key long, low long, high long, a long, b long"
 
 
 def least_prefix(n: int, num: int = NUM, den: int = DEN) -> int:
@@ -83,65 +90,90 @@ def _low_bits(bits: int) -> int:
 def _postings(bits: int, words: int):
     schema = _schema(POSTS)
 
+    def pack(block: int, own: list[tuple]) -> pa.RecordBatch:
+        """Rows of one block: its documents under a bucket of their own below 0, and its postings under theirs."""
+        low = _low_bits(bits)
+        ids = [i for x in own for i in x[0]]
+        flat, place = np.concatenate([x[2] for x in own]), np.concatenate([x[3] for x in own])
+        sub = np.repeat(np.arange(len(own)), [len(x[2]) for x in own])
+        bucket = (flat >> _U(low)).astype(np.uint16 if bits <= 16 else np.int64)
+        order = np.argsort(bucket, kind="stable")  # so within a bucket by chunk, then by shingle
+        flat, place, sub, bucket = flat[order], place[order], sub[order], bucket[order]
+        there, first = np.unique(bucket, return_index=True)
+        cut = np.append(first, len(flat))
+        counts = np.bincount(np.repeat(np.arange(len(there)), np.diff(cut)) * CHUNKS + sub, minlength=len(there) * CHUNKS).astype("<u4").reshape(-1, CHUNKS)
+        part = lambda a: [a[x:y].tobytes() for x, y in zip(cut, cut[1:], strict=False)]
+        info = {
+            "doc_ids": np.array([i or 0 for i in ids], "<i8").tobytes(), "nulls": bytes(i is None for i in ids), "sizes": np.concatenate([x[4] for x in own]).astype("<i8").tobytes(),
+            "sigs": b"".join(s for x in own for s in x[1]), "reps": b"".join(x[5] for x in own), "docs": np.array([len(x[0]) for x in own], "<u4").tobytes(),
+        }
+        cols = {"bucket": [-1 - block, *there.astype(np.int64).tolist()], "block": [block] * (len(there) + 1), "low": [b"", *part(flat.astype(np.uint32))], "high": [b"", *part((flat >> _U(32) & _U(2 ** max(0, low - 32) - 1)).astype(np.uint16))]}
+        cols |= {"place": [b"", *part(place)], "counts": [bytes(4 * CHUNKS), *(c.tobytes() for c in counts)]} | {c: [v] + [None] * len(there) for c, v in info.items()}
+        return pa.RecordBatch.from_pydict(cols, schema=schema)
+
     def run(batches):
         from pyspark import TaskContext
 
-        n_buckets, low = 1 << bits, _low_bits(bits)
-        chunk = TaskContext.get().partitionId() << 32
+        block = TaskContext.get().partitionId() << 32
+        own: list[tuple] = []
+        seen: set[bytes] = set()  # sets that a document of this block stands for
         for b in batches:
             for ids, texts in chunks(b):
                 sets = shingle_sets(texts, words)
                 sigs = [blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
-                first: dict[bytes, int] = {}
-                for i in sorted(range(len(ids)), key=lambda i: (ids[i] is None, ids[i])):
-                    first.setdefault(sigs[i], i)
-                reps = [i for i in first.values() if ids[i] is not None]
-                flat = np.concatenate([sets[i] for i in reps] or [np.zeros(0, _U)]) >> _U(64 - bits - low)
-                place = np.repeat(np.array(reps, np.uint8), [len(sets[i]) for i in reps])
+                reps = bytearray(len(ids))
+                for i, sig in enumerate(sigs):
+                    if ids[i] is not None and sig not in seen:
+                        seen.add(sig)
+                        reps[i] = 1
+                at = [i for i in range(len(ids)) if reps[i]]
+                flat = np.concatenate([sets[i] for i in at] or [np.zeros(0, _U)]) >> _U(64 - bits - _low_bits(bits))
+                place = np.repeat(np.array(at, np.uint8), [len(sets[i]) for i in at])
                 order = np.argsort(flat, kind="stable")
-                flat, place = flat[order], place[order]
-                bucket = (flat >> _U(low)).astype(np.int64)
-                cut = np.searchsorted(bucket, np.arange(n_buckets + 1))
-                lows, highs = flat.astype(np.uint32), (flat >> _U(32)).astype(np.uint8)
-                info = {
-                    "doc_ids": np.array([i or 0 for i in ids], "<i8").tobytes(), "nulls": bytes(i is None for i in ids), "sizes": np.array([len(s) for s in sets], "<i8").tobytes(),
-                    "sigs": b"".join(sigs), "reps": bytes(reps),
-                }
-                there = [k for k in range(n_buckets) if k == 0 or cut[k] < cut[k + 1]]
-                cols = {"bucket": there, "chunk": [chunk] * len(there), "low": [lows[cut[k] : cut[k + 1]].tobytes() for k in there], "high": [highs[cut[k] : cut[k + 1]].tobytes() for k in there], "place": [place[cut[k] : cut[k + 1]].tobytes() for k in there]}
-                cols |= {c: [info[c] if k == 0 else None for k in there] for c in _INFO}
-                yield pa.RecordBatch.from_pydict(cols, schema=schema)
-                chunk += 1
+                own.append((ids, sigs, flat[order], place[order], np.array([len(s) for s in sets]), bytes(reps)))
+                if len(own) == CHUNKS:
+                    yield pack(block, own)
+                    block, own, seen = block + 1, [], set()
+        if own:
+            yield pack(block, own)
 
     return run
 
 
+def _identities(t: pa.Table) -> np.ndarray:
+    """Shingles' bits below those of their buckets."""
+    low, high = (np.frombuffer(b"".join(t[c].to_pylist()), k) for c, k in (("low", "<u4"), ("high", "<u2")))
+    return low.astype(_U) | high.astype(_U) << _U(32)
+
+
+def _counts(t: pa.Table) -> np.ndarray:
+    """Postings of each row and chunk, row by row."""
+    return np.frombuffer(b"".join(t["counts"].to_pylist()), "<u4").astype(np.int64)
+
+
 def _shared():
     schema = _schema(SHARED)
 
     def run(t: pa.Table) -> pa.Table:
-        lows = t["low"].to_pylist()
-        count = np.array([len(x) // 4 for x in lows])
-        key = np.frombuffer(b"".join(lows), "<u4").astype(_U) | np.frombuffer(b"".join(t["high"].to_pylist()), np.uint8).astype(_U) << _U(32)
+        if t["bucket"][0].as_py() < 0:
+            return t.append_column("df", pa.array([b""] * len(t), pa.binary())).cast(schema)
+        key = _identities(t)
         place = np.frombuffer(b"".join(t["place"].to_pylist()), np.uint8)
-        row = np.repeat(np.arange(len(count)), count)
+        chunk = np.repeat(np.arange(len(t) * CHUNKS), _counts(t))
         order = np.argsort(key, kind="stable")
         k = key[order]
-        head = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else np.zeros(0, np.int64)
+        head = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
         run_ = np.diff(np.append(head, len(k)))
-        df = np.repeat(run_, run_)
+        df = np.empty(len(k), "<u4")
+        df[order] = np.repeat(run_, run_)
         keep = df >= 2
-        order, df = order[keep], df[keep]
-        again = np.argsort(row[order], kind="stable")
-        order, df = order[again], df[again]
-        cut = np.searchsorted(row[order], np.arange(len(count) + 1))
-        key, place = key[order], place[order]
-        low, high, df = key.astype(np.uint32), (key >> _U(32)).astype(np.uint8), df.astype("<u4")
-        chunk, bucket, info = t["chunk"].to_pylist(), t["bucket"].to_pylist(), {c: t[c].to_pylist() for c in _INFO}
-        rows = [i for i in range(len(count)) if cut[i] < cut[i + 1] or info["sizes"][i] is not None]
+        key, place, df = key[keep], place[keep], df[keep]
+        counts = np.bincount(chunk[keep], minlength=len(t) * CHUNKS).astype("<u4").reshape(-1, CHUNKS)
+        cut = np.concatenate([[0], np.cumsum(counts.sum(1, dtype=np.int64))])
+        rows = np.flatnonzero(np.diff(cut)).tolist()
         part = lambda a: [a[cut[i] : cut[i + 1]].tobytes() for i in rows]
-        cols = {"chunk": [chunk[i] for i in rows], "bucket": [bucket[i] for i in rows], "low": part(low), "high": part(high), "place": part(place), "df": part(df)}
-        return pa.Table.from_pydict(cols | {c: [info[c][i] for i in rows] for c in _INFO}, schema=schema)
+        cols = {"bucket": t["bucket"].to_numpy()[rows], "block": t["block"].to_numpy()[rows], "low": part(key.astype(np.uint32)), "high": part((key >> _U(32)).astype(np.uint16)), "place": part(place), "counts": [counts[i].tobytes() for i in rows]}
+        return pa.Table.from_pydict(cols | {c: [None] * len(rows) for c in _INFO} | {"df": part(df)}, schema=schema)
 
     return run
 
@@ -150,23 +182,23 @@ def _assembled(bits: int, num: int, den: int):
     schema, low_bits = _schema(SETS), _low_bits(bits)
 
     def run(t: pa.Table) -> pa.Table:
-        sizes = t["sizes"].to_pylist()
-        at = next(i for i, s in enumerate(sizes) if s is not None)
+        at = next(i for i, s in enumerate(t["sizes"]) if s.is_valid)
         info = {c: t[c][at].as_py() for c in _INFO}
-        lows = t["low"].to_pylist()
-        bucket = np.repeat(t["bucket"].to_numpy().astype(_U), [len(x) // 4 for x in lows])
-        ident = np.frombuffer(b"".join(lows), "<u4").astype(_U) | np.frombuffer(b"".join(t["high"].to_pylist()), np.uint8).astype(_U) << _U(32) | bucket << _U(low_bits)
-        place = np.frombuffer(b"".join(t["place"].to_pylist()), np.uint8)
+        docs, counts = np.frombuffer(info["docs"], "<u4").astype(np.int64), _counts(t)
+        chunk = np.repeat(np.tile(np.arange(CHUNKS), len(t)), counts)
+        bucket = np.repeat(np.maximum(t["bucket"].to_numpy(), 0), counts.reshape(-1, CHUNKS).sum(1)).astype(_U)
+        ident = _identities(t) | bucket << _U(low_bits)
+        place = np.frombuffer(b"".join(t["place"].to_pylist()), np.uint8) + (np.cumsum(docs) - docs)[chunk]
         df = np.frombuffer(b"".join(t["df"].to_pylist()), "<u4")
         octave = np.frexp(df.astype(np.float64))[1].astype(_U)  # rare first: by powers of two of the frequency, then by shingle
         key = octave << _U(KEY_BITS) | ident
         order = np.lexsort((key, place))
-        key, cut = key[order], np.searchsorted(place[order], np.arange(257))
-        ids, nulls, n, reps = np.frombuffer(info["doc_ids"], "<i8"), info["nulls"], np.frombuffer(info["sizes"], "<i8").tolist(), set(info["reps"])
+        key, cut = key[order], np.searchsorted(place[order], np.arange(docs.sum() + 1))
+        ids, nulls, n, reps = np.frombuffer(info["doc_ids"], "<i8"), info["nulls"], np.frombuffer(info["sizes"], "<i8").tolist(), info["reps"]
         keys: list[bytes | None] = []
         for i, size in enumerate(n):
             lone = size - int(cut[i + 1] - cut[i])
-            keys.append(key[cut[i] : cut[i + 1]].tobytes() if i in reps and size and lone < least_prefix(size, num, den) else None)
+            keys.append(key[cut[i] : cut[i + 1]].tobytes() if reps[i] and size and lone < least_prefix(size, num, den) else None)
         sigs = [info["sigs"][16 * i : 16 * i + 16] for i in range(len(n))]
         return pa.Table.from_pydict({"doc_id": [None if z else int(i) for i, z in zip(ids, nulls, strict=True)], "n": n, "sig": sigs, "keys": keys}, schema=schema)
 
@@ -174,26 +206,30 @@ def _assembled(bits: int, num: int, den: int):
 
 
 def _prefix_rows(num: int, den: int):
-    """(key, cid) of prefix shingles. Within a batch, classes that share one are linked at once by rows with a null
-    key, and one of them stands for the others."""
+    """(key, low, high, a, b) of prefix shingles: classes of a batch that share one and whose sizes follow on each other within
+    num / den are linked at once by rows (a, b) without a key, and the first, a, stands for all from size low to size high."""
+    schema = _schema(_NEAR)
 
     def run(batches):
         for b in batches:
-            cid, n = b.column(0).to_numpy(), b.column(1).to_pylist()
-            keys, owner = [], []
-            for i, (size, raw) in enumerate(zip(n, b.column(2).to_pylist(), strict=True)):
+            cid, n = b.column(0).to_numpy(), b.column(1).to_numpy()
+            keys = []
+            for size, raw in zip(n.tolist(), b.column(2).to_pylist(), strict=True):
                 k = np.frombuffer(raw, "<u8")
-                k = k[: least_prefix(size, num, den) - (size - len(k))]
-                keys.append(k)
-                owner.append(np.full(len(k), cid[i]))
-            key, own = np.concatenate(keys or [np.zeros(0, _U)]), np.concatenate(owner or [np.zeros(0, np.int64)])
-            order = np.lexsort((own, key))
-            key, own = key[order], own[order]
-            head = np.concatenate([[True], key[1:] != key[:-1]]) if len(key) else np.zeros(0, bool)
-            lead = own[head][np.cumsum(head) - 1] if len(key) else own
-            pairs = np.unique(np.stack([lead[~head], own[~head]]), axis=1) if len(key) else np.zeros((2, 0), np.int64)
-            k, a, c = key[head].astype(np.int64), own[head], np.zeros(int(head.sum()), bool)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([k, np.zeros(pairs.shape[1], np.int64)]), mask=np.concatenate([c, np.ones(pairs.shape[1], bool)])), pa.array(np.concatenate([a, pairs[0]])), pa.array(np.concatenate([a, pairs[1]]))], names=["key", "a", "b"])
+                keys.append(k[: least_prefix(size, num, den) - (size - len(k))])
+            at = np.repeat(np.arange(len(cid)), list(map(len, keys)))
+            key = np.concatenate(keys or [np.zeros(0, _U)])
+            order = np.lexsort((cid[at], n[at], key))
+            key, at = key[order], at[order]
+            own, size = cid[at], n[at]
+            head = np.concatenate([[True], (key[1:] != key[:-1]) | (num * size[1:] > den * size[:-1])])[: len(key)]
+            lead = np.flatnonzero(head)
+            last = np.append(lead[1:], len(key))[: len(lead)] - 1
+            pairs = np.unique(np.stack([own[lead][np.cumsum(head) - 1][~head], own[~head]]), axis=1)
+            rows = {"key": key[lead].astype(np.int64), "low": size[lead], "high": size[last], "a": own[lead], "b": own[lead]}
+            yield pa.RecordBatch.from_pydict(rows, schema=schema)
+            none = [None] * pairs.shape[1]
+            yield pa.RecordBatch.from_pydict({"key": none, "low": none, "high": none, "a": pairs[0], "b": pairs[1]}, schema=schema)
 
     return run
 
@@ -293,17 +329,17 @@ def jaccard_components(docs: DataFrame, num: int = NUM, den: int = DEN, words: i
     bits = min(KEY_BITS - 32, max(0, (size // POSTING_BYTES // BUCKET_POSTINGS).bit_length()))
     posts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).mapInArrow(_postings(bits, words), POSTS)
     shared = posts.groupBy("bucket").applyInArrow(_shared(), SHARED)
-    sets = written(shared.groupBy("chunk").applyInArrow(_assembled(bits, num, den), SETS), "sets")
+    sets = written(shared.groupBy("block").applyInArrow(_assembled(bits, num, den), SETS), "sets")
 
     classes = sets.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("cid"), F.count("*").alias("mult"))
     open_ = sets.where("keys is not null").groupBy("sig").agg(F.first("n").alias("n"), F.first("keys").alias("keys"))
     reps = written(open_.join(classes, "sig").select("cid", "n", "keys", "mult"), "classes")
 
-    rows = reps.select("cid", "n", "keys").mapInArrow(_prefix_rows(num, den), "key long, a long, b long")
-    rows = written(rows, "prefixes")
-    keyed = rows.where("key is not null").select("key", "a")
-    lead = keyed.groupBy("key").agg(F.min("a").alias("lead"), F.max("a").alias("other")).where("lead <> other").select("key", "lead")
-    met = keyed.join(lead, "key").select(F.col("lead").alias("a"), F.col("a").alias("b")).unionByName(rows.where("key is null").select("a", "b"))
+    rows = written(reps.select("cid", "n", "keys").mapInArrow(_prefix_rows(num, den), _NEAR), "prefixes")
+    by_size = Window.partitionBy("key").orderBy("low", "a")
+    before = F.max("high").over(by_size.rowsBetween(Window.unboundedPreceding, -1))
+    follows = rows.where("key is not null").select(F.lag("a").over(by_size).alias("a"), F.col("a").alias("b"), (F.col("low") * num <= before * den).alias("near_"))
+    met = follows.where("near_").select("a", "b").unionByName(rows.where("key is null").select("a", "b"))
     clusters = components(met.where("a <> b").distinct())
 
     member = reps.join(clusters, reps["cid"] == clusters["id"]).select("cid", "n", "keys", "mult", F.col("component").alias("cluster"))
