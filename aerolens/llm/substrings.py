@@ -5,8 +5,10 @@ least hash, so equal windows meet in one bucket whatever stands around them, and
 under one q-gram travel as one stretch of bytes.
 
 1. Chunks of documents send the hashes of these q-grams, packed, to buckets; those that occur once in all
-   texts are dropped. Most text ends here, without having been shuffled.
-2. Stretches under q-grams that occur again go to buckets. Equal stretches of a task go once.
+   texts are dropped. Most text ends here, without having been shuffled. What a chunk knows of its documents
+   goes straight to where its q-grams come back, under a number below 0 that is no bucket.
+2. Stretches under q-grams that occur again go to buckets. Equal stretches of a task go once; places of the
+   others pass by, again under numbers below 0.
 3. In a bucket, positions are sorted by their first bytes into initial buckets, which are refined by the bucket
    numbers at later offsets; refined numbers are reused in the next round, so that 8 bytes grow to 24, 72
    and 100 without comparing text again. Each final bucket keeps its earliest window.
@@ -32,17 +34,19 @@ GRAM = 20
 CHUNK_DOCS = 256
 CHUNK_BYTES = 1_000_000
 #: Bytes of text for each bucket of q-grams, and of stretches.
-GRAM_BUCKET_BYTES = 12_000_000
+GRAM_BUCKET_BYTES = 48_000_000
 STRETCH_BUCKET_BYTES = 1_500_000
 LOW_BITS = 40
+#: Digests of stretches that a task remembers; then it forgets them all, and equal stretches travel again.
+MOST_SEEN = 200_000
 _U = np.uint64
 _PLACE = 24
 _SEGMENT = (1 << 20) - 200
 
 _KEY = "nul int, id long, h long"
-GRAMS = "bucket int, chunk long, low binary, high binary, times binary, place binary, nuls binary, ids binary, hs binary"
+GRAMS = "bucket long, chunk long, low binary, high binary, times binary, place binary, nuls binary, ids binary, hs binary"
 AGAIN = f"{_KEY}, grams binary"
-STRETCHES = "bucket int, bytes binary, lengths binary, starts binary, place binary, nuls binary, ids binary, hs binary, done_place binary, done_from binary, done_to binary"
+STRETCHES = "bucket long, bytes binary, lengths binary, starts binary, place binary, nuls binary, ids binary, hs binary, done_place binary, done_from binary, done_to binary"
 SPANS = f"{_KEY}, low binary, high binary"
 OUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
@@ -115,21 +119,23 @@ def _grams(bits: int, window: int, gram: int):
                 times = np.diff(ends).astype("<u4")
                 bucket = (key >> _U(LOW_BITS)).astype(np.int64)
                 cut = np.searchsorted(bucket, np.arange((1 << bits) + 1))
-                there = [k for k in range(1 << bits) if k == 0 or cut[k] < cut[k + 1]]
+                there = np.flatnonzero(np.diff(cut)).tolist()
                 low, high, info = key.astype(np.uint32), (key >> _U(32)).astype(np.uint8), _info(rows)
-                part = lambda x: [x[cut[k] : cut[k + 1]].tobytes() for k in there]  # noqa: E731, B023
-                cols = {"bucket": there, "chunk": [chunk] * len(there), "low": part(low), "high": part(high), "times": part(times), "place": [place[ends[cut[k]] : ends[cut[k + 1]]].tobytes() for k in there]}
-                yield pa.RecordBatch.from_pydict(cols | {c: [v if k == 0 else None for k in there] for c, v in info.items()}, schema=schema)
+                part = lambda x: [b"", *(x[cut[k] : cut[k + 1]].tobytes() for k in there)]  # noqa: E731, B023
+                cols = {"bucket": [-1 - chunk, *there], "chunk": [chunk] * (len(there) + 1), "low": part(low), "high": part(high), "times": part(times), "place": [b"", *(place[ends[cut[k]] : ends[cut[k + 1]]].tobytes() for k in there)]}
+                yield pa.RecordBatch.from_pydict(cols | {c: [v] + [None] * len(there) for c, v in info.items()}, schema=schema)
                 chunk += 1
 
     return run
 
 
 def _again():
-    """Of a bucket, what occurs more than once, in the same form; the chunk's documents pass by with bucket 0."""
+    """Of a bucket, what occurs more than once, in the same form; a chunk's documents pass by."""
     schema = _schema(GRAMS)
 
     def run(t: pa.Table) -> pa.Table:
+        if t["bucket"][0].as_py() < 0:
+            return t
         lows, places = t["low"].to_pylist(), t["place"].to_pylist()
         count = np.array([len(x) // 4 for x in lows])
         key = np.frombuffer(b"".join(lows), "<u4").astype(_U) | np.frombuffer(b"".join(t["high"].to_pylist()), np.uint8).astype(_U) << _U(32)
@@ -144,7 +150,7 @@ def _again():
         low, high = key.astype(np.uint32), (key >> _U(32)).astype(np.uint8)
         info = {c: t[c].to_pylist() for c in ("nuls", "ids", "hs")}
         bucket, chunk = t["bucket"].to_pylist(), t["chunk"].to_pylist()
-        rows = [i for i in range(len(count)) if cut[i] < cut[i + 1] or info["ids"][i] is not None]
+        rows = np.flatnonzero(np.diff(cut)).tolist()
         part = lambda x: [x[cut[i] : cut[i + 1]].tobytes() for i in rows]
         cols = {"bucket": [bucket[i] for i in rows], "chunk": [chunk[i] for i in rows], "low": part(low), "high": part(high), "times": part(times), "place": [place[pcut[i] : pcut[i + 1]].tobytes() for i in rows]}
         return pa.Table.from_pydict(cols | {c: [v[i] for i in rows] for c, v in info.items()}, schema=schema)
@@ -159,7 +165,7 @@ def _by_document():
         ids = t["ids"].to_pylist()
         at = next(i for i, x in enumerate(ids) if x is not None)
         lows = t["low"].to_pylist()
-        bucket = np.repeat(t["bucket"].to_numpy().astype(_U), [len(x) // 4 for x in lows])
+        bucket = np.repeat(np.maximum(t["bucket"].to_numpy(), 0).astype(_U), [len(x) // 4 for x in lows])
         key = np.frombuffer(b"".join(lows), "<u4").astype(_U) | np.frombuffer(b"".join(t["high"].to_pylist()), np.uint8).astype(_U) << _U(32) | bucket << _U(LOW_BITS)
         key = np.repeat(key, np.frombuffer(b"".join(t["times"].to_pylist()), "<u4"))
         place = np.frombuffer(b"".join(t["place"].to_pylist()), np.uint8)
@@ -176,6 +182,9 @@ def _stretches(bits: int, buckets: int, window: int, gram: int):
     schema = _schema(STRETCHES)
 
     def run(batches):
+        from pyspark import TaskContext
+
+        passing = -1 - (TaskContext.get().partitionId() << 32)
         seen: set[bytes] = set()  # digests of this task's stretches; rows come in order of place
         before = None  # place of the row before: what a repeated row repeats of itself is no repeat, and spans hold for all rows of a document
         for b in batches:
@@ -200,11 +209,11 @@ def _stretches(bits: int, buckets: int, window: int, gram: int):
                         else:
                             seen.add(digest)
                             packs.setdefault(bucket, []).append((x, i, lo))
-                if done:
-                    packs.setdefault(0, [])
+                if len(seen) > MOST_SEEN:
+                    seen.clear()
                 cols: dict[str, list] = {c: [] for c in schema.names}
-                for bucket, own in packs.items():
-                    used = sorted({x[1] for x in own} | ({x[0] for x in done} if bucket == 0 else set()))
+                for bucket, own, gone in [*((k, x, []) for k, x in packs.items()), *([(passing, [], done)] if done else [])]:
+                    used = sorted({x[1] for x in own} | {x[0] for x in gone})
                     number = {i: k for k, i in enumerate(used)}
                     cols["bucket"].append(bucket)
                     cols["bytes"].append(b"".join(x[0] for x in own))
@@ -213,10 +222,10 @@ def _stretches(bits: int, buckets: int, window: int, gram: int):
                     cols["place"].append(bytes(number[x[1]] for x in own))
                     for c, v in _info([rows[i] for i in used]).items():
                         cols[c].append(v)
-                    mine = done if bucket == 0 else []
-                    cols["done_place"].append(bytes(number[x[0]] for x in mine))
-                    cols["done_from"].append(np.array([x[1] for x in mine], "<u8").tobytes())
-                    cols["done_to"].append(np.array([x[2] for x in mine], "<u8").tobytes())
+                    cols["done_place"].append(bytes(number[x[0]] for x in gone))
+                    cols["done_from"].append(np.array([x[1] for x in gone], "<u8").tobytes())
+                    cols["done_to"].append(np.array([x[2] for x in gone], "<u8").tobytes())
+                passing -= 1
                 yield pa.RecordBatch.from_pydict(cols, schema=schema)
 
     return run

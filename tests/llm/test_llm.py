@@ -179,6 +179,9 @@ def test_join_block_splits_and_filters_lose_nothing():
 def test_large_clusters_are_cut_into_blocks(docs, monkeypatch):
     want = Counter(tuple(r) for r in jaccard.jaccard_components(docs).collect())
     monkeypatch.setattr(jaccard, "BLOCK", 3)
+    monkeypatch.setattr(jaccard, "CHUNKS", 3)
+    monkeypatch.setattr(jaccard, "CHUNK_DOCS", 5)
+    monkeypatch.setattr(jaccard, "BUCKET_POSTINGS", 300)
     assert Counter(tuple(r) for r in jaccard.jaccard_components(docs).collect()) == want
 
 
@@ -532,7 +535,11 @@ def _brute_removed(rows, window=100):
     return out
 
 
-def test_repeats(docs, none):
+@pytest.mark.parametrize("seen, bytes_", [(200_000, 48_000_000), (3, 4000)])  # the second has many buckets and forgets stretches
+def test_repeats(docs, none, monkeypatch, seen, bytes_):
+    monkeypatch.setattr(substrings, "MOST_SEEN", seen)
+    monkeypatch.setattr(substrings, "GRAM_BUCKET_BYTES", bytes_)
+    monkeypatch.setattr(substrings, "CHUNK_BYTES", bytes_ * 2)
     assert substrings.remove_repeats(none).count() == 0
     want = _brute_removed(ROWS)
     got = [(r["doc_id"], tuple(r)[1:]) for r in substrings.remove_repeats(docs).collect()]
