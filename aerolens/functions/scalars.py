@@ -7,6 +7,10 @@ from pyspark.sql import functions as F
 
 #: Metres of a degree of latitude, and of longitude at the equator.
 LAT_M, LON_M = 111132.0, 111320.0
+#: Turn in degrees that a fixed step needs, and focal lengths in pixels that are believed.
+STEP_DEG, FOCAL_BAND = 0.8, (1000.0, 20000.0)
+#: Scales that a chain of homographies may have.
+SCALES = (0.25, 4.0)
 #: Bins of the three colour planes.
 BINS = (16, 32, 32)
 
@@ -14,7 +18,7 @@ BINS = (16, 32, 32)
 def number(text: Column) -> Column:
     """A double, or null for what is no finite number."""
     x = text.try_cast("double")
-    return F.when(F.isnan(x), None).otherwise(x)
+    return F.when(F.isnan(x) | (F.abs(x) == float("inf")), None).otherwise(x)
 
 
 def from_deci(x: Column) -> Column:
@@ -66,6 +70,22 @@ def focal_from_turn(dx: Column, dy: Column, dyaw: Column, dpitch: Column, pitch:
     return F.when(F.abs(dyaw) > 2 * F.abs(dpitch), across).when(F.abs(dpitch) > 2 * F.abs(dyaw), along)
 
 
+def focal_from_step(dx: Column, dy: Column, dyaw: Column, dpitch: Column, pitch: Column, least: float = STEP_DEG) -> Column:
+    """Focal length in pixels by yaw if it turns more than `least` degrees and outweighs pitch twice, else by pitch if that does."""
+    across = F.try_divide(-dx, F.radians(dyaw) * F.cos(F.radians(pitch)))
+    along = F.try_divide(dy, F.radians(dpitch))
+    return F.when((F.abs(dyaw) > least) & (F.abs(dyaw) > 2 * F.abs(dpitch)), across).when(F.abs(dpitch) > least, along)
+
+
+def in_focal_band(f: Column) -> Column:
+    return F.coalesce(f.between(*FOCAL_BAND), F.lit(False))
+
+
+def object_metres(dist_m: Column, f_px: Column, pixels: float = 30) -> Column:
+    """Size of what covers so many pixels at a distance."""
+    return F.try_divide(dist_m, f_px) * pixels
+
+
 def colour_bin(l: Column, a: Column, b: Column) -> Column:  # noqa: E741
     q = [F.floor(x * n / 256) for x, n in zip((l, a, b), BINS, strict=True)]
     return ((q[0] * BINS[1] + q[1]) * BINS[2] + q[2]).cast("long")
@@ -95,10 +115,11 @@ def srt_time(t: Column) -> Column:
     return F.format_string("%02d:%02d:%02d,%03d", F.floor(ms / 3_600_000), F.floor(ms / 60_000) % 60, F.floor(ms / 1000) % 60, ms % 1000)
 
 
-def stamp_in_name(name: Column) -> Column:
-    """The 14-digit time in a file name, as a timestamp without zone."""
-    digits = F.regexp_extract(name, r"(?<!\d)(\d{14})(?!\d)", 1)
-    return F.try_to_timestamp(F.nullif(digits, F.lit("")), F.lit("yyyyMMddHHmmss")).cast("timestamp_ntz")
+def stamp_in_name(name: Column, seconds: Column | None = None, default: str = "2026-01-01 00:00:00") -> Column:
+    """The 14-digit time after DJI_ in a file name, else `default`, as a timestamp without zone, and so many seconds later."""
+    digits = F.regexp_extract(name, r"DJI_(\d{14})", 1)
+    start = F.coalesce(F.try_to_timestamp(F.nullif(digits, F.lit("")), F.lit("yyyyMMddHHmmss")).cast("timestamp_ntz"), F.lit(default).cast("timestamp_ntz"))
+    return start if seconds is None else start + F.make_dt_interval(secs=seconds.cast("decimal(18,6)"))
 
 
 def box(text: Column) -> Column:
@@ -122,9 +143,20 @@ def whisker_end(lat: Column, lon: Column, az: Column, metres: float = 140.0) ->
     return F.struct((lat + F.cos(F.radians(az)) * metres / LAT_M).alias("lat"), (lon + F.sin(F.radians(az)) * metres / lon_metres(lat)).alias("lon"))
 
 
-def sane_homography(m: Column) -> Column:
-    """Whether a 3x3 matrix keeps orientation and scales by 0.25 to 4."""
+def sane_homography(m: Column, w: Column, h: Column) -> Column:
+    """Whether a 3x3 matrix keeps orientation, scales within SCALES, and maps the frame to a convex quadrilateral."""
     at = lambda i: F.get(m, F.lit(i))
     det = at(0) * at(4) - at(1) * at(3)
-    scale = F.sqrt(F.abs(det))
-    return F.coalesce((F.size(m) == 9) & (det > 0) & scale.between(0.25, 4.0), F.lit(False))
+    zero = F.lit(0.0)
+
+    def corner(x: Column, y: Column) -> tuple[Column, Column]:
+        z = at(6) * x + at(7) * y + at(8)
+        return F.try_divide(at(0) * x + at(1) * y + at(2), z), F.try_divide(at(3) * x + at(4) * y + at(5), z)
+
+    p = [corner(zero, zero), corner(w, zero), corner(w, h), corner(zero, h)]
+    turns = []
+    for k in range(4):
+        (x0, y0), (x1, y1), (x2, y2) = p[k], p[(k + 1) % 4], p[(k + 2) % 4]
+        turns.append((x1 - x0) * (y2 - y1) - (y1 - y0) * (x2 - x1))
+    convex = (F.least(*turns) >= 0) | (F.greatest(*turns) <= 0)
+    return F.coalesce((F.size(m) == 9) & (det > 0) & (F.sqrt(F.abs(det)) > SCALES[0]) & (F.sqrt(F.abs(det)) < SCALES[1]) & convex, F.lit(False))

@@ -10,6 +10,10 @@ from ..functions.scalars import colour_distance
 
 #: Rows of signatures that are broadcast at most; more are joined by shuffling.
 MOST_SIGNATURES = 10_000
+#: Where a colour was measured, classes of signatures, and the chroma below which one is neutral.
+SOURCES, KINDS, NEUTRAL = ("маска", "bbox", "нет"), ("предмет", "контроль", "ловушка"), 8.0
+#: Pixels of a side of the tiles on which pixels and boxes meet.
+TILE = 64
 
 
 def nearest_signature(items: DataFrame, signatures: DataFrame, key: str, name: str, order: str) -> DataFrame:
@@ -29,14 +33,46 @@ def median_and_mad(df: DataFrame, key: str, value: str) -> DataFrame:
     return df.join(med, key).groupBy(key).agg(F.count(value).alias("n"), F.first("med").alias("med"), F.median(F.abs(F.col(value) - F.col("med"))).alias("mad"))
 
 
+def _in_boxes(pixels: DataFrame, boxes: DataFrame, key: str) -> DataFrame:
+    """Pixels (frame, x, y, ...) with the key of each box (frame, x, y, w, h) that holds them. Both meet on tiles of TILE pixels."""
+    tile = lambda c: F.floor(F.col(c) / TILE)
+    last = lambda c, size: F.floor((F.greatest(F.col(c), F.lit(0)) + F.col(size) - 1) / TILE)
+    some = boxes.where("w > 0 and h > 0").select(key, "frame", F.col("x").alias("x0"), F.col("y").alias("y0"), "w", "h")
+    span = lambda c, size: F.explode(F.sequence(F.floor(F.greatest(F.col(c), F.lit(0)) / TILE), last(c, size)))
+    some = some.where("x0 + w > 0 and y0 + h > 0").withColumn("i_", span("x0", "w")).withColumn("j_", span("y0", "h"))
+    own = pixels.withColumn("i_", tile("x")).withColumn("j_", tile("y"))
+    return own.join(some, ["frame", "i_", "j_"]).where("x >= x0 and x < x0 + w and y >= y0 and y < y0 + h")
+
+
 def box_colour(pixels: DataFrame, boxes: DataFrame, key: str) -> DataFrame:
-    """(key, L, a, b, source): medians over the rare pixels of each box (frame, x, y, w, h), or over all if fewer than three are rare."""
-    p = pixels.select("frame", F.col("x").alias("px"), F.col("y").alias("py"), "L", "a", "b", "rare")
-    inside = boxes.join(p, "frame").where("px >= x and px < x + w and py >= y and py < y + h")
+    """(key, L, a, b, source): medians in CIE units over the rare pixels of each box, or over all if fewer than three are rare.
+
+    pixels: (frame, x, y, L, a, b, rare) in eight-bit planes. A box without a pixel has no colour.
+    """
     n = F.count_if("rare")
     med = lambda c: F.when(n >= 3, F.median(F.when(F.col("rare"), F.col(c)))).otherwise(F.median(c)).alias(c)
-    got = inside.groupBy(key).agg(*[med(c) for c in "Lab"], F.when(n >= 3, "mask").otherwise("box").alias("source"))
-    return boxes.select(key).join(got, key, "left").withColumn("source", F.coalesce("source", F.lit("none")))
+    got = _in_boxes(pixels, boxes, key).groupBy(key).agg(*[med(c) for c in "Lab"], F.when(n >= 3, SOURCES[0]).otherwise(SOURCES[1]).alias("source"))
+    got = got.select(key, (F.col("L") * 100 / 255).alias("L"), (F.col("a") - 128).alias("a"), (F.col("b") - 128).alias("b"), "source")
+    return boxes.select(key).join(got, key, "left").withColumn("source", F.coalesce("source", F.lit(SOURCES[2])))
+
+
+def box_mean(pixels: DataFrame, boxes: DataFrame, key: str, columns: tuple = ("r", "g", "b")) -> DataFrame:
+    """(key, columns): whole parts of the means over each box's pixels."""
+    return _in_boxes(pixels, boxes, key).groupBy(key).agg(*[F.avg(c).cast("int").alias(c) for c in columns])
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """(key, n, L, a, b, spread_L, spread_ab): medians, the median distance of L from its own and that of (a, b) from theirs."""
+    med = df.groupBy(key).agg(F.count("*").alias("n"), *[F.median(c).alias(f"{c}_") for c in "Lab"])
+    far = F.median(F.abs(F.col("L") - F.col("L_"))), F.median(F.hypot(F.col("a") - F.col("a_"), F.col("b") - F.col("b_")))
+    got = df.join(med, key).groupBy(key).agg(F.first("n").alias("n"), *[F.first(f"{c}_").alias(c) for c in "Lab"], far[0].alias("spread_L"), far[1].alias("spread_ab"))
+    return got.select(key, "n", "L", "a", "b", "spread_L", "spread_ab")
+
+
+def usable(signatures: DataFrame, kind: str = "kind", chroma: str = "C", neutral: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(objects, traps): signatures of objects and controls, without nearly neutral ones unless these are asked for, and traps."""
+    own = signatures.where(F.col(kind).isin(*KINDS[:2]))
+    return own if neutral else own.where(F.col(chroma) >= NEUTRAL), signatures.where(F.col(kind) == KINDS[2])
 
 
 def group_rank(keys: list[str], order: list[Column]) -> Column:
@@ -46,3 +82,15 @@ def group_rank(keys: list[str], order: list[Column]) -> Column:
 def resorted(df: DataFrame, distance: str, order: str) -> DataFrame:
     """By distance, what has none last, in the original order."""
     return df.orderBy(F.col(distance).asc_nulls_last(), F.col(order))
+
+
+def annotated(df: DataFrame, new: list[str], file: str, group: str, order: list[Column]) -> DataFrame:
+    """df with rank in its file and rank_in_group by order, then the new columns, then all others."""
+    old = [c for c in df.columns if c not in new]
+    ranks = [group_rank([file], order).alias("rank"), group_rank([file, group], order).alias("rank_in_group")]
+    return df.select(*ranks, *new, *old)
+
+
+def top(df: DataFrame, order: list[Column], n: int = 10) -> DataFrame:
+    """The first n rows, for a report."""
+    return df.orderBy(*order).limit(n)

@@ -16,7 +16,7 @@ FAILURES = 3
 
 def sample_frames(frames: DataFrame, n: str, native: str, fps: float) -> DataFrame:
     """Every k-th frame, k the native rate over fps, with its time t."""
-    step = F.greatest(F.lit(1), F.round(F.col(native) / fps)).cast("long")
+    step = F.greatest(F.lit(1), F.bround(F.col(native) / fps)).cast("long")
     return frames.where(F.col(n) % step == 0).withColumn("t", F.col(n) / F.col(native))
 
 
@@ -31,13 +31,31 @@ def still(df: DataFrame, key: str, t: str, difference: str, least: float) -> Dat
     return df.withColumn("still", F.coalesce((F.col(difference) < least) & F.lag(difference).over(w).isNotNull(), F.lit(False)))
 
 
-def segments(df: DataFrame, key: str, t: str, ok: str, failures: int = FAILURES) -> DataFrame:
-    """Number the segments from 1; a run of failures ends one at its `failures`-th."""
+def until(df: DataFrame, key: str, t: str, t1: float) -> DataFrame:
+    """Rows of each key before the first one later than t1, in order of n: what follows is not read. 0 leaves the end open."""
+    if not t1:
+        return df
+    first = F.min(F.when(F.col(t) > t1, F.col("n"))).over(Window.partitionBy(key))
+    return df.withColumn("stop_", first).where(F.col("stop_").isNull() | (F.col("n") < F.col("stop_"))).drop("stop_")
+
+
+def segments(df: DataFrame, key: str, t: str, ok: str, moved: str | None = None, failures: int = FAILURES) -> DataFrame:
+    """The frames that make up segments, with their segment, numbered from 1.
+
+    The first frame of a key begins a segment, and so does every `failures`-th failure in a row, which starts the count anew.
+    Other failures are left out, and so are frames that have not moved. A segment of one frame is none.
+    """
     w = Window.partitionBy(key).orderBy(t)
-    x = df.withColumn("good_", F.sum(F.col(ok).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    nth = F.sum((~F.col(ok)).cast("int")).over(Window.partitionBy(key, "good_").orderBy(t).rowsBetween(Window.unboundedPreceding, 0))
-    x = x.withColumn("cut_", ((~F.col(ok)) & (nth == failures)).cast("int"))
-    return x.withColumn("segment", F.sum("cut_").over(w.rowsBetween(Window.unboundedPreceding, 0)) + 1).drop("good_", "cut_")
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    x = df.withColumn("first_", F.row_number().over(w) == 1).withColumn("fails_", ~F.coalesce(F.col(ok), F.lit(False)) & ~F.col("first_"))
+    x = x.withColumn("good_", F.sum((~F.col("fails_")).cast("int")).over(upto))
+    nth = F.sum(F.col("fails_").cast("int")).over(Window.partitionBy(key, "good_").orderBy(t).rowsBetween(Window.unboundedPreceding, 0))
+    x = x.withColumn("start_", F.col("first_") | (F.col("fails_") & (nth % failures == 0)))
+    x = x.withColumn("segment", F.sum(F.col("start_").cast("int")).over(upto))
+    stays = ~F.col("fails_") if moved is None else ~F.col("fails_") & F.coalesce(F.col(moved), F.lit(False))
+    x = x.where(F.col("start_") | stays)
+    x = x.withColumn("size_", F.count("*").over(Window.partitionBy(key, "segment"))).where("size_ > 1")
+    return x.withColumn("segment", F.dense_rank().over(Window.partitionBy(key).orderBy("segment"))).drop("first_", "fails_", "good_", "start_", "size_")
 
 
 def header(df: DataFrame, key: str, order: str, columns: list[str]) -> DataFrame:
@@ -81,11 +99,13 @@ def equalize(plane: np.ndarray, limit: float = 2.0, tiles: int = 8) -> np.ndarra
     return np.clip(np.round(out), 0, 255).astype(np.uint8)
 
 
-def with_retry(run: Callable[[], object], waits: tuple = (20, 40, 60), sleep: Callable[[float], None] = time.sleep) -> object:
-    """run(), again after each wait if it fails; the last failure is raised."""
+def with_retry(run: Callable[[], object], waits: tuple = (20, 40, 60), sleep: Callable[[float], None] = time.sleep, hopeless: str = "quota") -> object:
+    """run(), again after each wait if it fails; the last failure is raised, and at once one that tells of a used-up quota."""
     for wait in waits:
         try:
             return run()
-        except OSError:
+        except OSError as e:
+            if hopeless and hopeless in str(e).lower():
+                raise
             sleep(wait)
     return run()

@@ -14,6 +14,14 @@ def to_fetch(manifest: DataFrame, local: DataFrame, remote: DataFrame, keys: lis
     return out.withColumn("status", F.when(F.col("here_"), "done").when(F.col("there_"), "fetch").otherwise("absent")).drop("here_", "there_")
 
 
+def outcomes(manifest: DataFrame, fetched: DataFrame, keys: list[str], size: str = "size") -> DataFrame:
+    """manifest with status: ok if what was fetched has the size asked for, partial if it has another, absent if there is nothing.
+    Only ok files are to be renamed from their partial names; the others are fetched again."""
+    got = fetched.groupBy(*keys).agg(F.max(size).alias("got_"))
+    status = F.when(F.col("got_").isNull(), "absent").when(F.col("got_") == F.col(size), "ok").otherwise("partial")
+    return manifest.join(got, keys, "left").withColumn("status", status).drop("got_")
+
+
 def ledger_totals(df: DataFrame) -> DataFrame:
     return df.groupBy("status").agg(F.count("*").alias("n"))
 

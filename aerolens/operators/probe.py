@@ -5,9 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Sizes in pixels and contrasts of the grid.
-SIZES = (3, 4, 5, 6, 8, 10, 12, 16, 24, 32, 48)
-CONTRASTS = (10.0, 20.0, 40.0, 60.0)
+#: Sizes in pixels and contrasts of the grid, steps and margin of the lattice of sites, blobs that are looked through.
+SIZES = (2, 3, 4, 5, 6, 8, 12, 16, 24, 32, 48)
+CONTRASTS = (10.0, 20.0, 40.0, 80.0)
+SITE_STEP, MARGIN = 64, 64
+TOP, TOP_TIGHT = 25, 10
+#: Pixels around an object's middle, besides half its size, and around a box, in which a blob counts.
+REACH, RIM = 6.0, 2
 
 
 def grid(spark: SparkSession, backgrounds: list[str], repeats: int) -> DataFrame:
@@ -19,8 +23,9 @@ def grid(spark: SparkSession, backgrounds: list[str], repeats: int) -> DataFrame
 def first_match(objects: DataFrame, blobs: DataFrame, key: str) -> DataFrame:
     """Rank (from 0) and score of the first blob near or around each object (frame, x, y, size); -1 if none is."""
     b = blobs.select("frame", F.col("x").alias("bx"), F.col("y").alias("by"), "w", "h", "score", "rank")
-    near = F.hypot(F.col("bx") + F.col("w") / 2 - F.col("x"), F.col("by") + F.col("h") / 2 - F.col("y")) <= F.greatest(F.col("size"), F.lit(6))
-    inside = F.col("x").between(F.col("bx"), F.col("bx") + F.col("w")) & F.col("y").between(F.col("by"), F.col("by") + F.col("h"))
+    near = F.hypot(F.col("bx") + F.col("w") / 2 - F.col("x"), F.col("by") + F.col("h") / 2 - F.col("y")) <= REACH + F.col("size") / 2
+    within = lambda at, low, size: F.col(at).between(F.col(low) - RIM, F.col(low) + F.col(size) + RIM)
+    inside = within("x", "bx", "w") & within("y", "by", "h")
     best = objects.join(b, "frame").where(near | inside).groupBy(key).agg(F.min(F.struct("rank", "score")).alias("m_"))
     return objects.join(best, key, "left").select(*objects.columns, F.coalesce(F.col("m_.rank"), F.lit(-1)).alias("rank"), F.col("m_.score").alias("score"))
 
@@ -41,7 +46,30 @@ def patch_class(p: DataFrame, key: str, light: str = "L") -> DataFrame:
     return g.select(key, F.when((F.col("med") >= 200) & (F.col("bright") >= 0.9), "snow").when((F.col("med") <= 130) & (F.col("dark") >= 0.9), "scree").alias("class"))
 
 
-def size_range(recalls: DataFrame, least: float = 0.5) -> DataFrame:
-    """(bg, low, high) of the sizes whose recall over all contrasts is at least `least`."""
-    g = recalls.groupBy("bg", "size").agg((F.sum(F.col("recall") * F.col("n")) / F.sum("n")).alias("r")).where(F.col("r") >= least)
-    return g.groupBy("bg").agg(F.min("size").alias("low"), F.max("size").alias("high"))
+def size_range(recalls: DataFrame, keys: list[str], least: float = 0.5) -> DataFrame:
+    """(keys, low, high) of the sizes whose recall is at least `least`, for each background and contrast, or whatever keys say."""
+    return recalls.where(F.col("recall") >= least).groupBy(*keys).agg(F.min("size").alias("low"), F.max("size").alias("high"))
+
+
+def rank_report(trials: DataFrame, top: int = TOP, tight: int = TOP_TIGHT) -> DataFrame:
+    """For each size, of the clean trials: how many, how many found, the median rank of these, shares among the first blobs, and
+    medians of peak over contrast, mean over peak, and the clipped share."""
+    found = F.col("rank") >= 0
+    among = lambda k: F.avg((found & (F.col("rank") < k)).cast("int"))
+    g = trials.where("dirty = 0").groupBy("size")
+    return g.agg(
+        F.count("*").alias("n"), F.count_if(found).alias("found"), F.median(F.when(found, F.col("rank"))).alias("rank_med"), among(tight).alias("tight"), among(top).alias("wide"),
+        F.median(F.col("de_peak") / F.col("contrast")).alias("peak_med"), F.median(F.col("de_mean") / F.greatest("de_peak", F.lit(1e-6))).alias("mean_med"), F.median("clipped").alias("clipped_med"),
+    )
+
+
+def clean_counts(blobs: DataFrame, frame: str = "frame") -> DataFrame:
+    """Median, least and most blobs of the frames without objects."""
+    n = blobs.groupBy(frame).agg(F.count("*").alias("n"))
+    return n.agg(F.median("n").alias("med"), F.min("n").alias("low"), F.max("n").alias("high"))
+
+
+def sites(frames: DataFrame, w: str = "w", h: str = "h", step: int = SITE_STEP, margin: int = MARGIN) -> DataFrame:
+    """frames with the places (x, y) of a lattice over each; a frame too small for its margins has none."""
+    at = lambda c: F.when(F.col(c) > 2 * margin, F.sequence(F.lit(margin), F.col(c) - margin - 1, F.lit(step)))
+    return frames.withColumn("y", F.explode(at(h))).withColumn("x", F.explode(at(w))).select(*frames.columns, "x", "y")

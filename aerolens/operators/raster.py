@@ -135,6 +135,12 @@ def verdicts(casts: DataFrame, key: str, flat_m: float = 30.0) -> DataFrame:
     return g.select(key, drift.alias("drift"), F.when(drift.isNull(), "no_hit").when(drift <= flat_m, "ok").otherwise("poloho").alias("verdict"))
 
 
+def with_misses(tasks: DataFrame, verdict_rows: DataFrame, key: str) -> DataFrame:
+    """tasks with drift and verdict; 'miss' for those without a sidecar, whose path is null."""
+    out = tasks.join(verdict_rows, key, "left")
+    return out.withColumn("verdict", F.when(F.col("path").isNull(), "miss").otherwise(F.coalesce("verdict", F.lit("no_hit"))))
+
+
 def successors(grid: DataFrame) -> DataFrame:
     """(id, next, z): the lowest of a cell's eight neighbours if it is lower, ties by place. id is iy * 2^20 + ix."""
     cell = lambda iy, ix: iy.cast("long") * 2**20 + ix

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def _tile(x: str, y: str, size: float) -> Column:
@@ -25,21 +28,41 @@ def radius_join(left: DataFrame, right: DataFrame, radius: float, x: str = "x",
 def nearest_distance(cells: DataFrame, hits: DataFrame, key: str, radius: float, x: str = "x", y: str = "y") -> DataFrame:
     """(key, min_dist) of every cell over all hits, infinite if there is none.
 
-    A cell without a hit in reach tries four times the reach, so the number of rounds is the logarithm of the extent.
+    Tiles of `radius`, 4 and 16 times that and so on are told occupied or empty first. A cell's level is the finest whose nine
+    tiles around it hold a hit. Tiles two levels finer, within the reach that this bounds, are compared by their edges, and
+    only hits of tiles that may hold the nearest one are looked at.
     """
-    box = hits.agg(F.min(x), F.max(x), F.min(y), F.max(y)).first()
-    span = cells.agg(F.min(x), F.max(x), F.min(y), F.max(y)).first()
+    ends = [F.min(x), F.max(x), F.min(y), F.max(y)]
+    box, span = hits.agg(*ends).first(), cells.agg(*ends).first()
     if box[0] is None or span[0] is None:
         return cells.select(key, F.lit(float("inf")).alias("min_dist"))
-    extent = sum(max(box[i + 1], span[i + 1]) - min(box[i], span[i]) for i in (0, 2))
-    left, done, reach = cells.select(key, x, y), None, radius
-    while True:
-        got = radius_join(left, hits.select(x, y), reach, x, y).groupBy(key).agg(F.min("dist").alias("min_dist")).persist()  # a row a cell; two later steps read it
-        done = got if done is None else done.unionByName(got)
-        left = left.join(got, key, "left_anti")
-        if reach > extent or left.isEmpty():
-            return done
-        reach *= 4
+    extent = max(max(box[i + 1], span[i + 1]) - min(box[i], span[i]) for i in (0, 2))
+    levels = range(2 + max(0, math.ceil(math.log(max(extent, radius) / radius, 4))))
+    size = lambda level: F.pow(F.lit(4.0), level) * radius
+
+    def tiles(df: DataFrame, reach: int) -> DataFrame:
+        """df with level and the tiles (i, j) of that level up to `reach` around each row."""
+        around = [(a, b) for a in range(-reach, reach + 1) for b in range(-reach, reach + 1)]
+        at = df.withColumn("level", F.explode(F.array(*map(F.lit, levels)))) if "level" not in df.columns else df
+        at = at.withColumn("i_", F.floor(F.col(x) / size(F.col("level")))).withColumn("j_", F.floor(F.col(y) / size(F.col("level"))))
+        return at.withColumn("t_", F.explode(F.array(*[F.struct((F.col("i_") + a).alias("i"), (F.col("j_") + b).alias("j")) for a, b in around]))).select("*", "t_.i", "t_.j").drop("t_", "i_", "j_")
+
+    dealt = tiles(hits.select(x, y), 0)
+    occupied = dealt.select("level", "i", "j").distinct()
+    near = tiles(cells.select(key, x, y), 1).join(occupied, ["level", "i", "j"])
+    level = near.groupBy(key).agg(F.min("level").alias("level"), F.first(x).alias(x), F.first(y).alias(y))
+    # Fine tiles under the coarse tile that a cell's level asks for.
+    up = F.explode(F.array(*map(F.lit, (0, 1, 2)))).alias("up")
+    fine = occupied.select(F.col("level").alias("f"), F.col("i").alias("fi"), F.col("j").alias("fj"), up).where("up = 2 or f = 0")
+    coarse = lambda c: F.floor(F.col(c) / F.pow(F.lit(4.0), F.col("up")))
+    fine = fine.select("f", "fi", "fj", (F.col("f") + F.col("up")).alias("level"), coarse("fi").alias("i"), coarse("fj").alias("j"))
+    pick = tiles(level, 3).join(fine, ["level", "i", "j"])
+    low = lambda c, i: F.greatest(F.col(i) * size(F.col("f")) - F.col(c), F.col(c) - (F.col(i) + 1) * size(F.col("f")), F.lit(0.0))
+    far = lambda c, i: F.greatest(F.abs(F.col(c) - F.col(i) * size(F.col("f"))), F.abs(F.col(c) - (F.col(i) + 1) * size(F.col("f"))))
+    pick = pick.select(key, x, y, "f", "fi", "fj", F.hypot(low(x, "fi"), low(y, "fj")).alias("low_"), F.min(F.hypot(far(x, "fi"), far(y, "fj"))).over(Window.partitionBy(key)).alias("bound_"))
+    pick = pick.where(F.col("low_") <= F.col("bound_") * (1 + 1e-9)).select(key, F.col(x).alias("cx_"), F.col(y).alias("cy_"), F.col("f").alias("level"), F.col("fi").alias("i"), F.col("fj").alias("j"))
+    got = pick.join(dealt, ["level", "i", "j"]).groupBy(key).agg(F.min(F.hypot(F.col("cx_") - F.col(x), F.col("cy_") - F.col(y))).alias("min_dist"))
+    return cells.select(key).join(got, key, "left").withColumn("min_dist", F.coalesce("min_dist", F.lit(float("inf"))))
 
 
 def cover_cells(cells: DataFrame, hits: DataFrame, key: str, radius: float, visible: float = 100.0, obj: str = "obj8", x: str = "x", y: str = "y") -> DataFrame:

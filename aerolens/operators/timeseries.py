@@ -90,6 +90,32 @@ def sessions(df: DataFrame, keys: list[str], t: str, gap: float, out: str = "ses
     return df.withColumn("new_", new).withColumn(out, F.sum("new_").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("new_")
 
 
+def step_pairs(tracks: DataFrame, spans: DataFrame, key: str, dt: float = 0.25) -> DataFrame:
+    """(key, i, a, b, dyaw, dpitch, pitch) for each fixed step of spans (key, t0, t1): turns between a and b = a + dt, pitch half way.
+
+    tracks: (key, t, yaw, pitch), yaw unwrapped.
+    """
+    n = F.floor((F.col("t1") - F.col("t0")) / dt)
+    steps = spans.where("t1 >= t0").select(key, "t0", F.explode(F.sequence(F.lit(0).cast("long"), 2 * n)).alias("k")).select(key, "k", (F.col("t0") + F.col("k") * (dt / 2)).alias("t"))
+    w = Window.partitionBy(key).orderBy("k")
+    at = interpolate(steps, tracks.select(key, "t", "yaw", "pitch"), [key], "t", ["yaw", "pitch"])
+    ahead = lambda c, m: F.lead(c, m).over(w)
+    x = at.select(key, "k", F.col("t").alias("a"), ahead("t", 2).alias("b"), (ahead("yaw", 2) - F.col("yaw")).alias("dyaw"), (ahead("pitch", 2) - F.col("pitch")).alias("dpitch"), ahead("pitch", 1).alias("mid_"))
+    return x.where("k % 2 = 0 and b is not null").select(key, (F.col("k") / 2).cast("long").alias("i"), "a", "b", "dyaw", "dpitch", F.col("mid_").alias("pitch"))
+
+
+def until_failure(df: DataFrame, key: str, order: str, readable: Column) -> DataFrame:
+    """Rows of each key before its first one that can't be read."""
+    first = F.min(F.when(~F.coalesce(readable, F.lit(False)), F.col(order))).over(Window.partitionBy(key))
+    return df.withColumn("stop_", first).where(F.col("stop_").isNull() | (F.col(order) < F.col("stop_"))).drop("stop_")
+
+
+def focal_quartiles(estimates: DataFrame, key: str, f: str = "f") -> DataFrame:
+    """(key, n, med, q25, q75) of the focal lengths above 0."""
+    q = F.percentile(f, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
+    return estimates.where(F.col(f) > 0).groupBy(key).agg(F.count("*").alias("n"), q.alias("q_")).select(key, "n", F.col("q_")[1].alias("med"), F.col("q_")[0].alias("q25"), F.col("q_")[2].alias("q75"))
+
+
 def pan_pairs(df: DataFrame, key: str, dt: float = 0.5, every: float = 2.0, least: float = 0.4, most: float = 8.0) -> DataFrame:
     """(key, t0, t1) where the camera (t, yaw, pitch, yaw unwrapped) turns between `least` and `most` degrees about one axis.
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars, text
 from ..operators import annotate, catalog, coverage, detect, ingest, probe, raster, spatial, timeseries, tracking
+from ..session import shared_dir
 from ..sources import telemetry_packets
 
 QUERIES: dict = {}
@@ -243,10 +244,11 @@ def q19_regex_tokens(spark, sf_dir):
 
 
 @query("""
-WITH x AS (SELECT conv_id, turn, translate(replace(lower(text), 'ß', 'ss'), 'àâäáãçéèêëíìîïñóòôöõúùûüýÿ', 'aaaaaceeeeiiiinooooouuuuyy') AS t, trim(regexp_replace(text, '[ \\t\\n\\r\\f\\x0b]+', ' ', 'g')) AS s FROM conversations)
-SELECT conv_id, turn, trim(regexp_replace(t, '[^a-z0-9]+', '-', 'g'), '-') AS slug, CASE WHEN length(s) > 160 THEN s[:157] || '...' ELSE s END AS snippet FROM x""")
+WITH x AS (SELECT conv_id, turn, replace(replace(replace(replace(replace(replace(replace(replace(translate(lower(concat(CASE turn % 3 WHEN 0 THEN 'Щука, Ёжик и Объявление ' WHEN 1 THEN 'Юля Цой ' ELSE '' END, text)), 'абвгдеёзийклмнопрстуфыэъь', 'abvgdeeziiklmnoprstufye'), 'ж', 'zh'), 'х', 'kh'), 'ц', 'ts'), 'ч', 'ch'), 'ш', 'sh'), 'щ', 'shch'), 'ю', 'yu'), 'я', 'ya') AS t, trim(regexp_replace(text, '[ \\t\\n\\r\\f\\x0b]+', ' ', 'g')) AS s FROM conversations)
+SELECT conv_id, turn, coalesce(nullif(trim(regexp_replace(t, '[^a-z0-9]+', '-', 'g'), '-'), ''), 'topic') AS slug, CASE WHEN length(s) > 160 THEN s[:157] || '...' ELSE s END AS snippet FROM x""")
 def q20_slugify_text(spark, sf_dir):
-    return _t(spark, sf_dir, "conversations").select("conv_id", "turn", text.slug(F.col("text")).alias("slug"), text.snippet(F.col("text")).alias("snippet"))
+    title = F.concat(F.when(F.col("turn") % 3 == 0, "Щука, Ёжик и Объявление ").when(F.col("turn") % 3 == 1, "Юля Цой ").otherwise(""), F.coalesce("text", F.lit("")))
+    return _t(spark, sf_dir, "conversations").select("conv_id", "turn", text.slug(title).alias("slug"), text.snippet(F.col("text")).alias("snippet"))
 
 
 @query("""SELECT md5(coalesce(text, '')) AS md5, min(doc_id) AS doc_id FROM documents GROUP BY 1""")
@@ -346,8 +348,7 @@ def q32_session_ttl(spark, sf_dir):
 def q33_incremental(spark, sf_dir):
     from ..streaming.increments import ingest as run
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints"
-    path = f"{base.rstrip('/')}/increments-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/increments-{uuid.uuid4().hex}"
     schema = _t(spark, sf_dir, "events").schema
     for _ in range(2):  # the second run finds nothing new
         run(spark, sf_dir, schema, f"{path}/table", f"{path}/marks", "events.parquet")

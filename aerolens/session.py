@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import SparkSession
 
 SETTINGS = {
@@ -15,3 +17,15 @@ SETTINGS = {
 def session(master: str | None = None, **more: str) -> SparkSession:
     b = SparkSession.builder.appName("aerolens").config(map=SETTINGS | more)
     return (b.master(master) if master else b).getOrCreate()
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share, from spark.checkpoint.dir; a local master may go without the setting."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if found:
+        return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    own = "file://" + tempfile.mkdtemp(prefix="aerolens-")
+    spark.conf.set("spark.checkpoint.dir", own)
+    return own

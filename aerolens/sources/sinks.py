@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import srt_time
+from ..functions.scalars import srt_time, stamp_in_name
+from ..operators.annotate import group_rank
 from ..operators.timeseries import lead_time
 
 #: Decimals of the telemetry columns.
@@ -23,13 +24,27 @@ def write_tsv(df: DataFrame, path: str, mode: str = "overwrite", partition: str
 
 
 def subtitles(df: DataFrame, key: str = "video", t: str = "time_s") -> DataFrame:
-    """(key, number, block): one subtitle a row of telemetry, shown until the next."""
-    end = F.greatest(lead_time([key], t), F.col(t) + 0.001)
-    body = F.format_string("[latitude: %.7f] [longitude: %.7f] [abs_alt: %.1f]", "lat", "lon", "alt_m")
-    from ..operators.annotate import group_rank
-
-    n = group_rank([key], [F.col(t)])
-    return df.select(key, n.alias("number"), F.concat_ws("\n", n.cast("string"), F.concat_ws(" --> ", srt_time(F.col(t)), srt_time(end)), body).alias("block"))
+    """(key, number, block): one subtitle a row of telemetry, shown until the next, with its count, its duration and the wall clock.
+
+    lat, lon and alt_m stand as they come; pass them as text for fixed decimals.
+    """
+    end = lead_time([key], t)
+    x = df.withColumn("end_", end).withColumn("number", group_rank([key], [F.col(t)]))
+    ms = F.greatest(F.lit(1), F.round((F.col("end_") - F.col(t)) * 1000).cast("long"))
+    there = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    head = F.concat(F.lit('<font size="28">SrtCnt : '), F.col("number"), F.lit(", DiffTime: "), ms, F.lit("ms"))
+    clock = F.date_format(stamp_in_name(F.col(key), F.col(t)), "yyyy-MM-dd HH:mm:ss.SSS")
+    place = F.concat(F.lit("[latitude: "), there("lat"), F.lit("] [longitude: "), there("lon"), F.lit("] [altitude: "), there("alt_m"), F.lit("] </font>\n"))
+    block = F.concat_ws("\n", F.col("number").cast("string"), F.concat_ws(" --> ", srt_time(F.col(t)), srt_time(F.col("end_"))), head, clock, place)
+    return x.select(key, "number", block.alias("block"))
+
+
+def with_preamble(df: DataFrame, preamble: str, columns: list[str]) -> DataFrame:
+    """(key_, line): a table as lines of text under a preamble of comments and a header, to be written in the order of key_."""
+    spark = df.sparkSession
+    head = spark.createDataFrame([(-2, preamble.rstrip("\n")), (-1, "\t".join(columns))], "key_ long, line string")
+    cells = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns]
+    return head.unionByName(df.select(F.monotonically_increasing_id().alias("key_"), F.concat_ws("\t", *cells).alias("line"))).orderBy("key_")
 
 
 def map_json(df: DataFrame) -> DataFrame:

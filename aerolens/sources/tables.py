@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
@@ -37,10 +38,10 @@ def tracks(spark: SparkSession, path: str) -> DataFrame:
 
 
 def candidates(spark: SparkSession, path: str) -> tuple[str, DataFrame]:
-    """('tracks' or 'detections', rows), told by the first line."""
+    """('tracks' or 'detections', rows with ord, their order in the file), told by the first line."""
     first = spark.read.text(path).limit(1).collect()
     kind = "tracks" if first and first[0][0].startswith("track\t") else "detections"
-    return kind, (tracks if kind == "tracks" else detections)(spark, path)
+    return kind, _ordinal((tracks if kind == "tracks" else detections)(spark, path))
 
 
 def coverage(spark: SparkSession, path: str) -> DataFrame:
@@ -65,22 +66,63 @@ def files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(path).select("path", "length")
 
 
+def positions(spark: SparkSession, path: str) -> DataFrame:
+    """(video, time_s, lat, lon, alt_m) of all sidecars under path that have a place; no rows if there is no sidecar."""
+    try:
+        rows = telemetry(spark, path, ["time_s", "lat", "lon", "alt_m"])
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in (e.getCondition() or ""):
+            raise
+        return spark.createDataFrame([], "video string, time_s double, lat double, lon double, alt_m double")
+    return rows.where("lat is not null and lon is not null")
+
+
+def sidecars(files: DataFrame, tasks: DataFrame, token: str, path: str = "path") -> DataFrame:
+    """tasks with the path of the first sidecar, by name, of a video that begins with DJI_ and the task's token; null if there is none.
+
+    Tokens are prefixes of few different lengths, so files meet them by equality.
+    """
+    lengths = [r[0] for r in tasks.select(F.length(token)).distinct().collect() if r[0]]
+    name = F.regexp_extract(F.col(path), r"DJI_([^/]*)\.MP4\.gps\.tsv$", 1)
+    cut = F.explode(F.array(*[F.left(name, F.lit(n)) for n in lengths], F.lit(None).cast("string")))
+    first = files.where(name != "").select(cut.alias(token), F.col(path).alias("p_")).groupBy(token).agg(F.min("p_").alias("path"))
+    return tasks.join(first, token, "left")
+
+
+def on_days(files: DataFrame, days: list[str], name: str = "name") -> DataFrame:
+    """Files whose names carry one of the days yyyymmdd after their first four letters."""
+    return files.where(F.substring(F.col(name), 5, 8).isin(days))
+
+
+def _ordinal(df: DataFrame) -> DataFrame:
+    """df with ord: rows of one file in the order in which they stand there."""
+    return df.withColumn("ord", F.monotonically_increasing_id())
+
+
 def gpx_points(spark: SparkSession, path: str, tag: str = "trkpt") -> DataFrame:
-    df = spark.read.format("xml").option("rowTag", tag).load(path)
-    return df.select(F.col("_lat").cast("double").alias("lat"), F.col("_lon").cast("double").alias("lon"), *(["name"] if "name" in df.columns else []))
+    """(ord, lat, lon, name): points of a track in its order, or named way points."""
+    df = spark.read.format("xml").option("rowTag", tag).schema("_lat double, _lon double, name string").load(path)
+    return _ordinal(df.select(F.col("_lat").alias("lat"), F.col("_lon").alias("lon"), "name"))
 
 
 def kml_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(name, line): lines of two points or more; of one name, the last line."""
-    schema = "name string, LineString struct<coordinates: string>"
-    df = spark.read.format("xml").option("rowTag", "Placemark").schema(schema).load(path)
-    points = F.filter(F.split(F.trim("LineString.coordinates"), r"\s+"), lambda x: x != "")
+    """(name, line): lines and outer rings of polygons of two points or more; of one name, the last."""
+    ring = "struct<LinearRing: struct<coordinates: string>>"
+    schema = f"name string, LineString struct<coordinates: string>, Polygon struct<outerBoundaryIs: {ring}>"
+    df = _ordinal(spark.read.format("xml").option("rowTag", "Placemark").schema(schema).load(path))
+    text = F.coalesce("LineString.coordinates", "Polygon.outerBoundaryIs.LinearRing.coordinates")
+    points = F.filter(F.split(F.trim(text), r"\s+"), lambda x: x != "")
     at = lambda p, i: F.get(F.split(p, ","), F.lit(i)).cast("double")
     line = F.transform(points, lambda p: F.struct(at(p, 1).alias("lat"), at(p, 0).alias("lon")))
-    rows = df.select("name", line.alias("line"), F.monotonically_increasing_id().alias("ord")).where("size(line) > 1")
+    rows = df.select(F.coalesce("name", F.lit("")).alias("name"), line.alias("line"), "ord").where("size(line) > 1")
     return rows.groupBy("name").agg(F.max_by("line", "ord").alias("line"))
 
 
+def scales(rows: DataFrame) -> DataFrame:
+    """(video, t, obj8px_cm) of coverage rows; null unless the status is ok."""
+    return rows.select("video", "t", F.when(F.col("status") == "ok", F.col("obj8px_cm")).alias("obj8px_cm"))
+
+
 def polygon(spark: SparkSession, path: str) -> DataFrame:
     text = spark.read.option("wholetext", True).text(path)
     return text.select(F.from_json("value", "array<array<double>>").alias("ring"))

@@ -7,10 +7,18 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 
-def ingest(spark: SparkSession, source: str, schema: StructType, target: str, checkpoint: str, pattern: str = "*.parquet", kind: str = "parquet") -> None:
-    """Append what is new under source to the Parquet table target, once, and return."""
+def ingest(spark: SparkSession, source: str, schema: StructType, target: str, checkpoint: str, pattern: str = "*.parquet", kind: str = "parquet", every: str | None = None):
+    """Append what is new under source to the Parquet table target: once, or every so often, as in "1 minute".
+
+    The checkpoint admits one writer, and an interval that a run outlasts is skipped. Returns the query, which has ended if it ran once.
+    """
     stream = spark.readStream.schema(schema).option("pathGlobFilter", pattern).format(kind).load(source)
-    stream.writeStream.format("parquet").option("path", target).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    out = stream.writeStream.format("parquet").option("path", target).option("checkpointLocation", checkpoint)
+    if every:
+        return out.trigger(processingTime=every).start()
+    query = out.trigger(availableNow=True).start()
+    query.awaitTermination()
+    return query
 
 
 def messages_after(messages: DataFrame, marks: DataFrame) -> DataFrame:
