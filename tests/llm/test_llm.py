@@ -300,8 +300,8 @@ def test_known_blobs_meet_no_pattern(spark, tmp_path, monkeypatch):
     docs, tried = spark.read.parquet(f"{tmp_path}/documents.parquet"), []
     plain = secrets.blob_spans
     monkeypatch.setattr(secrets, "blob_spans", lambda texts: tried.append([r["text"] for r in texts.collect()]) or plain(texts))
-    for few in (100_000, 0):  # by broadcasting and by shuffling
-        monkeypatch.setattr(secrets, "MOST_BROADCAST", few)
+    for few in ("10m", "-1"):  # by broadcasting and by shuffling
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", few)
         new = secrets.scan(docs, ledger)
         assert [tuple(r["found"]) for r in new.collect()] == [()] and tried.pop() == [None]
         assert secrets.scan(docs, ledger.unionByName(new)).count() == 0 and tried.pop() == []
@@ -310,6 +310,7 @@ def test_known_blobs_meet_no_pattern(spark, tmp_path, monkeypatch):
         assert plan.index("RLIKE") < plan.index("LeftSemi") and "RLIKE" not in plan[plan.index("LeftSemi") :]
         assert secrets.scan(docs, ledger, "9").count() == 3  # another rule version knows none of them
         tried.clear()
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     found = {(r["doc_id"], len(r["found"])) for r in secrets.findings(docs, whole).collect()}
     assert found == {(1, 1), (2, 1), (3, 0)}
     got = secrets.op3_secret_scan(spark, str(tmp_path)).collect()
