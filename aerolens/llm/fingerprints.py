@@ -17,8 +17,10 @@ from .common import SPACE, SPACE_CHARS, ascii_lower, table
 
 SAMPLES = 32
 WORDS = 5
-#: Terms whose lower bound is above this many times the mean least value can't be the least, but for one sample in e^20.
+#: Terms whose lower bound is above this many times the mean least value can't be the least, but for one sample in e^20. They are
+#: ranked by that bound behind all others, so each sample has a least term whatever the bound.
 REACH = 20.0
+BEHIND = 1e9
 #: Documents of a range that are sorted together, about, and the most ranges. Ranges' ends are broadcast: 16 bytes each.
 RANGE_ROWS = 256
 MOST_RANGES = 200_000
@@ -55,7 +57,7 @@ def exploded(df: DataFrame) -> DataFrame:
 
 
 def sample(k: int, term: Column, weight: Column, total: Column) -> Column:
-    """ln a of sample k; null if the term can't be the least of its document."""
+    """ln a of sample k, or BEHIND and more for a term that can't be the least of its document; null for no term."""
     a, b = F.xxhash64(term, F.lit(2 * k)), F.xxhash64(term, F.lit(2 * k + 1))
     unit = lambda x: (x.cast("double") + 1) / float(2**32)
     high, low = (lambda x: unit(F.shiftrightunsigned(x, 32))), (lambda x: unit(x.bitwiseAND(F.lit(2**32 - 1))))
@@ -63,7 +65,8 @@ def sample(k: int, term: Column, weight: Column, total: Column) -> Column:
     r = F.greatest(-F.log(ur), F.lit(1e-300))
     beta = F.shiftrightunsigned(F.xxhash64(term, F.lit(-1 - k)), 11).cast("double") / float(2**53)
     t = F.floor(F.log(weight) / r + beta)
-    return F.when((1 - uc) * ur * total < REACH * weight, F.log(-F.log(uc)) - r * (t - beta) - r)
+    bound = (1 - uc) * ur * total / weight
+    return F.when(bound < REACH, F.log(-F.log(uc)) - r * (t - beta) - r).otherwise(BEHIND + bound)
 
 
 def sampled(rows: DataFrame, keys: list[str], samples: int = SAMPLES) -> DataFrame:
