@@ -19,8 +19,9 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
-from .common import new_path, table
+from .common import new_path, table, written
 from .tokens import encoder, vocabulary
 
 SEQUENCE = 2048
@@ -109,11 +110,11 @@ class SequenceFile:
         return out[0] if len(out) == 1 else np.concatenate(out) if out else np.zeros(0, self.file.schema.field("ids").type.value_type.to_pandas_dtype())
 
 
-def write_tokens(docs: DataFrame, vocab: str, folder: str, kind: str = "uint16", length: int = SEQUENCE, end_id: int = END_ID) -> list:
+def write_tokens(docs: DataFrame, vocab: str, folder: str, kind: str = "uint16", length: int = SEQUENCE, end_id: int = END_ID) -> DataFrame:
     """Write the ids of all documents, in order of doc_id (null first, ties by text), under folder.
 
-    Returns a row for each file, in order: part, name, n_docs, n_tokens. Null texts are empty, so each
-    document has its end id at least; an empty table gives no file. `kind` must hold every id.
+    Returns a written table with a row for each file: part, name, n_docs, n_tokens; the files' order is that of part. Null texts
+    are empty, so each document has its end id at least; an empty table gives no file. A `kind` that does not hold every id is an error.
     """
     spark = docs.sparkSession
     end = np.array([end_id], "<u4")
@@ -151,17 +152,13 @@ def write_tokens(docs: DataFrame, vocab: str, folder: str, kind: str = "uint16",
     size = docs.select(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     parts = max(1, -(-size // FILE_BYTES), int(spark.conf.get("spark.sql.shuffle.partitions")) if size > 4 * FILE_BYTES else 1)
     dealt = docs.select("doc_id", "text").repartitionByRange(parts, "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"))
-    return sorted(dealt.mapInArrow(run, FILES).collect(), key=lambda r: r["part"])  # a row for each file
+    return written(dealt.mapInArrow(run, FILES), "files")
 
 
-def read_tokens(spark: SparkSession, folder: str, files: list) -> DataFrame:
-    """doc_id, start in the whole stream, n_tokens and CRC-32 of the ids of each document, from the files."""
-    rows, before = [], 0
-    for r in files:
-        rows.append((r["name"], before))
-        before += r["n_tokens"]
-    if not rows:
-        return spark.createDataFrame([], ROWS)
+def read_tokens(folder: str, files: DataFrame) -> DataFrame:
+    """doc_id, start in the whole stream, n_tokens and CRC-32 of the ids of each document, from the files, a task each."""
+    before = F.sum("n_tokens").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))  # a row a file
+    listed = files.select("name", F.coalesce(before, F.lit(0)).alias("base")).repartition(max(1, files.count()))
 
     def run(batches):
         for b in batches:
@@ -174,14 +171,13 @@ def read_tokens(spark: SparkSession, folder: str, files: list) -> DataFrame:
                 crc = [zlib.crc32(np.ascontiguousarray(f.ids(s, k), "<u4")) for s, k in zip(start.tolist(), n.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([places["doc_id"].combine_chunks(), pa.array(start + base), pa.array(n), pa.array(crc, pa.int64())], names=ROWS.names)
 
-    listed = spark.createDataFrame(rows, "name string, base long").repartition(len(rows))
     return listed.mapInArrow(run, ROWS)
 
 
 def op8_token_binary_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = new_path(spark, "tokens")
     files = write_tokens(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), folder)
-    return read_tokens(spark, folder, files)
+    return read_tokens(folder, files)
 
 
 QUERIES = {"op8_token_binary_output": op8_token_binary_output}

@@ -99,6 +99,51 @@ def test_fingerprints(spark, docs, none):
     assert all(len(v) == 1 for v in seen.values())
 
 
+def _plain_samples(text, samples, words=5):
+    """The least term's draw in each sample, by the formulas of consistent weighted sampling over all terms of a text."""
+    import struct
+
+    import xxhash
+
+    def h(*values):
+        seed = 42
+        for kind, v in values:
+            seed = xxhash.xxh64_intdigest(v.encode() if kind == "s" else struct.pack("<" + kind, v), seed)
+        return seed - 2**64 if seed >= 2**63 else seed
+
+    w = [h(("s", x)) for x in re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))]
+    terms = Counter(h(*(("q", x) for x in w[i : i + words])) for i in range(len(w) - words + 1)) if len(w) >= words else Counter([h(*(("q", x) for x in w))] if w else [])
+    unit = lambda x: (x + 1) / 2**32
+    out = []
+    for k in range(samples):
+        draws = []
+        for term, weight in terms.items():
+            a, b, c = (h(("q", term), ("i", n)) % 2**64 for n in (2 * k, 2 * k + 1, -1 - k))
+            uc, r, beta = unit(a >> 32) * unit(a % 2**32), -math.log(unit(b >> 32) * unit(b % 2**32)), (c >> 11) / 2**53
+            t = math.floor(math.log(weight) / r + beta)
+            draws.append((math.log(-math.log(uc)) - r * (t - beta) - r, term, t))
+        out.append(min(draws)[1:] if draws else None)
+    return out
+
+
+def test_samples_equal_plain_sampling(spark, monkeypatch):
+    rng = random.Random(13)
+    base = [rng.choice("abcdef") * rng.randint(1, 3) for _ in range(60)]
+    texts = [" ".join(base), " ".join(base[:50] + ["new"] * 8), " ".join(base[20:] * 2), "a b", "a B ", "", None, " ".join(["x"] * 40)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = [_plain_samples(t, 24) for t in texts]
+    for reach in (20.0, 1e-12):  # no term is within the second, and the bounds' ranking stands in
+        monkeypatch.setattr(fingerprints, "REACH", reach)
+        fp = {r["doc_id"]: r["fp_"] for r in fingerprints.fingerprints(df, samples=24).collect()}
+        for i in range(len(texts)):
+            for j in range(i):
+                same = [a == b for a, b in zip(want[i], want[j])]
+                if reach == 20.0:
+                    assert [a == b for a, b in zip(fp[i], fp[j])] == same
+                elif not any(same):
+                    assert sum(a == b for a, b in zip(fp[i], fp[j])) < 6
+
+
 def test_fingerprint_likeness_is_the_generalised_jaccard_similarity(spark):
     rng = random.Random(3)
     a = [rng.choice("abcdefgh") for _ in range(300)]
@@ -395,9 +440,12 @@ def test_runs_are_hashed_alike_wherever_they_stand(monkeypatch):
 
 def test_token_files(spark, docs, none, tmp_path):
     vocab = vocabulary("word_bpe_49k.json")
-    assert token_files.read_tokens(spark, str(tmp_path / "none"), token_files.write_tokens(none, vocab, str(tmp_path / "none"))).count() == 0
+    assert token_files.read_tokens(str(tmp_path / "none"), token_files.write_tokens(none, vocab, str(tmp_path / "none"))).count() == 0
+    with pytest.raises(Exception, match="uint8 does not hold every id"):
+        token_files.write_tokens(docs, vocab, str(tmp_path / "narrow"), kind="uint8")
     files = token_files.write_tokens(docs, vocab, str(tmp_path / "some"), length=64)
-    got = token_files.read_tokens(spark, str(tmp_path / "some"), files).collect()
+    got = token_files.read_tokens(str(tmp_path / "some"), files).collect()
+    files = files.orderBy("part").collect()
     enc = Encoder(vocab)
     ids = lambda t: [*enc.tok.encode(t or "", add_special_tokens=False).ids, 1]
     assert Counter((r["doc_id"], r["n_tokens"], r["ids_crc32"]) for r in got) == Counter((r[0], len(ids(r[1])), zlib.crc32(np.array(ids(r[1]), "<u4").tobytes())) for r in ROWS)
