@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from aerolens.functions import rules, scalars, text
-from aerolens.operators import catalog, coverage, detect, probe, raster, spatial, timeseries, tracking
+from aerolens.operators import annotate, catalog, coverage, detect, probe, raster, spatial, timeseries, tracking
 from aerolens.plans import details, survey  # noqa: F401
 from aerolens.sources import sinks, tables, telemetry_packets
 
@@ -234,6 +234,50 @@ def test_frames_slice_the_stream(spark):
     assert [bytes(r["packet"]) for r in got] == [b"ab", b"cde", b"f"]
 
 
+def test_edges_tell_their_blur():
+    for blur in (0.0, 1.0, 1.6):
+        wide = np.repeat(np.where(np.arange(97) < 48, 60.0, 180.0)[None], 97, 0)
+        edge = detect._smooth(wide, blur) if blur else wide
+        assert abs(detect.blur_sigma(edge) - max(blur, 0.5)) < 0.35
+    assert detect.blur_sigma(np.full((97, 97), 100.0)) == 1.0
+
+
+def test_injected_spots_differ_as_asked():
+    rng = np.random.default_rng(5)
+    spot = detect.render_blob(12, 1.0, rng)
+    assert spot.max() == 1 and spot.shape == (23, 23) and spot[0].max() < 0.01 and 9 < 2 * np.sqrt((spot > 0.5).sum() / np.pi) < 15
+    lab = np.full((200, 200, 3), (120, 128, 128), np.uint8)
+    out, facts = detect.inject(lab, 100, 90, 12, 40.0, np.array([90, 160, 100]), rng)
+    assert abs(facts["de_peak"] - 40) < 2 and facts["clipped"] == 0 and facts["bg_L"] == 120 and facts["noise"] == 0
+    assert (out != lab).any(2)[80:101, 90:111].any() and (out[:60] == lab[:60]).all()
+    assert detect.inject(lab, 100, 90, 12, 40.0, np.array([122, 129, 128]), rng) is None  # too near the ground
+    assert detect.inject(lab, 3, 90, 12, 40.0, np.array([90, 160, 100]), rng) is None
+    assert detect.inject(lab, 100, 90, 12, 400.0, np.array([90, 160, 100]), rng)[1]["clipped"] > 0
+
+
+def test_signatures_by_class(spark):
+    df = spark.createDataFrame([("предмет", 20.0), ("контроль", 3.0), ("ловушка", 1.0)], "kind string, C double")
+    own, traps = annotate.usable(df)
+    assert own.count() == 1 and traps.count() == 1 and annotate.usable(df, neutral=True)[0].count() == 2
+    assert [r["C"] for r in annotate.resorted(df.withColumn("o", F.col("C")).withColumn("d", F.when(F.col("C") > 2, F.col("C"))), "d", "o").collect()] == [3.0, 20.0, 1.0]
+    assert [r["C"] for r in annotate.top(df, [F.desc("C")], 2).collect()] == [20.0, 3.0]
+
+
+def test_finite_numbers_only(spark):
+    df = spark.createDataFrame([("1.5",), ("inf",), ("nan",), ("x",), (None,)], "s string")
+    assert [r[0] for r in df.select(scalars.number(F.col("s"))).collect()] == [1.5, None, None, None, None]
+
+
+def test_nearest_distances_over_all_scales(spark):
+    rng = np.random.default_rng(9)
+    hits = np.concatenate([rng.uniform(0, 5, (300, 2)), rng.uniform(900, 905, (20, 2)), [[-4000.0, 10.0]]])
+    cells = np.concatenate([rng.uniform(-1000, 1000, (60, 2)), hits[:3], rng.uniform(0, 6, (20, 2))])
+    table = lambda a: spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(a)], "id int, x double, y double")
+    got = {r["id"]: r["min_dist"] for r in spatial.nearest_distance(table(cells), table(hits), "id", 0.5).collect()}
+    assert np.allclose([got[i] for i in range(len(cells))], np.hypot(*(cells[:, None] - hits[None]).transpose(2, 0, 1)).min(1))
+    assert {r["min_dist"] for r in spatial.nearest_distance(table(cells), table(hits[:0]), "id", 0.5).collect()} == {math.inf}
+
+
 def test_rules(spark):
     df = spark.createDataFrame([(80.0, 3.0, -9.0), (20.0, 0.0, 0.0)], "L double, a double, b double")
     assert [r[0] for r in df.select(rules.rule_column("C>=8&b<0")).collect()] == [True, False]
@@ -247,6 +291,21 @@ def test_scans(spark, tmp_path):
     rows = tables.telemetry(spark, str(tmp_path / "a.gps.tsv")).orderBy("time_s").collect()
     assert [(r["video"], r["time_s"], r["lat"], r["alt_m"]) for r in rows] == [("a", 0.0, 1.5, None), ("a", 2.0, None, 4.0)]
     (tmp_path / "k.kml").write_text('<kml><Document><Placemark><name>one</name><LineString><coordinates>1,2 3,4</coordinates></LineString></Placemark><Placemark><name>dot</name><LineString><coordinates>1,2</coordinates></LineString></Placemark></Document></kml>')
+    (tmp_path / "p.kml").write_text('<kml><Placemark><name>ring</name><Polygon><outerBoundaryIs><LinearRing><coordinates>1,2,0 3,4,0 5,6,0</coordinates></LinearRing></outerBoundaryIs></Polygon></Placemark><Placemark><name>ring</name><LineString><coordinates>7,8 9,10</coordinates></LineString></Placemark></kml>')
+    assert [[tuple(p) for p in r["line"]] for r in tables.kml_lines(spark, str(tmp_path / "p.kml")).collect()] == [[(8.0, 7.0), (10.0, 9.0)]]
+    (tmp_path / "t.gpx").write_text('<gpx xmlns="http://www.topografix.com/GPX/1/1"><wpt lat="9" lon="8"><name>camp</name></wpt><trk><trkseg><trkpt lat="1.5" lon="2"/><trkpt lat="1.25" lon="2"/></trkseg></trk></gpx>')
+    assert [(r["lat"], r["lon"]) for r in tables.gpx_points(spark, str(tmp_path / "t.gpx")).orderBy("ord").collect()] == [(1.5, 2.0), (1.25, 2.0)]
+    assert [(r["name"], r["lat"]) for r in tables.gpx_points(spark, str(tmp_path / "t.gpx"), "wpt").collect()] == [("camp", 9.0)]
+    (tmp_path / "ring.json").write_text("[[1.0, 2.0], [3, 4]]")
+    assert tables.polygon(spark, str(tmp_path / "ring.json")).first()["ring"] == [[1.0, 2.0], [3.0, 4.0]]
+    assert [(r["time_s"], r["lat"]) for r in tables.positions(spark, str(tmp_path / "a.gps.tsv")).collect()] == [(0.0, 1.5)] and tables.positions(spark, str(tmp_path / "no.gps.tsv")).count() == 0
+    (tmp_path / "DJI_1.coverage.tsv").write_text("t\tf_px\tdist_m\tgsd_cm\tobj8px_cm\tstatus\n0.5\t2000\t100\t5\t40\tok\n1.5\t\t100\t\t41\tno_focal\n")
+    assert [(r["video"], r["t"], r["obj8px_cm"]) for r in tables.scales(tables.coverage(spark, str(tmp_path / "DJI_1.coverage.tsv"))).orderBy("t").collect()] == [("DJI_1", 0.5, 40.0), ("DJI_1", 1.5, None)]
+    (tmp_path / "s.tsv").write_text("# about\n# it\nname\tL\nred\t50.1\n")
+    assert [tuple(r) for r in tables.signatures(spark, str(tmp_path / "s.tsv")).collect()] == [("red", "50.1")]
+    days = spark.createDataFrame([("DJI_20260811101010_0001_Z.MP4",), ("DJI_20260813101010_0001_Z.MP4",)], "name string")
+    assert tables.on_days(days, ["20260811", "20260812"]).count() == 1
+    assert [r[0].rsplit("/", 1)[1] for r in tables.files(spark, str(tmp_path), "*.kml").orderBy("path").select("path").collect()] == ["k.kml", "p.kml"]
     lines = tables.kml_lines(spark, str(tmp_path / "k.kml")).collect()
     assert [(r["name"], [tuple(p) for p in r["line"]]) for r in lines] == [("one", [(2.0, 1.0), (4.0, 3.0)])]
     (tmp_path / "m.tsv").write_text("a/b.mp4\tid1\t10\n\tid2\t5\n")
@@ -259,18 +318,31 @@ def test_scans(spark, tmp_path):
 def test_text_sinks(spark):
     df = spark.createDataFrame([("v", 0.0333333, 45.12345678, None, 10.0), ("v", 1.0, 45.0, 7.0, 11.0)], "video string, time_s double, lat double, lon double, alt_m double")
     assert tuple(df.select(*sinks.telemetry_text(["time_s", "lat", "lon", "alt_m"])).first()) == ("0.03", "45.1234568", "", "10.0")
-    assert sinks.subtitles(df.fillna(0.0)).orderBy("number").first()["block"].startswith("1\n00:00:00,033 --> 00:00:01,000\n")
+    block = sinks.subtitles(df.withColumn("video", F.lit("DJI_20260811101010_0001_Z.MP4"))).orderBy("number").first()["block"]
+    assert block == '1\n00:00:00,033 --> 00:00:01,000\n<font size="28">SrtCnt : 1, DiffTime: 967ms\n2026-08-11 10:10:10.033\n[latitude: 45.12345678] [longitude: ] [altitude: 10.0] </font>\n'
+    assert "\n2026-01-01 00:00:01.000\n" in sinks.subtitles(df).orderBy(F.desc("number")).first()["block"]
+    lines = [r["line"] for r in sinks.with_preamble(df.select("video", "alt_m"), "# one\n# two\n", ["video", "alt_m"]).collect()]
+    assert lines == ["# one\n# two", "video\talt_m", "v\t10.0", "v\t11.0"]
+    assert [r["json"] for r in sinks.map_json(df.select("video", "alt_m")).collect()] == ['{"video":"v","alt_m":10.0}', '{"video":"v","alt_m":11.0}']
 
 
 def test_slug_snippet_and_names(spark):
-    df = spark.createDataFrame([("  Größe: Été & co!  ", "x" * 200)], "a string, b string")
+    df = spark.createDataFrame([("  Съёмка: Щука & Юля!  ", "x" * 200)], "a string, b string")
+    assert spark.range(1).select(text.slug(F.lit("!?")).alias("a"), text.slug(F.lit("Чат"), F.lit("chat-1")).alias("b"), text.display_name(*[F.lit(None)] * 5).alias("c"), text.display_name(F.lit("A"), F.lit(""), *[F.lit("t")] * 3).alias("d")).first() == ("topic", "chat-1", "?", "A")
+    label = F.lit("scan-183534 and DJI_20260811101010_0001_Z.JPG, C0049; DJI_20260812222324 DJI_20260811101010_0001_Z")
+    assert spark.range(1).select(text.clip_tokens(label)).first()[0] == ["DJI_20260811101010_0001_Z.JPG", "DJI_20260811101010_0001_Z", "C0049", "183534", "222324"]
+    assert spark.range(1).select(text.asset_paths(F.lit('<img src="/analysis/a/b-1.jpg"> "docs/x.PNG" data/y.gif'))).first()[0] == ["analysis/a/b-1.jpg", "docs/x.PNG"]
     r = df.select(text.slug(F.col("a")).alias("s"), text.snippet(F.col("b")).alias("t"), text.display_name(F.lit(None), F.lit(None), F.lit(None), F.lit("u"), F.lit(3)).alias("n")).first()
-    assert r["s"] == "grosse-ete-co" and len(r["t"]) == 160 and r["t"].endswith("...") and r["n"] == "u"
+    assert r["s"] == "semka-shchuka-yulya" and len(r["t"]) == 160 and r["t"].endswith("...") and r["n"] == "u"
 
 
 def test_facets_and_recall(spark):
     df = spark.createDataFrame([("open", 3, None), ("open", None, "v"), ("closed", 9, None), ("open", None, None), ("open", 1, "x")], "status string, conf_num int, conf_tag string")
-    ok = catalog.facet_filter(catalog.PRESETS["open"], least_conf=2)
+    ok = catalog.facet_filter({"status": ["open"]}, least_conf=2)
+    far = spark.createDataFrame([(None,), (5.0,), (50.0,)], "d double")
+    assert [r[0] for r in far.select(catalog.facet_filter({}, {"d": (None, 10.0)})).collect()] == [True, True, False]
+    kinds = df.withColumn("kind", F.lit("item")).withColumn("ord", F.monotonically_increasing_id())
+    assert [(r["conf_num"], r["conf_tag"]) for r in catalog.by_kind(kinds, ["rope", "item"]).collect()] == [(None, "v"), (9, None), (3, None), (None, None), (1, "x")]
     assert [r[0] for r in df.select(ok).collect()] == [True, True, False, False, False]
     t = spark.createDataFrame([("s", 3, 0, 0), ("s", 3, -1, 0), ("s", 3, 0, 1)], "bg string, size int, rank int, dirty int")
     cells = spark.createDataFrame([("s", 3), ("s", 4)], "bg string, size int")
