@@ -42,10 +42,10 @@ def written(df: DataFrame, label: str) -> DataFrame:
 
 
 def drop_written(df: DataFrame) -> None:
-    """Delete the files of a table made by written() that nothing reads any more."""
+    """Delete the files of a table made by written() that nothing reads any more. Other tables stay."""
     spark = df.sparkSession
     for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if "/aerolens-" in name:
+        if name.rsplit("/", 1)[1].startswith("aerolens-"):
             path = spark._jvm.org.apache.hadoop.fs.Path(name)
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import table, written
+from .common import drop_written, table, written
 from .components import components
 from .shingles import shingle_sets
 
@@ -341,6 +341,7 @@ def jaccard_components(docs: DataFrame, num: int = NUM, den: int = DEN, words: i
     follows = rows.where("key is not null").select(F.lag("a").over(by_size).alias("a"), F.col("a").alias("b"), (F.col("low") * num <= before * den).alias("near_"))
     met = follows.where("near_").select("a", "b").unionByName(rows.where("key is null").select("a", "b"))
     clusters = components(met.where("a <> b").distinct())
+    drop_written(rows)
 
     member = reps.join(clusters, reps["cid"] == clusters["id"]).select("cid", "n", "keys", "mult", F.col("component").alias("cluster"))
     blocks = clusters.groupBy(F.col("component").alias("cluster")).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.count("*").alias("rows"))

@@ -725,16 +725,85 @@ def test_html_pages(spark):
     assert html_text.extract_pages(df.limit(0)).count() == 0
 
 
-def test_pipeline(spark, docs, tmp_path):
+def _redacted(text):
+    """text with every run of secrets masked, by Python's patterns for the base kinds and literal ones for the others."""
+    spans = []
+    base = [(r"(?:(?i:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", 8), (r"(AKIA[A-Z0-9]+)", 16), (r"([0-9a-f]{32,})", 32), (r"(gh[pousr]_[A-Za-z0-9]{36,})", 1), (r"(-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----)", 1)]
+    for p, least in base:
+        spans += [m.span() for m in re.finditer(p, text) if len(m[1]) >= least]
+    out, at = "", 0
+    for lo, hi in sorted(spans):
+        if lo >= at:
+            out += text[at:lo] + secrets.MASK
+        at = max(at, hi)
+    return out + text[at:]
+
+
+@pytest.mark.parametrize("empty", [False, True])
+def test_pipeline_equals_plain_stages(spark, tmp_path, empty):
+    """Each stage's output is held against a plain version of it over what the stage before left."""
+    from tokenizers import Tokenizer
+
     import corpus_pipeline
 
-    labels = spark.createDataFrame([(1, 1, 0), (2, 0, 0)], "doc_id long, quality int, toxic int")
-    labels.write.parquet(f"{tmp_path}/labels.parquet")
-    plain = docs.select("doc_id", "text", F.coalesce("lang", F.when(F.col("doc_id") % 2 == 0, "fr")).alias("lang"), "source", "n_chars").where("doc_id is not null")
-    plain.write.parquet(f"{tmp_path}/documents.parquet")
-    at = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    rng = random.Random(21)
+    parts = {"aa": ["ba", "ku", "lo", "zi"], "bb": ["str", "eng", "och", "tter"]}
+    say = lambda k, n: " ".join("".join(rng.choice(parts[k]) for _ in range(rng.randint(1, 4))) for _ in range(n))
+    rows = [(i, say(k := rng.choice("ab") * 2, rng.choice([20, 60, 150])), k, rng.choice(["s1", "s2", None])) for i in range(120)]
+    rows += [(200, None, "aa", "s1"), (201, "", None, "s1"), (202, "12 !!", "aa", "s2"), (203, say("aa", 3000), "aa", None), (None, say("bb", 40), None, "s2"), rows[5]]
+    rows += [(300 + i, rows[7][1] + " " + say("aa", i), "aa", "s2") for i in range(4)] + [(310, rows[7][1], "aa", "s1"), (311, f"{say('aa', 30)} {SECRET} {say('aa', 5)} token: abcdefghij", "aa", "s1"), (312, say("bb", 30) + " " + "0a" * 20, "bb", "s2"), (313, say("bb", 30) + " ghp_" + "a1B2" * 10, "bb", "s2")]
+    rows = [] if empty else rows
+    kind = f"doc_id long, text string, lang string, source string, n_chars long, {EXTRA}"
+    spark.createDataFrame([(i, t, k, s, None if t is None else len(t), *["x"] * 12) for i, t, k, s in rows], kind).repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 1, 0), (2, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    at, out = spark.read.parquet(f"{tmp_path}/documents.parquet"), {}
+    columns = at.columns
+    model = language.fit(at)
     for name, stage in corpus_pipeline.STAGES:
         stage(spark, at, str(tmp_path)).write.parquet(f"{tmp_path}/{name}")
         at = spark.read.parquet(f"{tmp_path}/{name}")
-    assert at.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"] and at.count() > 0
-    assert Counter(r[:-2] for r in map(tuple, at.collect())) == Counter(r[:-2] for r in map(tuple, corpus_pipeline.run(spark, str(tmp_path)).collect()))
+        out[name] = at.collect()
+        assert name == "best_fit_packing" or at.columns == columns
+    key = lambda r: (r[0], r[1])
+    told = [r for r in rows if r[1] and re.search(r"[^\W\d_]", r[1])]
+    assert Counter(map(key, out["language_id"])) == Counter(map(key, told))  # all of these are clear
+    assert not told or all(_plain_choice(r[1], model) == r[2] for r in told if r[2])
+
+    words = [r[1].split() for r in told]
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} or {tuple(w)} for w in words]
+    root = _classes(len(told), lambda i, j: 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j]))
+    first = {}
+    for i in sorted(range(len(told)), key=lambda i: (told[i][0] is None, told[i][0])):
+        first.setdefault(root[i], told[i])
+    assert Counter(map(key, out["ngram_jaccard"])) == Counter(map(key, first.values())) and (empty or len(first) < len(told) - 5)
+    clean = [(i, _redacted(t)) for i, t, *_ in first.values()]
+    assert Counter(map(key, out["secret_scan"])) == Counter(clean) and all(r["n_chars"] == len(r["text"]) for r in out["secret_scan"])
+    assert empty or sum(t.count(secrets.MASK) for _, t in clean) == 4
+
+    times, size = Counter(map(key, out["source_mix"])), {r[:2]: len(r[1].split()) for r in clean}
+    assert set(times) <= set(clean) and max(times.values(), default=0) <= 2
+    source = {(r["doc_id"], r["text"]): r["source"] for r in out["secret_scan"]}
+    total = Counter()
+    for d, s in source.items():
+        total[s] += size[d]
+    weight = dict(zip(sorted(total, key=lambda s: (s is None, s or "")), (3, 1, 2)))
+    level = lambda x: sum(min(2 * total[s], x * weight[s]) for s in total)
+    lo, hi = 0.0, 1e9
+    for _ in range(200):
+        lo, hi = ((lo + hi) / 2, hi) if level((lo + hi) / 2) < 1.5 * sum(total.values()) else (lo, (lo + hi) / 2)
+    for s in total:
+        taken = sum(n * size[d] for d, n in times.items() if source[d] == s)
+        assert abs(taken - min(2 * total[s], hi * weight[s])) <= max(size[d] for d in source if source[d] == s)
+
+    plain, want = Tokenizer.from_file(vocabulary("byte_bpe_50k.json")), Counter()
+    for (i, t), n in times.items():
+        ids = plain.encode(t, add_special_tokens=False).ids + [2]
+        for p, (s, m) in enumerate(packing.cut(len(ids), 1024)):
+            want[i, p, s, m, zlib.crc32(np.array(ids[s : s + m], "<u4").tobytes())] += n
+    assert Counter(tuple(r)[:5] for r in out["best_fit_packing"]) == want
+    bins = defaultdict(list)
+    for r in out["best_fit_packing"]:
+        bins[r["sequence_id"]].append((r["offset"], r["length"]))
+    assert all(sum(n for _, n in v) <= 1024 and [o for o, _ in sorted(v)] == [sum(n for _, n in sorted(v)[:k]) for k in range(len(v))] for v in bins.values())
+    assert len(bins) <= -(-sum(n for v in bins.values() for _, n in v) // 1024) * 1.1 + 1
+    assert Counter(tuple(r)[:5] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()) == want
