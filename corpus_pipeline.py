@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from aerolens.llm.common import table, written
+from aerolens.llm.common import drop_written, table, written
 from aerolens.llm.jaccard import keep_one
 from aerolens.llm.language import fit, keep_identified
 from aerolens.llm.mixing import label_weights, mix_documents
@@ -44,8 +44,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages in turn over documents; each but the last is written to the shared folder and read again."""
-    docs = table(spark, sf_dir, "documents")
+    """The stages in turn over documents; each but the last is written to the shared folder, read again and then deleted."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), name)
+        if before is not None:
+            drop_written(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
