@@ -10,10 +10,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 STEP, MOST, HALVINGS = 5.0, 6000.0, 20
+#: Parts of a step in each of two rounds: together as fine as the halvings.
+SPLIT = 2 ** (HALVINGS // 2)
 MOST_BYTES = 256_000_000
 
 
@@ -33,10 +35,11 @@ class Terrain:
         self.z = z
 
     @classmethod
-    def of(cls, grid: DataFrame) -> Terrain:
+    def of(cls, grid: DataFrame) -> Terrain | None:
+        """None if the grid is empty or takes more than MOST_BYTES as one array."""
         s = grid.agg(F.max("iy"), F.max("ix")).first()
         if s[0] is None or 8 * (s[0] + 1) * (s[1] + 1) > MOST_BYTES:
-            raise ValueError("the grid is empty or too large for one array; use the relational form")
+            return None
         z = np.full((s[0] + 1, s[1] + 1), np.nan)
         p = grid.select("iy", "ix", "z").toPandas()  # bounded by the check above
         z[p.iy, p.ix] = p.z
@@ -114,16 +117,51 @@ def cast_rays(rays: DataFrame, terrain: Terrain, key: str, cell: float = 1.0, fo
     return out.select(*[F.nanvl(c, F.lit(None).cast("double")).alias(c) if c in ("step", "dist", "hit_x", "hit_y") else c for c in out.columns])
 
 
-def cast_relational(rays: DataFrame, grid: DataFrame, key: str, cell: float = 1.0) -> DataFrame:
-    """(key, step) of the same march with joins only, for grids of any size."""
-    d = F.explode(F.transform(F.sequence(F.lit(1), F.lit(int(MOST / STEP))), lambda i: i * F.lit(STEP)))
-    s = rays.withColumn("d", d).withColumn("px", F.col("x") + F.col("e") * F.col("d") / cell).withColumn("py", F.col("y") + F.col("n") * F.col("d") / cell)
-    s = s.select(F.struct(key, "d").alias("s_"), F.col("px").alias("x"), F.col("py").alias("y"), (F.col("alt") + F.col("u") * F.col("d")).alias("h"))
-    g = bilinear_join(s, grid, "s_").select(F.col(f"s_.{key}").alias(key), "s_.d", (F.col("h") - F.col("z")).alias("gap"))
+def _gaps(rays: DataFrame, grid: DataFrame, key: list[str], steps: Column, cell: float) -> DataFrame:
+    """(key, d, gap) of rays at each distance of an array: height above ground, null outside the grid. Four corners, one shuffle."""
+    s = rays.withColumn("d", F.explode(steps))
+    s = s.select(F.struct(*key, "d").alias("s_"), (F.col("x") + F.col("e") * F.col("d") / cell).alias("x"), (F.col("y") + F.col("n") * F.col("d") / cell).alias("y"), (F.col("alt") + F.col("u") * F.col("d") - F.col("lift")).alias("h"))
+    return bilinear_join(s, grid, "s_").select("s_.*", (F.col("h") - F.col("z")).alias("gap"))
+
+
+def cast_relational(rays: DataFrame, grid: DataFrame, key: str, cell: float = 1.0, forks: tuple = (0.0,)) -> DataFrame:
+    """What cast_rays gives, with joins only, for grids of any size.
+
+    The march finds the step in which a ray first meets the ground; two rounds of SPLIT parts each find the place in it.
+    """
     first = lambda c: F.min(F.when(c, F.col("d")))
-    up = g.groupBy(key).agg(first(F.col("gap") > 0).alias("up_"), first(F.col("gap").isNull()).alias("out_"))
-    hit = g.join(up, key).where("gap <= 0 and d > up_ and (out_ is null or d < out_)").groupBy(key).agg(F.min("d").alias("step"))
-    return rays.select(key).join(hit, key, "left")
+    both = [key, "lift"]
+    r = rays.withColumn("lift", F.explode(F.array(*map(F.lit, forks))))
+    g = _gaps(r, grid, both, F.transform(F.sequence(F.lit(1), F.lit(int(MOST / STEP))), lambda i: i * F.lit(STEP)), cell)
+    up = g.groupBy(*both).agg(first(F.col("gap") > 0).alias("up_"), first(F.col("gap").isNull()).alias("out_"))
+    hit = g.join(up, both).where("gap <= 0 and d > up_ and (out_ is null or d < out_)").groupBy(*both).agg(F.min("d").alias("step"))
+    found, width = hit.withColumn("dist", F.col("step")), STEP
+    for _ in range(2):
+        parts = F.transform(F.sequence(F.lit(1), F.lit(SPLIT)), lambda i: F.col("dist") - F.lit(width) + i * F.lit(width / SPLIT))  # noqa: B023
+        at = _gaps(r.join(found, both), grid, both, parts, cell).where("gap <= 0").groupBy(*both).agg(F.min("d").alias("dist"))
+        found, width = found.drop("dist").join(at, both), width / SPLIT
+    place = lambda c, d: (F.col(c) + F.col(d) * F.col("dist") / cell).alias(f"hit_{c}")
+    return r.join(found, both, "left").select(*both, "step", "dist", place("x", "e"), place("y", "n"))
+
+
+def cast(rays: DataFrame, grid: DataFrame, key: str, cell: float = 1.0, forks: tuple = (0.0,)) -> DataFrame:
+    """cast_rays over a grid that fits one array, else cast_relational."""
+    terrain = Terrain.of(grid)
+    return cast_relational(rays, grid, key, cell, forks) if terrain is None else cast_rays(rays, terrain, key, cell, forks)
+
+
+def descents(starts: DataFrame, terrain: Terrain, key: str, **how: float) -> DataFrame:
+    """(key, i, x, y): the way down from each start (key, x, y). Each way is walked in its own row's task."""
+    shared = starts.sparkSession.sparkContext.broadcast(terrain)  # at most MOST_BYTES
+    kind = dict(starts.dtypes)[key]
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in parts:
+            for k, x, y in zip(p[key], p["x"], p["y"], strict=True):
+                way = shared.value.descend(x, y, **how)
+                yield pd.DataFrame({key: k, "i": range(len(way)), "x": [a for a, _ in way], "y": [b for _, b in way]})
+
+    return starts.select(key, F.col("x").cast("double"), F.col("y").cast("double")).mapInPandas(run, f"{key} {kind}, i long, x double, y double")
 
 
 def verdicts(casts: DataFrame, key: str, flat_m: float = 30.0) -> DataFrame:
@@ -164,18 +202,58 @@ def descend(starts: DataFrame, steps: DataFrame, most: int = 400) -> DataFrame:
     )
 
 
-def contours(z: np.ndarray, level: float) -> list[tuple[tuple[float, float], tuple[float, float]]]:
-    """Segments ((x, y), (x, y)) of a level line, cell by cell, by linear crossings on the edges."""
-    out = []
+def contours(z: np.ndarray, level: float) -> list[np.ndarray]:
+    """Level lines as arrays of (x, y): crossings of the edges of all cells at once, chained from cell to cell.
+
+    An edge is crossed if one end is below the level and the other is not; a cell with four crossings pairs them in turn
+    around it. A closed line ends where it began.
+    """
     h, w = z.shape
-    for iy in range(h - 1):
-        for ix in range(w - 1):
-            ring = [(ix, iy), (ix + 1, iy), (ix + 1, iy + 1), (ix, iy + 1)]
-            cross = []
-            for (xa, ya), (xb, yb) in zip(ring, ring[1:] + ring[:1], strict=True):
-                a, b = z[ya, xa] - level, z[yb, xb] - level
-                if (a >= 0) != (b >= 0):
-                    s = a / (a - b)
-                    cross.append((xa + (xb - xa) * s, ya + (yb - ya) * s))
-            out += [(cross[i], cross[i + 1]) for i in range(0, len(cross) - 1, 2)]
-    return out
+    up = z >= level
+    ends, place = [], []
+    for axis in (1, 0):  # edges along x, then along y, named by the number of their first corner
+        a, b = (z[:, :-1], z[:, 1:]) if axis else (z[:-1], z[1:])
+        iy, ix = np.nonzero((up[:, :-1] != up[:, 1:]) if axis else (up[:-1] != up[1:]))
+        share = (level - a[iy, ix]) / (b[iy, ix] - a[iy, ix])
+        ends.append(2 * (iy * w + ix) + (axis == 0))
+        place.append(np.stack([ix + share * (axis == 1), iy + share * (axis == 0)], 1))
+    name, place = np.concatenate(ends), np.concatenate(place)
+    order = np.argsort(name)
+    name, place = name[order], place[order]
+    iy, ix = (x.ravel() for x in np.mgrid[: h - 1, : w - 1])
+    ring = np.stack([2 * (iy * w + ix), 2 * (iy * w + ix + 1) + 1, 2 * ((iy + 1) * w + ix), 2 * (iy * w + ix) + 1], 1)
+    at = np.minimum(np.searchsorted(name, ring), max(0, len(name) - 1))
+    crossed = name[at] == ring if len(name) else np.zeros(ring.shape, bool)
+    pairs = at[crossed].reshape(-1, 2)  # two or four a cell, in the order around it
+    near: list[list[int]] = [[] for _ in name]
+    for a, b in pairs.tolist():
+        near[a].append(b)
+        near[b].append(a)
+    lines, seen = [], np.zeros(len(name), bool)
+    for start in [*np.flatnonzero([len(x) == 1 for x in near]).tolist(), *range(len(name))]:
+        if seen[start] or not near[start]:
+            continue
+        line, k = [start], start
+        seen[start] = True
+        while (step := next((x for x in near[k] if not seen[x]), None)) is not None:
+            seen[step] = True
+            line.append(step)
+            k = step
+        if len(line) > 2 and start in near[k]:
+            line.append(start)
+        lines.append(place[line])
+    return lines
+
+
+def contour_lines(tiles: DataFrame, levels: list[float], key: str) -> DataFrame:
+    """(key, level, line, i, x, y) of tiles (key, iy, ix, z); a tile is one group, and lines end at its edges."""
+    kind = dict(tiles.dtypes)[key]
+
+    def run(k: tuple, p: pd.DataFrame) -> pd.DataFrame:
+        y0, x0 = p.iy.min(), p.ix.min()
+        z = np.full((p.iy.max() - y0 + 1, p.ix.max() - x0 + 1), np.nan)
+        z[p.iy - y0, p.ix - x0] = p.z
+        rows = [(k[0], v, n, i, x + x0, y + y0) for v in levels for n, line in enumerate(contours(z, v)) for i, (x, y) in enumerate(line)]
+        return pd.DataFrame(rows, columns=[key, "level", "line", "i", "x", "y"])
+
+    return tiles.select(key, "iy", "ix", "z").groupBy(key).applyInPandas(run, f"{key} {kind}, level double, line long, i long, x double, y double")

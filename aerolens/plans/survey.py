@@ -219,7 +219,7 @@ def q17_raycast(spark, sf_dir):
     s, el = F.col("s_suppkey"), F.radians(F.lit(-5.0) - F.col("s_suppkey") % 50)
     az = F.radians(s * 37 % 360)
     rays = _t(spark, sf_dir, "supplier").select(s.alias("id"), (s * 31 % 150 + 20).cast("double").alias("x"), (s * 17 % 150 + 20).cast("double").alias("y"), (F.lit(560.0) + s % 90).alias("alt"), (F.sin(az) * F.cos(el)).alias("e"), (F.cos(az) * F.cos(el)).alias("n"), F.sin(el).alias("u"))
-    return raster.cast_rays(rays, raster.Terrain.of(_grid(spark)), "id", cell=10.0).select("id", "step")
+    return raster.cast(rays, _grid(spark), "id", cell=10.0).select("id", "step")
 
 
 @query("""

@@ -89,6 +89,12 @@ def test_ray_casts_agree_and_sky_has_no_hit(spark):
     e, n, u = math.cos(math.radians(-20)), 0.0, math.sin(math.radians(-20))
     rays = spark.createDataFrame([(1, 5.0, 20.0, 100.0, e, n, u), (2, 5.0, 20.0, 100.0, e, n, -u), (3, 5.0, 20.0, -50.0, e, n, u)], "id int, x double, y double, alt double, e double, n double, u double")
     kernel = {r["id"]: r for r in raster.cast_rays(rays, raster.Terrain.of(grid), "id", cell=10.0).collect()}
+    forks = (0.0, 30.0, -30.0)
+    both = [sorted(map(tuple, raster.cast_rays(rays, raster.Terrain.of(grid), "id", cell=10.0, forks=forks).collect()), key=str), sorted(map(tuple, raster.cast_relational(rays, grid, "id", cell=10.0, forks=forks).collect()), key=str)]
+    assert len(both[0]) == 9 and all(a[:3] == b[:3] and all(x == y or math.isclose(x, y, abs_tol=1e-5) for x, y in zip(a[3:], b[3:])) for a, b in zip(*both))
+    lifted = {r["lift"]: r["dist"] for r in raster.cast_rays(rays, raster.Terrain.of(grid), "id", cell=10.0, forks=forks).where("id = 1").collect()}
+    assert all(abs(lifted[k] - (100 - 10 - k) / (math.sin(math.radians(20)) + 0.2 * e)) < 1e-3 for k in forks)
+    assert raster.Terrain.of(grid.limit(0)) is None and raster.cast(rays, grid.limit(0), "id").where("dist is not null").count() == 0
     joined = {r["id"]: r["step"] for r in raster.cast_relational(rays, grid, "id", cell=10.0).collect()}
     want = (100 - 10) / (math.sin(math.radians(20)) + 0.2 * e)
     assert abs(kernel[1]["dist"] - want) < 1e-3 and kernel[2]["dist"] is None and kernel[3]["dist"] is None
@@ -101,12 +107,27 @@ def test_verdicts_of_forks(spark):
     assert got == {"a": (10.0, "ok"), "b": (math.inf, "poloho"), "c": (None, "no_hit")}
 
 
+def test_level_lines_are_chained(spark):
+    y, x = np.mgrid[:41, :41]
+    ring, = raster.contours(np.hypot(x - 20.0, y - 20.0), 10.5)
+    assert (ring[0] == ring[-1]).all() and len(ring) > 60 and np.abs(np.hypot(*(ring - 20).T) - 10.5).max() < 0.05
+    assert np.hypot(*np.diff(ring, axis=0).T).max() < 1.5
+    lines = raster.contours(x * 1.0, 7.25)
+    assert len(lines) == 1 and sorted(lines[0][:, 1]) == list(range(41)) and set(lines[0][:, 0]) == {7.25}
+    assert raster.contours(x * 1.0, 99.0) == []
+    tiles = spark.createDataFrame([(t, i, j, float(j + 10 * t)) for t in (0, 1) for i in range(4) for j in range(5, 9)], "tile int, iy int, ix int, z double")
+    got = {(r["tile"], r["line"], r["i"], r["x"], r["y"]) for r in raster.contour_lines(tiles, [6.5, 17.5], "tile").collect()}
+    assert {(t, x) for t, _, _, x, _ in got} == {(0, 6.5), (1, 7.5)} and len(got) == 8
+    way = raster.descents(spark.createDataFrame([(1, 5, 30)], "id int, x int, y int"), raster.Terrain(((x - 30.0) ** 2 + (y - 30.0) ** 2)[:, :] * 1.0), "id", cell=10.0).orderBy("i").collect()
+    assert (way[0]["x"], way[0]["y"]) == (5.0, 30.0) and len(way) > 5 and way[5]["x"] > 8
+
+
 def test_descent_goes_down():
     y, x = np.mgrid[:60, :60]
     way = raster.Terrain(((x - 30.0) ** 2 + (y - 30.0) ** 2) * 1.0).descend(5.0, 50.0, cell=10.0)
     r = [math.hypot(a - 30, b - 30) for a, b in way]
     assert len(way) > 5 and r[-1] < 1.5 and all(b < a for a, b in zip(r, r[1:]) if a > 1.5)  # at the bottom it steps to and fro
-    assert raster.contours(np.array([[0.0, 0.0], [10.0, 10.0]]), 5.0) == [((1.0, 0.5), (0.0, 0.5))]
+    assert [x.tolist() for x in raster.contours(np.array([[0.0, 0.0], [10.0, 10.0]]), 5.0)] == [[[0.0, 0.5], [1.0, 0.5]]]
 
 
 def test_blobs_find_a_rare_patch_and_drop_a_speck(spark):
