@@ -91,6 +91,13 @@ def annotated(df: DataFrame, new: list[str], file: str, group: str, order: list[
     return df.select(*ranks, *new, *old)
 
 
+def with_crop(candidates: DataFrame, crops: DataFrame, group: str = "grp", ident: str = "i", path: str = "path") -> DataFrame:
+    """candidates with the path of their crop, <group>/crops/<number of four digits>.jpg, null if it is not there."""
+    name = F.format_string("%s/crops/%04d.jpg", F.col(group), F.col(ident))
+    there = crops.select(F.substring_index(path, "/", -3).alias("crop_"), F.col(path).alias("crop")).groupBy("crop_").agg(F.min("crop").alias("crop"))
+    return candidates.withColumn("crop_", name).join(there, "crop_", "left").drop("crop_")
+
+
 def top(df: DataFrame, order: list[Column], n: int = 10) -> DataFrame:
     """The first n rows, for a report."""
     return df.orderBy(*order).limit(n)

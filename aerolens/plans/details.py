@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from ..functions import scalars, text
-from ..operators import annotate, catalog, coverage, frames, ingest, probe, raster, timeseries
+from ..functions import rules, scalars, text
+from ..operators import annotate, catalog, coverage, frames, ingest, probe, raster, spatial, timeseries
 from ..sources import sinks, tables
 from ..streaming import increments
 from .survey import _events, _t, query
@@ -293,3 +294,61 @@ def q62_sane_homographies(spark, sf_dir):
     k, s = F.col("p_partkey"), F.col("p_size")
     m = F.array(0.2 + s / 12.0, (k % 17 - 8) / 4.0, F.lit(3.0), F.lit(0.1), 0.3 + s / 15.0, F.lit(5.0), (k % 5 - 2) / 2000.0, F.lit(0.0), F.lit(1.0))
     return _t(spark, sf_dir, "part").select(k.alias("id"), scalars.sane_homography(m, F.lit(640.0), F.lit(360.0)).alias("sane"))
+
+
+@query("""
+WITH p AS (SELECT p_partkey AS id, p_partkey % 7 * 3.0 AS x0, p_partkey % 7 * 3.0 + p_size / 4.0 AS x1, p_partkey % 5 * 2.0 AS y0, p_partkey % 5 * 2.0 + p_size % 9 AS y1 FROM part WHERE p_size % 9 > 0),
+a AS (SELECT id, x0 + (i + 0.5) * 2.5 AS x, x1, y0, y1 FROM p, LATERAL (SELECT unnest(range(0, floor((x1 - x0) / 2.5)::BIGINT + 1)) AS i)),
+b AS (SELECT id, x, x1, y0 + (j + 0.5) * 2.5 AS y, y1 FROM a, LATERAL (SELECT unnest(range(0, floor((y1 - y0) / 2.5)::BIGINT + 1)) AS j))
+SELECT id, round(x, 6) AS x, round(y, 6) AS y FROM b WHERE x < x1 AND y < y1""")
+def q63_grid_cells(spark, sf_dir):
+    k, s = F.col("p_partkey"), F.col("p_size")
+    x0, y0 = (k % 7 * 3).cast("double"), (k % 5 * 2).cast("double")
+    p = _t(spark, sf_dir, "part").where("p_size % 9 > 0").select(k.alias("id"), F.explode(spatial.grid_cells(x0, x0 + s / 4.0, y0, y0 + s % 9, 2.5)).alias("c"))
+    return p.select("id", F.round("c.x", 6).alias("x"), F.round("c.y", 6).alias("y"))
+
+
+@query("""
+WITH c AS (SELECT s_suppkey AS task, s_suppkey % 4 AS m, s_acctbal FROM supplier),
+f AS (SELECT task, unnest([0.0, 30.0, -30.0]) AS lift, m, s_acctbal FROM c),
+h AS (SELECT task, lift, CASE WHEN m = 0 OR (m = 1 AND lift > 0) THEN NULL ELSE 100 + lift * (task % 9) / 10 END AS x, 50 + abs(lift) / 10 AS y FROM f),
+d AS (SELECT h.*, b.x AS bx, b.y AS by_ FROM h JOIN h b ON b.task = h.task AND b.lift = 0),
+m AS (SELECT task, max(CASE WHEN bx IS NULL THEN NULL WHEN x IS NULL THEN 1e300 ELSE sqrt(pow(x - bx, 2) + pow(y - by_, 2)) END) AS drift FROM d GROUP BY 1)
+SELECT task, round(CASE WHEN drift < 1e300 THEN drift END, 6) AS drift, CASE WHEN drift IS NULL THEN 'no_hit' WHEN drift <= 30 THEN 'ok' ELSE 'poloho' END AS verdict FROM m""")
+def q64_verdicts(spark, sf_dir):
+    k, lift = F.col("s_suppkey"), F.col("lift")
+    c = _t(spark, sf_dir, "supplier").select(k.alias("task"), F.explode(F.array(*map(F.lit, (0.0, 30.0, -30.0)))).alias("lift"))
+    m = F.col("task") % 4
+    x = F.when((m == 0) | ((m == 1) & (lift > 0)), None).otherwise(100 + lift * (F.col("task") % 9) / 10)
+    casts = c.withColumn("hit_x", x).withColumn("hit_y", F.when(x.isNotNull(), 50 + F.abs(lift) / 10)).withColumn("dist", F.when(x.isNotNull(), F.lit(1.0)))
+    out = raster.verdicts(casts, "task")
+    return out.select("task", F.round(F.when(F.col("drift") < 1e300, F.col("drift")), 6).alias("drift"), "verdict")
+
+
+@query("""
+WITH h AS (SELECT user_id AS video, event_id, value AS dist, CASE WHEN event_id % 7 > 0 THEN event_id % 3000 END AS f FROM events)
+SELECT event_id, round(CASE WHEN f <> 0 THEN dist / f END * 100, 8) AS gsd_cm, round(CASE WHEN f <> 0 THEN dist / f END * 800, 8) AS obj8px_cm, CASE WHEN dist IS NULL THEN 'above_horizon' WHEN f IS NULL THEN 'no_focal' ELSE 'ok' END AS status FROM h""")
+def q65_scales(spark, sf_dir):
+    e = _t(spark, sf_dir, "events").select("event_id", F.col("value").alias("dist_m"), F.when(F.col("event_id") % 7 > 0, F.col("event_id") % 3000).alias("f_px"))
+    return coverage.classify(e).select("event_id", *[F.round(c, 8).alias(c) for c in ("gsd_cm", "obj8px_cm")], "status")
+
+
+@query("""
+WITH x AS (SELECT l_orderkey AS id, l_linenumber AS k, floor(l_quantity * 5) AS "L", floor(l_discount * 1000) - 50 AS a, floor(l_tax * 1000) - 40 AS b FROM lineitem)
+SELECT count(*) FILTER (sqrt(a * a + b * b) >= 8 AND b < 0) AS blue, count(*) FILTER ("L" >= 78) AS light, count(*) FILTER ("L" < 35 AND a > 0) AS dark FROM x""")
+def q66_colour_rules(spark, sf_dir):
+    x = _t(spark, sf_dir, "lineitem").select(F.floor(F.col("l_quantity") * 5).alias("L"), (F.floor(F.col("l_discount") * 1000) - 50).alias("a"), (F.floor(F.col("l_tax") * 1000) - 40).alias("b"))
+    return x.agg(*[F.count_if(rules.rule_column(r)).alias(name) for name, r in (("blue", "C>=8&b<0"), ("light", "L>=78"), ("dark", "L<35&a>0"))])
+
+
+@query("""
+WITH e AS (SELECT user_id, event_id, epoch_us(ts) AS us, event_type, CASE WHEN event_type = 'click' THEN value END AS a, CASE WHEN event_id % 3 = 0 THEN event_type END AS b FROM events),
+s AS (SELECT user_id, us, value_ FROM (SELECT user_id, us, abs(a - lag(a) OVER (PARTITION BY user_id ORDER BY us)) AS value_ FROM (SELECT user_id, us, event_id % 40 AS a FROM e)))
+SELECT user_id, arg_min(a, us) FILTER (a IS NOT NULL) AS first_a, arg_min(b, us) FILTER (b IS NOT NULL) AS first_b, min(us) AS low, max(us) AS high, any_value(st.n) AS still FROM e JOIN (SELECT user_id, count(*) FILTER (value_ < 6 AND prev IS NOT NULL) AS n FROM (SELECT *, lag(value_) OVER (PARTITION BY user_id ORDER BY us) AS prev FROM s) GROUP BY 1) st USING (user_id) GROUP BY 1""")
+def q67_headers_and_spans(spark, sf_dir):
+    e = _events(spark, sf_dir).select("user_id", "us", "event_id", F.when(F.col("event_type") == "click", F.col("value")).alias("a"), F.when(F.col("event_id") % 3 == 0, F.col("event_type")).alias("b"))
+    first = frames.header(e, "user_id", "us", ["a", "b"]).select("user_id", F.col("a").alias("first_a"), F.col("b").alias("first_b"))
+    w = Window.partitionBy("user_id").orderBy("us")
+    moves = e.withColumn("d", F.abs(F.col("event_id") % 40 - F.lag(F.col("event_id") % 40).over(w)))
+    still = frames.still(moves, "user_id", "us", "d", 6).groupBy("user_id").agg(F.count_if("still").alias("still"))
+    return first.join(frames.span(e, "user_id", "us"), "user_id").join(still, "user_id")

@@ -284,6 +284,55 @@ def test_signatures_by_class(spark):
     assert [r["C"] for r in annotate.top(df, [F.desc("C")], 2).collect()] == [20.0, 3.0]
 
 
+def test_lookups_tell_what_they_lack(spark):
+    points = spark.createDataFrame([("tg", "open"), ("ai", "open"), ("ai", "open")], "src string, status string")
+    rows = spark.createDataFrame([("tg", "open", "call")], "src string, status string, verdict string")
+    assert [tuple(r) for r in catalog.unmatched(points, rows, ["src", "status"]).collect()] == [("ai", "open")]
+    cand = spark.createDataFrame([("DJI_1", 3), ("DJI_1", 4)], "grp string, i int")
+    crops = spark.createDataFrame([("/r/scans/DJI_1/crops/0003.jpg",)], "path string")
+    assert {r["i"]: r["crop"] for r in annotate.with_crop(cand, crops).collect()} == {3: "/r/scans/DJI_1/crops/0003.jpg", 4: None}
+    assert catalog.token_join(spark.createDataFrame([], "t string"), crops, "t", "path").count() == 0
+    assert probe.grid(spark, ["s", "o"], 3).count() == 2 * 11 * 4 * 3
+
+
+def test_text_tables_come_back(spark, tmp_path):
+    df = spark.createDataFrame([(0, 1.5, 0.0, 2.0, "1,2,3,4", 9.5, None, None, None), (1, 2.5, 1.0, 3.0, "5,6,7,8", 8.5, 45.0, 7.0, 100.0)], "track int, t_best double, t0 double, t1 double, bbox string, score double, lat double, lon double, alt double")
+    sinks.write_tsv(df.coalesce(1), str(tmp_path / "tracks"))
+    kind, got = tables.candidates(spark, str(tmp_path / "tracks"))
+    assert kind == "tracks" and sorted(map(tuple, got.drop("ord").collect()), key=str) == sorted(map(tuple, df.collect()), key=str)
+    assert [r["track"] for r in got.orderBy("ord").collect()] == [0, 1]
+    for n in (1, 2):
+        sinks.write_tsv(spark.createDataFrame([("f", n, "1,2,3,4", 12, "1,2,3", 0.5)], "frame string, blob int, bbox string, area int, rgb string, score double").coalesce(1), str(tmp_path / "detections"), "append", header=False)
+    kind, got = tables.candidates(spark, str(tmp_path / "detections"))
+    assert kind == "detections" and {r["blob"] for r in got.collect()} == {1, 2}
+
+
+def test_increments_run_on_a_schedule(spark, tmp_path):
+    from aerolens.streaming import increments
+
+    src, target = str(tmp_path / "in"), str(tmp_path / "out")
+    spark.range(3).write.parquet(src)
+    q = increments.ingest(spark, src, spark.read.parquet(src).schema, target, str(tmp_path / "c"), every="1 second")
+    try:
+        q.processAllAvailable()
+        spark.range(3, 5).write.mode("append").parquet(src)
+        q.processAllAvailable()
+    finally:
+        q.stop()
+    assert sorted(r["id"] for r in spark.read.parquet(target).collect()) == [0, 1, 2, 3, 4]
+    late = spark.createDataFrame([("2026-01-01 00:10:00", "a"), ("2026-01-01 00:20:00", "a"), ("2026-01-01 01:10:00", "b")], "ts string, k string").select(F.col("ts").cast("timestamp").alias("ts"), "k")
+    assert sorted((r["k"], r["n"]) for r in increments.windowed_counts(late, "ts", "k").collect()) == [("a", 2), ("b", 1)]
+
+
+def test_lattices_spans_and_series(spark):
+    from aerolens.operators import frames
+
+    df = spark.createDataFrame([("v", 1.0, None), ("v", 4.0, 2.0)], "k string, t double, alt double")
+    assert tuple(frames.span(df, "k", "alt").first()) == ("v", 2.0, 2.0) and tuple(frames.span(df, "k", "t").first()) == ("v", 1.0, 4.0)
+    assert [(r["i"], r["t"]) for r in timeseries.resample(df, ["k"], "t", 1.25).orderBy("i").collect()] == [(0, 1.0), (1, 2.25), (2, 3.5)]
+    assert raster.with_misses(spark.createDataFrame([(1, "p"), (2, None), (3, "q")], "k int, path string"), spark.createDataFrame([(1, 4.0, "ok")], "k int, drift double, verdict string"), "k").orderBy("k").select("verdict").collect() == [("ok",), ("miss",), ("no_hit",)]
+
+
 def test_finite_numbers_only(spark):
     df = spark.createDataFrame([("1.5",), ("inf",), ("nan",), ("x",), (None,)], "s string")
     assert [r[0] for r in df.select(scalars.number(F.col("s"))).collect()] == [1.5, None, None, None, None]
