@@ -160,4 +160,15 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op3_secret_scan": op3_secret_scan}
-SQL: dict[str, str] = {}
+#: The same from the lengths of gaps and matches of each rule, for the SQL check.
+SQL: dict[str, str] = {
+    "op3_secret_scan": "WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents), m AS ("
+    + " UNION ALL ".join(
+        f"SELECT doc_id, {k} AS k, '{r[0]}' AS kind, list_transform(string_split_regex(text, p), lambda x: length(x)) AS gap, list_transform(regexp_extract_all(text, p, 0), lambda x: length(x)) AS len, list_transform(regexp_extract_all(text, p, {r[2]}), lambda x: length(x)) AS val, {r[3]} AS least FROM d, (SELECT '{r[1].replace(chr(39), chr(39) * 2)}' AS p)"
+        for k, r in enumerate(RULES)
+    )
+    + f"""), i AS (SELECT *, unnest(range(1, len(len) + 1)) AS i FROM m WHERE len(len) > 0),
+s AS (SELECT doc_id, k, kind, (list_sum(gap[1:i]) + coalesce(list_sum(len[1:i - 1]), 0))::BIGINT AS start, (list_sum(gap[1:i]) + list_sum(len[1:i]))::BIGINT AS stop FROM i WHERE val[i] >= least),
+g AS (SELECT doc_id, count(*) FILTER (k = 0) AS a, count(*) FILTER (k = 1) AS b, count(*) FILTER (k = 2) AS c, string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, k) FILTER (k < {BASE}) AS base, string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, k) AS spans FROM s GROUP BY 1)
+SELECT doc_id, coalesce(a, 0) AS n_assign, coalesce(b, 0) AS n_access, coalesce(c, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM documents LEFT JOIN g USING (doc_id)"""
+}

@@ -381,4 +381,17 @@ def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op7_suffix_array_dedup": op7_suffix_array_dedup}
-SQL: dict[str, str] = {}
+#: The same over all windows, in hexadecimal digits, for the SQL check.
+SQL: dict[str, str] = {
+    "op7_suffix_array_dedup": """
+WITH t AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+b0 AS (SELECT doc_id, h, unnest(range(0, length(h) // 2 - 99, 500)) AS off FROM t), b1 AS (SELECT doc_id, off, substr(h, 2 * off + 1, 1198) AS part FROM b0),
+b2 AS (SELECT doc_id, off, part, unnest(range(0, length(part) // 2 - 99)) AS i FROM b1), w AS (SELECT doc_id, off + i AS k, md5(substr(part, 2 * i + 1, 200)) AS m FROM b2),
+a AS (SELECT doc_id, k, row_number() OVER (PARTITION BY m ORDER BY doc_id, k) AS nth FROM w),
+g AS (SELECT doc_id, k, CASE WHEN k <= lag(k) OVER x + 100 THEN 0 ELSE 1 END AS new FROM a WHERE nth > 1 WINDOW x AS (PARTITION BY doc_id ORDER BY k)),
+i AS (SELECT doc_id, k, sum(new) OVER (PARTITION BY doc_id ORDER BY k ROWS UNBOUNDED PRECEDING) AS run FROM g),
+s AS (SELECT doc_id, run, min(k) AS lo, max(k) + 100 AS hi FROM i GROUP BY ALL),
+b AS (SELECT doc_id, lo, coalesce(lag(hi) OVER (PARTITION BY doc_id ORDER BY lo), 0) AS since, hi FROM s),
+p AS (SELECT doc_id, count(*) AS n_spans, sum(hi - lo) AS gone, max(hi) AS last, string_agg(substr(h, 2 * since + 1, 2 * (lo - since)), '' ORDER BY lo) AS left_ FROM b JOIN t USING (doc_id) GROUP BY 1)
+SELECT doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(gone, 0)::BIGINT AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(left_, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256 FROM t LEFT JOIN p USING (doc_id)"""
+}

@@ -638,6 +638,23 @@ def test_filed_windows_cover_all_and_hang_on_the_window_alone(monkeypatch):
     assert {w: x for x, a, b in zip(h2.tolist(), f2.tolist(), l2.tolist()) for w in range(a, b + 1)} == at
 
 
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables")
+@pytest.mark.parametrize("name", ["op2_embedding_near_dedup", "op3_secret_scan", "op6_ngram_jaccard_join", "op7_suffix_array_dedup"])
+def test_query_equals_its_sql(spark, name):
+    import duckdb
+
+    from aerolens.llm import queries
+
+    sf, c = "/root/testdata/sf0.001", duckdb.connect()
+    c.execute("SET memory_limit = '4GB'")
+    for t in ("documents", "embeddings"):
+        c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
+    df = queries.queries()[name](spark, sf)
+    r = c.execute(queries.oracle_sql()[name])
+    at = [[x[0] for x in r.description].index(x) for x in df.columns]
+    assert Counter(map(tuple, df.collect())) == Counter(tuple(row[i] for i in at) for row in r.fetchall())
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style></head><body class="home"><header><h1>Site</h1></header><nav><a href="/">Home</a></nav>
 <div id="cookie-notice">We use cookies</div><div class="wrap"><div class="post"><h2>Head &amp; tail</h2><p>First <b>bold</b>ed   words, many of them to make a text of some length here.<p>Second&nbsp;one<br>line
 two &lt;tag&gt; and more words that follow on to the end.</p><p>Ok.</p><div class="ad">Buy now</div><ul><li>item one<li>item two</ul></div>
