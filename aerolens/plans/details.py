@@ -150,14 +150,14 @@ def q50_subtitles(spark, sf_dir):
 
 
 _TRIALS = """SELECT (l_partkey % 2)::VARCHAR AS bg, list_extract([2, 3, 4, 5, 6, 8, 12, 16, 24, 32, 48], (l_suppkey % 11 + 1)::INT) AS size, list_extract([10.0, 20.0, 40.0, 80.0], (l_orderkey % 4 + 1)::INT)::DOUBLE AS contrast,
- l_linenumber * 7 - 8 AS rank, (l_returnflag = 'R')::INT AS dirty, l_quantity AS de_peak, l_quantity * l_discount AS de_mean, l_tax AS clipped FROM lineitem"""
+ (l_linenumber * 7 + l_orderkey) % 45 - 1 AS rank, (l_returnflag = 'R')::INT AS dirty, l_quantity AS de_peak, l_quantity * l_discount AS de_mean, l_tax AS clipped FROM lineitem"""
 
 
 def _trials(spark, sf_dir):
     pick = lambda values, k: F.element_at(F.array(*map(F.lit, values)), k.cast("int") + 1)
     c = F.col
     return _t(spark, sf_dir, "lineitem").select(
-        (c("l_partkey") % 2).cast("string").alias("bg"), pick(probe.SIZES, c("l_suppkey") % 11).alias("size"), pick(probe.CONTRASTS, c("l_orderkey") % 4).alias("contrast"), (c("l_linenumber") * 7 - 8).alias("rank"),
+        (c("l_partkey") % 2).cast("string").alias("bg"), pick(probe.SIZES, c("l_suppkey") % 11).alias("size"), pick(probe.CONTRASTS, c("l_orderkey") % 4).alias("contrast"), ((c("l_linenumber") * 7 + c("l_orderkey")) % 45 - 1).alias("rank"),
         (c("l_returnflag") == "R").cast("int").alias("dirty"), c("l_quantity").alias("de_peak"), (c("l_quantity") * c("l_discount")).alias("de_mean"), c("l_tax").alias("clipped"),
     )
 

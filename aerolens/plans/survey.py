@@ -414,8 +414,8 @@ p AS (SELECT g.*, e.t AS t0, e.yaw AS y0, e.pitch AS p0 FROM g ASOF JOIN e ON g.
 n AS (SELECT p.*, e.t AS t1, e.yaw AS y1, e.pitch AS p1 FROM p ASOF LEFT JOIN e ON p.user_id = e.user_id AND p.t <= e.t),
 v AS (SELECT user_id, i, t, CASE WHEN t1 IS NULL OR t1 = t0 THEN y0 ELSE y0 + (y1 - y0) * ((t - t0) / (t1 - t0)) END AS yaw, CASE WHEN t1 IS NULL OR t1 = t0 THEN p0 ELSE p0 + (p1 - p0) * ((t - t0) / (t1 - t0)) END AS pitch FROM n),
 d AS (SELECT user_id, i, t, abs(lead(yaw) OVER w - yaw) AS dy, abs(lead(pitch) OVER w - pitch) AS dp FROM v WINDOW w AS (PARTITION BY user_id ORDER BY i)),
-m AS (SELECT user_id, i, t FROM d WHERE sqrt(dy * dy + dp * dp) BETWEEN 0.4 AND 8 AND greatest(dy, dp) > 2 * least(dy, dp)),
-after AS (SELECT a.user_id, a.i, b.i AS nx FROM m a ASOF LEFT JOIN m b ON a.user_id = b.user_id AND a.i + 4 <= b.i)"""
+m AS MATERIALIZED (SELECT user_id, i, t FROM d WHERE sqrt(dy * dy + dp * dp) BETWEEN 0.4 AND 8 AND greatest(dy, dp) > 2 * least(dy, dp)),
+after AS MATERIALIZED (SELECT a.user_id, a.i, b.i AS nx FROM m a ASOF LEFT JOIN m b ON a.user_id = b.user_id AND a.i + 4 <= b.i)"""
 
 
 @query(f"""
