@@ -28,8 +28,8 @@ def radius_join(left: DataFrame, right: DataFrame, radius: float, x: str = "x",
 def nearest_distance(cells: DataFrame, hits: DataFrame, key: str, radius: float, x: str = "x", y: str = "y") -> DataFrame:
     """(key, min_dist) of every cell over all hits, infinite if there is none.
 
-    Tiles of `radius`, 4 and 16 times that and so on are told occupied or empty first. A cell's level is the finest whose nine
-    tiles around it hold a hit. Tiles two levels finer, within the reach that this bounds, are compared by their edges, and
+    Tiles of `radius`, twice that and so on are told occupied or empty first. A cell's level is the finest whose nine
+    tiles around it hold a hit. Tiles one level finer, within the reach that this bounds, are compared by their edges, and
     only hits of tiles that may hold the nearest one are looked at.
     """
     ends = [F.min(x), F.max(x), F.min(y), F.max(y)]
@@ -37,24 +37,25 @@ def nearest_distance(cells: DataFrame, hits: DataFrame, key: str, radius: float,
     if box[0] is None or span[0] is None:
         return cells.select(key, F.lit(float("inf")).alias("min_dist"))
     extent = max(max(box[i + 1], span[i + 1]) - min(box[i], span[i]) for i in (0, 2))
-    levels = range(2 + max(0, math.ceil(math.log(max(extent, radius) / radius, 4))))
-    size = lambda level: F.pow(F.lit(4.0), level) * radius
+    top = 1 + max(0, math.ceil(math.log(max(extent, radius) / radius, 2)))
+    size = lambda level: F.pow(F.lit(2.0), level) * radius
 
     def tiles(df: DataFrame, reach: int) -> DataFrame:
         """df with level and the tiles (i, j) of that level up to `reach` around each row."""
-        around = [(a, b) for a in range(-reach, reach + 1) for b in range(-reach, reach + 1)]
-        at = df.withColumn("level", F.explode(F.array(*map(F.lit, levels)))) if "level" not in df.columns else df
-        at = at.withColumn("i_", F.floor(F.col(x) / size(F.col("level")))).withColumn("j_", F.floor(F.col(y) / size(F.col("level"))))
-        return at.withColumn("t_", F.explode(F.array(*[F.struct((F.col("i_") + a).alias("i"), (F.col("j_") + b).alias("j")) for a, b in around]))).select("*", "t_.i", "t_.j").drop("t_", "i_", "j_")
+        at = df if "level" in df.columns else df.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(top))))
+        for name, c in (("i", x), ("j", y)):
+            own = F.floor(F.col(c) / size(F.col("level")))
+            at = at.withColumn(name, F.explode(F.sequence(own - reach, own + reach)) if reach else own)
+        return at
 
     dealt = tiles(hits.select(x, y), 0)
     occupied = dealt.select("level", "i", "j").distinct()
     near = tiles(cells.select(key, x, y), 1).join(occupied, ["level", "i", "j"])
     level = near.groupBy(key).agg(F.min("level").alias("level"), F.first(x).alias(x), F.first(y).alias(y))
     # Fine tiles under the coarse tile that a cell's level asks for.
-    up = F.explode(F.array(*map(F.lit, (0, 1, 2)))).alias("up")
-    fine = occupied.select(F.col("level").alias("f"), F.col("i").alias("fi"), F.col("j").alias("fj"), up).where("up = 2 or f = 0")
-    coarse = lambda c: F.floor(F.col(c) / F.pow(F.lit(4.0), F.col("up")))
+    up = F.explode(F.sequence(F.lit(0), F.lit(1))).alias("up")
+    fine = occupied.select(F.col("level").alias("f"), F.col("i").alias("fi"), F.col("j").alias("fj"), up).where("up = 1 or f = 0")
+    coarse = lambda c: F.floor(F.col(c) / F.pow(F.lit(2.0), F.col("up")))
     fine = fine.select("f", "fi", "fj", (F.col("f") + F.col("up")).alias("level"), coarse("fi").alias("i"), coarse("fj").alias("j"))
     pick = tiles(level, 3).join(fine, ["level", "i", "j"])
     low = lambda c, i: F.greatest(F.col(i) * size(F.col("f")) - F.col(c), F.col(c) - (F.col(i) + 1) * size(F.col("f")), F.lit(0.0))

@@ -19,7 +19,8 @@ def _both(left: DataFrame, right: DataFrame, keys: list[str], t: str, payload: l
     both = a.unionByName(b)
     w = Window.partitionBy(*keys)
     prev = F.last("r_", True).over(w.orderBy("t_", "left_").rowsBetween(Window.unboundedPreceding, 0))
-    nxt = F.first("r_", True).over(w.orderBy(F.col("t_"), F.col("left_").desc()).rowsBetween(0, Window.unboundedFollowing))
+    # Read backwards: a frame that runs to the end of the key would be gone through anew for every row.
+    nxt = F.last("r_", True).over(w.orderBy(F.col("t_").desc(), "left_").rowsBetween(Window.unboundedPreceding, 0))
     return both, prev, nxt
 
 
