@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import embeddings, fingerprints, html_text, jaccard, language, mixing, packing, secrets, substrings, token_files
+from . import centroids, embeddings, fingerprints, html_text, jaccard, language, mixing, packing, secrets, substrings, token_files
 
-_MODULES = (fingerprints, embeddings, secrets, packing, language, jaccard, substrings, token_files, mixing, html_text)
+_MODULES = (fingerprints, embeddings, secrets, packing, language, jaccard, substrings, token_files, mixing, html_text, centroids)
 
 
 def queries() -> dict:
