@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import centroids, embeddings, fingerprints, html_text, jaccard, language, mixing, packing, personal, secrets, substrings, token_files
+from . import centroids, embeddings, fingerprints, html_text, jaccard, language, mixing, packing, personal, secrets, spelling, substrings, token_files
 
-_MODULES = (fingerprints, embeddings, secrets, packing, language, jaccard, substrings, token_files, mixing, html_text, personal, centroids)
+_MODULES = (fingerprints, embeddings, secrets, packing, language, jaccard, substrings, token_files, mixing, html_text, personal, spelling, centroids)
 
 
 def queries() -> dict:
