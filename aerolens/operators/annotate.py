@@ -6,10 +6,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.scalars import colour_distance
-
-#: Rows of signatures that are broadcast at most; more are joined by shuffling.
-MOST_SIGNATURES = 10_000
+from ..functions.scalars import box, colour_distance, timecode
+from ..session import written
+from . import nearest, orderstats
+
+#: Signatures that every item is compared with at most; more are searched.
+MOST_SIGNATURES = 256
+#: Tolerances of chroma and lightness, and pixels of a crop on each side of its middle.
+TOL_AB, TOL_L, CROP = 8.0, 28.0, 128
 #: Where a colour was measured, classes of signatures, and the chroma below which one is neutral.
 SOURCES, KINDS, NEUTRAL = ("маска", "bbox", "нет"), ("предмет", "контроль", "ловушка"), 8.0
 #: Pixels of a side of the tiles on which pixels and boxes meet.
@@ -17,29 +21,44 @@ TILE = 64
 
 
 def nearest_signature(items: DataFrame, signatures: DataFrame, key: str, name: str, order: str) -> DataFrame:
-    """items (key, L, a, b) with the nearest signature (name, L, a, b), its distance and both parts; of equals, the first by order."""
-    s = signatures.select(F.col(name).alias("s_name"), F.col(order).alias("s_order"), *[F.col(c).alias(f"s_{c}") for c in "Lab"])
-    small = s.limit(MOST_SIGNATURES + 1).count() <= MOST_SIGNATURES
-    pairs = items.crossJoin(F.broadcast(s) if small else s)
-    d_ab, d_l = F.hypot(F.col("a") - F.col("s_a"), F.col("b") - F.col("s_b")), F.abs(F.col("L") - F.col("s_L"))
-    best = F.min(F.struct(colour_distance(d_ab, d_l).alias("d"), F.col("s_order").alias("o"), F.col("s_name").alias("name"), d_ab.alias("d_ab"), d_l.alias("d_l")))
-    got = pairs.groupBy(key).agg(best.alias("m_")).select(key, F.col("m_.name").alias("nearest"), F.col("m_.d").alias("dist"), F.col("m_.d_ab").alias("d_ab"), F.col("m_.d_l").alias("d_l"))
-    return items.join(got, key, "left")
+    """items (key, L, a, b) with the nearest signature (name, L, a, b), its distance and both parts; of equals, the first by order.
+
+    A few signatures are compared with every item; more are searched by nearest.nearest, in the space where a unit is the tolerance on each axis.
+    """
+    s = written(signatures.select(F.col(order).alias("o"), F.col(name).alias("name"), *[F.col(c).cast("double").alias(c) for c in "Lab"]), "signatures")
+    parts = lambda x, y: (F.hypot(x["a"] - y["a"], x["b"] - y["b"]), F.abs(x["L"] - y["L"]))
+    if s.limit(MOST_SIGNATURES + 1).count() <= MOST_SIGNATURES:
+        pairs = items.crossJoin(F.broadcast(s.select(F.struct("*").alias("s_"))))  # at most MOST_SIGNATURES
+        d = parts(F.struct(*"Lab"), F.col("s_"))
+        best = F.min(F.struct(colour_distance(*d).alias("d"), F.col("s_.o").alias("o"), F.col("s_").alias("object")))
+        got = pairs.groupBy(key).agg(best.alias("m_")).select(key, F.col("m_.d").alias("dist"), F.col("m_.object").alias("object"))
+    else:
+        places = [F.col(c) for c in "Lab"]
+        between = lambda p, o: colour_distance(F.hypot(p[1] - o["a"], p[2] - o["b"]), F.abs(p[0] - o["L"]))
+        got = nearest.nearest(items, key, places, s, places, places, between, ["o", "name"], [TOL_L, TOL_AB, TOL_AB])
+    out = items.join(got, key, "left")
+    d_ab, d_l = parts(F.struct(*"Lab"), F.col("object"))
+    return out.select(*items.columns, F.col("object.name").alias("nearest"), "dist", d_ab.alias("d_ab"), d_l.alias("d_l"))
 
 
 def median_and_mad(df: DataFrame, key: str, value: str) -> DataFrame:
-    """(key, n, med, mad): the median, and the median of the absolute differences from it."""
-    med = df.groupBy(key).agg(F.median(value).alias("med"))
-    return df.join(med, key).groupBy(key).agg(F.count(value).alias("n"), F.first("med").alias("med"), F.median(F.abs(F.col(value) - F.col("med"))).alias("mad"))
+    """(key, n, med, mad): the median, and the median of the absolute differences from it. A null key is left out."""
+    own = df.where(F.col(key).isNotNull()).select(key, value)
+    med = orderstats.quantiles(own, [key], F.col(value), [0.5]).select(key, "n", F.col("q")[0].alias("med"))
+    mad = orderstats.quantiles(own.join(med, key), [key], F.abs(F.col(value) - F.col("med")), [0.5]).select(key, F.col("q")[0].alias("mad"))
+    return med.join(mad, key)
 
 
 def _in_boxes(pixels: DataFrame, boxes: DataFrame, key: str) -> DataFrame:
-    """Pixels (frame, x, y, ...) with the key of each box (frame, x, y, w, h) that holds them. Both meet on tiles of TILE pixels."""
+    """Pixels (frame, x, y, ...) with the key of each box (frame, x, y, w, h) that holds them. Both meet on tiles of TILE pixels.
+
+    A negative corner moves to 0; the box keeps its width and height.
+    """
     tile = lambda c: F.floor(F.col(c) / TILE)
-    last = lambda c, size: F.floor((F.greatest(F.col(c), F.lit(0)) + F.col(size) - 1) / TILE)
-    some = boxes.where("w > 0 and h > 0").select(key, "frame", F.col("x").alias("x0"), F.col("y").alias("y0"), "w", "h")
-    span = lambda c, size: F.explode(F.sequence(F.floor(F.greatest(F.col(c), F.lit(0)) / TILE), last(c, size)))
-    some = some.where("x0 + w > 0 and y0 + h > 0").withColumn("i_", span("x0", "w")).withColumn("j_", span("y0", "h"))
+    corner = lambda c: F.greatest(F.col(c), F.lit(0))
+    some = boxes.where("w > 0 and h > 0").select(key, "frame", corner("x").alias("x0"), corner("y").alias("y0"), "w", "h")
+    span = lambda c, size: F.explode(F.sequence(tile(c), F.floor((F.col(c) + F.col(size) - 1) / TILE)))
+    some = some.withColumn("i_", span("x0", "w")).withColumn("j_", span("y0", "h"))
     own = pixels.withColumn("i_", tile("x")).withColumn("j_", tile("y"))
     return own.join(some, ["frame", "i_", "j_"]).where("x >= x0 and x < x0 + w and y >= y0 and y < y0 + h")
 
@@ -62,11 +81,18 @@ def box_mean(pixels: DataFrame, boxes: DataFrame, key: str, columns: tuple = ("r
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """(key, n, L, a, b, spread_L, spread_ab): medians, the median distance of L from its own and that of (a, b) from theirs."""
-    med = df.groupBy(key).agg(F.count("*").alias("n"), *[F.median(c).alias(f"{c}_") for c in "Lab"])
-    far = F.median(F.abs(F.col("L") - F.col("L_"))), F.median(F.hypot(F.col("a") - F.col("a_"), F.col("b") - F.col("b_")))
-    got = df.join(med, key).groupBy(key).agg(F.first("n").alias("n"), *[F.first(f"{c}_").alias(c) for c in "Lab"], far[0].alias("spread_L"), far[1].alias("spread_ab"))
-    return got.select(key, "n", "L", "a", "b", "spread_L", "spread_ab")
+    """(key, n, L, a, b, spread_L, spread_ab): medians, the median distance of L from its own and that of (a, b) from theirs. A null key is left out."""
+
+    def medians(rows: DataFrame, of: dict[str, Column]) -> DataFrame:
+        each = F.explode(F.array(*[F.struct(F.lit(k).alias("of_"), c.cast("double").alias("x_")) for k, c in of.items()]))
+        q = orderstats.quantiles(rows.select(key, each.alias("e_")).select(key, "e_.*"), [key, "of_"], F.col("x_"), [0.5])
+        return q.groupBy(key).agg(*[F.max(F.when(F.col("of_") == k, F.col("q")[0])).alias(k) for k in of])
+
+    own = df.where(F.col(key).isNotNull()).select(key, *"Lab")
+    med = medians(own, {f"{c}_": F.col(c) for c in "Lab"})
+    far = {"spread_L": F.abs(F.col("L") - F.col("L_")), "spread_ab": F.hypot(F.col("a") - F.col("a_"), F.col("b") - F.col("b_"))}
+    got = own.groupBy(key).agg(F.count("*").alias("n")).join(med, key).join(medians(own.join(med, key), far), key)
+    return got.select(key, "n", *[F.col(f"{c}_").alias(c) for c in "Lab"], *far)
 
 
 def usable(signatures: DataFrame, kind: str = "kind", chroma: str = "C", neutral: bool = False) -> tuple[DataFrame, DataFrame]:
@@ -91,11 +117,18 @@ def annotated(df: DataFrame, new: list[str], file: str, group: str, order: list[
     return df.select(*ranks, *new, *old)
 
 
-def with_crop(candidates: DataFrame, crops: DataFrame, group: str = "grp", ident: str = "i", path: str = "path") -> DataFrame:
-    """candidates with the path of their crop, <group>/crops/<number of four digits>.jpg, null if it is not there."""
-    name = F.format_string("%s/crops/%04d.jpg", F.col(group), F.col(ident))
-    there = crops.select(F.substring_index(path, "/", -3).alias("crop_"), F.col(path).alias("crop")).groupBy("crop_").agg(F.min("crop").alias("crop"))
-    return candidates.withColumn("crop_", name).join(there, "crop_", "left").drop("crop_")
+def with_crop(tracks: DataFrame, crops: DataFrame, folder: str = "folder", ident: str = "track", t: str = "t_best", bbox: str = "bbox", path: str = "path") -> DataFrame:
+    """tracks with crop, the path of their picture, null if it is not there, and its upper left corner in the frame.
+
+    A picture lies in crops beside the table, whose directory is `folder`, and is called after the track's number and best time, t0003_02m05s.jpg. It
+    reaches CROP pixels around the middle of the box, less at the edges of the frame: the corner is never negative.
+    """
+    name = F.format_string("t%04d_%s.jpg", F.col(ident).cast("int"), timecode(F.col(t)))
+    middle = box(F.col(bbox))
+    corner = F.struct(F.greatest(F.lit(0), middle["cx"] - CROP).alias("x"), F.greatest(F.lit(0), middle["cy"] - CROP).alias("y"))
+    there = crops.groupBy(F.regexp_replace(path, "/[^/]*$", "").alias("folder_"), F.substring_index(path, "/", -1).alias("name_")).agg(F.min(path).alias("crop"))
+    out = tracks.withColumn("folder_", F.concat(F.col(folder), F.lit("/crops"))).withColumn("name_", name).withColumn("corner", corner)
+    return out.join(there, ["folder_", "name_"], "left").drop("folder_", "name_")
 
 
 def top(df: DataFrame, order: list[Column], n: int = 10) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import orderstats
+
 #: Pixels that an object needs, and sizes of objects in metres.
 PIXELS, OBJECTS = 8, (1.00, 0.60, 0.17)
 
@@ -27,7 +29,11 @@ def summarize(df: DataFrame, key: str = "video", gsd: str = "gsd_cm", state: str
     known = F.when(F.col(state) == "ok", F.col(gsd))
     any_, n = F.count(known) > 0, F.count("*")
     shows = [F.when(any_, F.count_if(known <= s * 100 / PIXELS) / n).alias(f"shows_{round(s * 100)}") for s in OBJECTS]
-    return df.groupBy(key).agg(n.alias("n"), (F.count_if(F.col(state) == "no_focal") / n).alias("no_focal"), (F.count_if(F.col(state) == "above_horizon") / n).alias("sky"), F.median(known).alias("gsd_med"), F.percentile(known, F.lit(0.9)).alias("gsd_p90"), (F.median(known) * PIXELS).alias("obj8_med"), *shows)
+    counts = df.groupBy(key).agg(n.alias("n"), (F.count_if(F.col(state) == "no_focal") / n).alias("no_focal"), (F.count_if(F.col(state) == "above_horizon") / n).alias("sky"), *shows)
+    q = orderstats.quantiles(df, [key], known, [0.5, 0.9]).select(F.col(key).alias("key_"), "q")
+    out = counts.join(q, F.col(key).eqNullSafe(F.col("key_")))
+    med = F.col("q")[0]
+    return out.select(key, "n", "no_focal", "sky", med.alias("gsd_med"), F.col("q")[1].alias("gsd_p90"), (med * PIXELS).alias("obj8_med"), *[f"shows_{round(s * 100)}" for s in OBJECTS])
 
 
 def cell_totals(cells: DataFrame) -> DataFrame:

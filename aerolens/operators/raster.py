@@ -14,8 +14,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 STEP, MOST, HALVINGS = 5.0, 6000.0, 20
-#: Parts of a step in each of two rounds: together as fine as the halvings.
-SPLIT = 2 ** (HALVINGS // 2)
 MOST_BYTES = 256_000_000
 
 
@@ -47,32 +45,31 @@ class Terrain:
 
     def height(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         h, w = self.z.shape
-        ok = (x >= 0) & (y >= 0) & (x <= w - 1) & (y <= h - 1)
+        ok = (x >= 0) & (y >= 0) & (x < w - 1) & (y < h - 1)
         ix, iy = np.clip(np.where(ok, x, 0).astype(int), 0, max(0, w - 2)), np.clip(np.where(ok, y, 0).astype(int), 0, max(0, h - 2))
         fx, fy = x - ix, y - iy
         z = self.z
         out = z[iy, ix] * (1 - fx) * (1 - fy) + z[iy, ix + 1] * fx * (1 - fy) + z[iy + 1, ix] * (1 - fx) * fy + z[iy + 1, ix + 1] * fx * fy
         return np.where(ok, out, np.nan)
 
-    def cast(self, x, y, alt, e, n, u, cell: float = 1.0, lift: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
-        """(last step above, distance of the hit) of rays; NaN if a ray leaves the grid or ends first.
+    def march(self, x, y, alt, e, n, u, first, last, above, cell: float = 1.0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(above, out, step, dist) of rays after their steps from the numbers first to last; all rays take a step together.
 
-        A ray that starts below the ground is skipped until it is above. All rays take a step together.
+        above: whether a ray has been above the ground, before and after; out: whether it left the heights. A step that ends at or
+        below the ground after one above it is halved HALVINGS times for the distance; step and dist are NaN without one.
         """
-        m = len(x)
-        above, alive = np.zeros(m, bool), np.ones(m, bool)
-        step, dist = np.full(m, np.nan), np.full(m, np.nan)
-        gap = lambda d, k: alt[k] + u[k] * d - (self.height(x[k] + e[k] * d / cell, y[k] + n[k] * d / cell) + lift)
-        for d in np.arange(STEP, MOST + STEP / 2, STEP):
-            k = np.flatnonzero(alive)
-            if not len(k):
-                break
-            g = gap(d, k)
-            alive[k[np.isnan(g)]] = False
-            hit = k[(g <= 0) & above[k]]
-            alive[hit] = False
-            step[hit] = d
+        above, out = above.copy(), np.zeros(len(x), bool)
+        step, dist = np.full(len(x), np.nan), np.full(len(x), np.nan)
+        gap = lambda d, k: alt[k] + u[k] * d - self.height(x[k] + e[k] * d / cell, y[k] + n[k] * d / cell)
+        k, at = np.arange(len(x)), first.copy()
+        while len(k := k[at[k] <= last[k]]):
+            g = gap(at[k] * STEP, k)
+            hit = (g <= 0) & above[k]
+            step[k[hit]] = at[k[hit]] * STEP
+            out[k[np.isnan(g)]] = True
             above[k[g > 0]] = True
+            k = k[~hit & ~np.isnan(g)]
+            at[k] += 1
         k = np.flatnonzero(~np.isnan(step))
         lo, hi = step[k] - STEP, step[k].copy()
         for _ in range(HALVINGS):
@@ -80,25 +77,36 @@ class Terrain:
             up = gap(mid, k) > 0
             lo, hi = np.where(up, mid, lo), np.where(up, hi, mid)
         dist[k] = hi
-        return step, dist
+        return above, out, step, dist
+
+    def cast(self, x, y, alt, e, n, u, cell: float = 1.0, lift: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+        """(last step above, distance of the hit) of rays; NaN if a ray leaves the grid or ends first.
+
+        A ray that starts below the ground is skipped until it is above.
+        """
+        m = len(x)
+        return self.march(x, y, alt - lift, e, n, u, np.ones(m, int), np.full(m, int(MOST / STEP)), np.zeros(m, bool), cell)[2:]
+
+    def descend(self, x: np.ndarray, y: np.ndarray, cell: float = 1.0, stride: float = 12.0, probe: float = 15.0, most: int = 400, least_deg: float = 4.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(start, x, y) of the ways down, step by step: all starts go one stride along the steepest slope together.
 
-    def descend(self, x: float, y: float, cell: float = 1.0, stride: float = 12.0, probe: float = 15.0, most: int = 400, least_deg: float = 4.0) -> list[tuple[float, float]]:
-        """The way down from a place, until the slope is below least_deg, the grid ends, or after `most` steps."""
-        out = [(x, y)]
+        A way ends where the slope is below least_deg, where a height is missing, or after `most` strides.
+        """
+        reach, on, ways = probe / cell, np.arange(len(x)), [(np.arange(len(x)), x.astype(float), y.astype(float))]
+        at = np.stack([x, y]).astype(float)
         for _ in range(most):
-            p = probe / cell
-            z = self.height(np.array([x + p, x - p, x, x]), np.array([y, y, y + p, y - p]))
-            if np.isnan(z).any():
-                break
-            gx, gy = (z[0] - z[1]) / (2 * probe), (z[2] - z[3]) / (2 * probe)
-            slope = np.hypot(gx, gy)
-            if np.degrees(np.arctan(slope)) < least_deg:
-                break
-            x, y = x - gx / slope * stride / cell, y - gy / slope * stride / cell
-            if np.isnan(self.height(np.array([x]), np.array([y]))[0]):
+            px, py = at[:, on]
+            rise = np.stack([self.height(px + reach, py) - self.height(px - reach, py), self.height(px, py + reach) - self.height(px, py - reach)]) / (2 * probe)
+            slope = np.hypot(*rise)
+            steep = np.degrees(np.arctan(slope)) >= least_deg
+            on, to = on[steep], at[:, on[steep]] - rise[:, steep] / slope[steep] * stride / cell
+            there = ~np.isnan(self.height(*to))
+            on, to = on[there], to[:, there]
+            if not len(on):
                 break
-            out.append((x, y))
-        return out
+            at[:, on] = to
+            ways.append((on, *to))
+        return tuple(np.concatenate(c) for c in zip(*ways, strict=True))
 
 
 def cast_rays(rays: DataFrame, terrain: Terrain, key: str, cell: float = 1.0, forks: tuple = (0.0,)) -> DataFrame:
@@ -117,49 +125,25 @@ def cast_rays(rays: DataFrame, terrain: Terrain, key: str, cell: float = 1.0, fo
     return out.select(*[F.nanvl(c, F.lit(None).cast("double")).alias(c) if c in ("step", "dist", "hit_x", "hit_y") else c for c in out.columns])
 
 
-def _gaps(rays: DataFrame, grid: DataFrame, key: list[str], steps: Column, cell: float) -> DataFrame:
-    """(key, d, gap) of rays at each distance of an array: height above ground, null outside the grid. Four corners, one shuffle."""
-    s = rays.withColumn("d", F.explode(steps))
-    s = s.select(F.struct(*key, "d").alias("s_"), (F.col("x") + F.col("e") * F.col("d") / cell).alias("x"), (F.col("y") + F.col("n") * F.col("d") / cell).alias("y"), (F.col("alt") + F.col("u") * F.col("d") - F.col("lift")).alias("h"))
-    return bilinear_join(s, grid, "s_").select("s_.*", (F.col("h") - F.col("z")).alias("gap"))
-
-
-def cast_relational(rays: DataFrame, grid: DataFrame, key: str, cell: float = 1.0, forks: tuple = (0.0,)) -> DataFrame:
-    """What cast_rays gives, with joins only, for grids of any size.
-
-    The march finds the step in which a ray first meets the ground; two rounds of SPLIT parts each find the place in it.
-    """
-    first = lambda c: F.min(F.when(c, F.col("d")))
-    both = [key, "lift"]
-    r = rays.withColumn("lift", F.explode(F.array(*map(F.lit, forks))))
-    g = _gaps(r, grid, both, F.transform(F.sequence(F.lit(1), F.lit(int(MOST / STEP))), lambda i: i * F.lit(STEP)), cell)
-    up = g.groupBy(*both).agg(first(F.col("gap") > 0).alias("up_"), first(F.col("gap").isNull()).alias("out_"))
-    hit = g.join(up, both).where("gap <= 0 and d > up_ and (out_ is null or d < out_)").groupBy(*both).agg(F.min("d").alias("step"))
-    found, width = hit.withColumn("dist", F.col("step")), STEP
-    for _ in range(2):
-        parts = F.transform(F.sequence(F.lit(1), F.lit(SPLIT)), lambda i: F.col("dist") - F.lit(width) + i * F.lit(width / SPLIT))  # noqa: B023
-        at = _gaps(r.join(found, both), grid, both, parts, cell).where("gap <= 0").groupBy(*both).agg(F.min("d").alias("dist"))
-        found, width = found.drop("dist").join(at, both), width / SPLIT
-    place = lambda c, d: (F.col(c) + F.col(d) * F.col("dist") / cell).alias(f"hit_{c}")
-    return r.join(found, both, "left").select(*both, "step", "dist", place("x", "e"), place("y", "n"))
-
-
 def cast(rays: DataFrame, grid: DataFrame, key: str, cell: float = 1.0, forks: tuple = (0.0,)) -> DataFrame:
-    """cast_rays over a grid that fits one array, else cast_relational."""
+    """cast_rays over a grid that fits one array, else pyramid.cast_pyramid, which gives the same columns."""
+    from .pyramid import cast_pyramid
+
     terrain = Terrain.of(grid)
-    return cast_relational(rays, grid, key, cell, forks) if terrain is None else cast_rays(rays, terrain, key, cell, forks)
+    return cast_pyramid(rays, grid, key, cell, forks) if terrain is None else cast_rays(rays, terrain, key, cell, forks)
 
 
 def descents(starts: DataFrame, terrain: Terrain, key: str, **how: float) -> DataFrame:
-    """(key, i, x, y): the way down from each start (key, x, y). Each way is walked in its own row's task."""
+    """(key, i, x, y): the way down from each start (key, x, y). The starts of a batch go down together."""
     shared = starts.sparkSession.sparkContext.broadcast(terrain)  # at most MOST_BYTES
     kind = dict(starts.dtypes)[key]
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in parts:
-            for k, x, y in zip(p[key], p["x"], p["y"], strict=True):
-                way = shared.value.descend(x, y, **how)
-                yield pd.DataFrame({key: k, "i": range(len(way)), "x": [a for a, _ in way], "y": [b for _, b in way]})
+            start, x, y = shared.value.descend(p["x"].to_numpy(float), p["y"].to_numpy(float), **how)
+            way = pd.DataFrame({key: p[key].to_numpy()[start], "x": x, "y": y})
+            way.insert(1, "i", pd.Series(start).groupby(start).cumcount().to_numpy())
+            yield way
 
     return starts.select(key, F.col("x").cast("double"), F.col("y").cast("double")).mapInPandas(run, f"{key} {kind}, i long, x double, y double")
 

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from . import orderstats
+
 
 def _both(left: DataFrame, right: DataFrame, keys: list[str], t: str, payload: list[str]) -> tuple[DataFrame, object, object]:
     """left and right in one series; prev_ and next_ are the rows of right at or before and at or after."""
@@ -113,8 +115,8 @@ def until_failure(df: DataFrame, key: str, order: str, readable: Column) -> Data
 
 def focal_quartiles(estimates: DataFrame, key: str, f: str = "f") -> DataFrame:
     """(key, n, med, q25, q75) of the focal lengths above 0."""
-    q = F.percentile(f, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    return estimates.where(F.col(f) > 0).groupBy(key).agg(F.count("*").alias("n"), q.alias("q_")).select(key, "n", F.col("q_")[1].alias("med"), F.col("q_")[0].alias("q25"), F.col("q_")[2].alias("q75"))
+    q = orderstats.quantiles(estimates.where(F.col(f) > 0), [key], F.col(f), [0.5, 0.25, 0.75])
+    return q.select(key, "n", *[F.col("q")[i].alias(c) for i, c in enumerate(("med", "q25", "q75"))])
 
 
 def pan_pairs(df: DataFrame, key: str, dt: float = 0.5, every: float = 2.0, least: float = 0.4, most: float = 8.0) -> DataFrame:

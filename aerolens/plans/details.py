@@ -75,7 +75,7 @@ def q44_source_paths(spark, sf_dir):
 
 @query("""
 WITH p AS (SELECT (l_orderkey % 40)::VARCHAR AS frame, l_partkey % 200 AS x, l_suppkey % 90 AS y, floor(l_quantity * 5) AS L, floor(l_discount * 1000) + 100 AS a, floor(l_tax * 1000) + 90 AS b, l_linenumber >= 5 AS rare FROM lineitem),
-b AS (SELECT p_partkey AS box, (p_partkey % 40)::VARCHAR AS frame, p_partkey * 7 % 210 - 5 AS x0, p_partkey * 11 % 95 - 3 AS y0, p_size % 20 AS w, p_size % 13 AS h FROM part),
+b AS (SELECT p_partkey AS box, (p_partkey % 40)::VARCHAR AS frame, greatest(0, p_partkey * 7 % 210 - 5) AS x0, greatest(0, p_partkey * 11 % 95 - 3) AS y0, p_size % 20 AS w, p_size % 13 AS h FROM part),
 j AS (SELECT * FROM b JOIN p USING (frame) WHERE x >= x0 AND x < x0 + w AND y >= y0 AND y < y0 + h),
 m AS (SELECT box, count(*) FILTER (rare) AS n, median(L) AS la, median(a) AS aa, median(b) AS ba, median(L) FILTER (rare) AS lr, median(a) FILTER (rare) AS ar, median(b) FILTER (rare) AS br, trunc(avg(L))::INT AS ml FROM j GROUP BY 1)
 SELECT box, round(CASE WHEN n >= 3 THEN lr ELSE la END * 100 / 255, 6) AS "L", round(CASE WHEN n >= 3 THEN ar ELSE aa END - 128, 6) AS a, round(CASE WHEN n >= 3 THEN br ELSE ba END - 128, 6) AS b,

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -29,3 +30,20 @@ def shared_dir(spark: SparkSession) -> str:
     own = "file://" + tempfile.mkdtemp(prefix="aerolens-")
     spark.conf.set("spark.checkpoint.dir", own)
     return own
+
+
+def written(df: DataFrame, label: str) -> DataFrame:
+    """Write df to the shared folder and read it back: lineage ends there, and a lost executor loses nothing."""
+    path = f"{shared_dir(df.sparkSession)}/aerolens-{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def drop_written(*frames: DataFrame) -> None:
+    """Delete tables made by written() that nothing reads any more. Other tables stay."""
+    for df in frames:
+        spark = df.sparkSession
+        for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            if name.rsplit("/", 1)[1].startswith("aerolens-"):
+                path = spark._jvm.org.apache.hadoop.fs.Path(name)
+                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

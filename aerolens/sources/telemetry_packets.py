@@ -46,19 +46,22 @@ class Reader:
         raise Cut
 
     def items(self, strict: bool = False) -> Iterator[tuple[int, int, object]]:
-        """strict: Cut unless every field is whole, known and numbered. Else a short fixed field is left out, and a
+        """strict: Cut unless every field is whole and numbered and none is of the kinds 3, 4 and 6. Else a short fixed field is left out, and a
         short number or an unknown kind ends the packet."""
         size = len(self.data)
         while self.at < size:
             tag = self.varint()
             field, kind = tag >> 3, tag & 7
-            if strict and (not field or kind not in (0, 1, 2, 5)):
+            if strict and (not field or kind in (3, 4, 6)):
                 raise Cut
             if kind == 0:
                 yield field, 0, self.varint()
                 continue
             if kind not in (1, 2, 5):
-                return
+                if not strict:
+                    return
+                yield field, kind, None  # a tag of kind 7 stands alone
+                continue
             n = self.varint() if kind == 2 else {1: 8, 5: 4}[kind]
             raw = self.data[self.at : self.at + n]
             self.at += n

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from aerolens.functions import rules, scalars, text
-from aerolens.operators import annotate, catalog, coverage, detect, probe, raster, spatial, timeseries, tracking
+from aerolens.operators import annotate, catalog, coverage, detect, probe, pyramid, raster, spatial, timeseries, tracking
 from aerolens.plans import details, survey  # noqa: F401
 from aerolens.sources import sinks, tables, telemetry_packets
 
@@ -90,12 +90,12 @@ def test_ray_casts_agree_and_sky_has_no_hit(spark):
     rays = spark.createDataFrame([(1, 5.0, 20.0, 100.0, e, n, u), (2, 5.0, 20.0, 100.0, e, n, -u), (3, 5.0, 20.0, -50.0, e, n, u)], "id int, x double, y double, alt double, e double, n double, u double")
     kernel = {r["id"]: r for r in raster.cast_rays(rays, raster.Terrain.of(grid), "id", cell=10.0).collect()}
     forks = (0.0, 30.0, -30.0)
-    both = [sorted(map(tuple, raster.cast_rays(rays, raster.Terrain.of(grid), "id", cell=10.0, forks=forks).collect()), key=str), sorted(map(tuple, raster.cast_relational(rays, grid, "id", cell=10.0, forks=forks).collect()), key=str)]
+    both = [sorted(map(tuple, raster.cast_rays(rays, raster.Terrain.of(grid), "id", cell=10.0, forks=forks).collect()), key=str), sorted(map(tuple, pyramid.cast_pyramid(rays, grid, "id", cell=10.0, forks=forks, block=8).collect()), key=str)]
     assert len(both[0]) == 9 and all(a[:3] == b[:3] and all(x == y or math.isclose(x, y, abs_tol=1e-5) for x, y in zip(a[3:], b[3:])) for a, b in zip(*both))
     lifted = {r["lift"]: r["dist"] for r in raster.cast_rays(rays, raster.Terrain.of(grid), "id", cell=10.0, forks=forks).where("id = 1").collect()}
     assert all(abs(lifted[k] - (100 - 10 - k) / (math.sin(math.radians(20)) + 0.2 * e)) < 1e-3 for k in forks)
     assert raster.Terrain.of(grid.limit(0)) is None and raster.cast(rays, grid.limit(0), "id").where("dist is not null").count() == 0
-    joined = {r["id"]: r["step"] for r in raster.cast_relational(rays, grid, "id", cell=10.0).collect()}
+    joined = {r["id"]: r["step"] for r in pyramid.cast_pyramid(rays, grid, "id", cell=10.0).collect()}
     want = (100 - 10) / (math.sin(math.radians(20)) + 0.2 * e)
     assert abs(kernel[1]["dist"] - want) < 1e-3 and kernel[2]["dist"] is None and kernel[3]["dist"] is None
     assert {k: r["step"] for k, r in kernel.items()} == joined
@@ -124,7 +124,9 @@ def test_level_lines_are_chained(spark):
 
 def test_descent_goes_down():
     y, x = np.mgrid[:60, :60]
-    way = raster.Terrain(((x - 30.0) ** 2 + (y - 30.0) ** 2) * 1.0).descend(5.0, 50.0, cell=10.0)
+    way = raster.Terrain(((x - 30.0) ** 2 + (y - 30.0) ** 2) * 1.0).descend(np.array([5.0, 90.0]), np.array([50.0, 10.0]), cell=10.0)
+    assert way[0].tolist().count(1) == 1  # a start beyond the terrain stays where it is
+    way = [(a, b) for k, a, b in zip(*way) if k == 0]
     r = [math.hypot(a - 30, b - 30) for a, b in way]
     assert len(way) > 5 and r[-1] < 1.5 and all(b < a for a, b in zip(r, r[1:]) if a > 1.5)  # at the bottom it steps to and fro
     assert [x.tolist() for x in raster.contours(np.array([[0.0, 0.0], [10.0, 10.0]]), 5.0)] == [[[0.0, 0.5], [1.0, 0.5]]]
@@ -288,9 +290,11 @@ def test_lookups_tell_what_they_lack(spark):
     points = spark.createDataFrame([("tg", "open"), ("ai", "open"), ("ai", "open")], "src string, status string")
     rows = spark.createDataFrame([("tg", "open", "call")], "src string, status string, verdict string")
     assert [tuple(r) for r in catalog.unmatched(points, rows, ["src", "status"]).collect()] == [("ai", "open")]
-    cand = spark.createDataFrame([("DJI_1", 3), ("DJI_1", 4)], "grp string, i int")
-    crops = spark.createDataFrame([("/r/scans/DJI_1/crops/0003.jpg",)], "path string")
-    assert {r["i"]: r["crop"] for r in annotate.with_crop(cand, crops).collect()} == {3: "/r/scans/DJI_1/crops/0003.jpg", 4: None}
+    rows = [("/r/scans/A", 3, 125.9, "300,200,21,11"), ("/r/scans/A", 4, 5.0, "10,2,8,8"), ("/r/scans/B", 3, 125.9, "0,0,2,2"), ("/r/scans/A", 12, 600.0, "1,1,1,1")]
+    cand = spark.createDataFrame(rows, "folder string, track int, t_best double, bbox string")
+    crops = spark.createDataFrame([(f"/r/scans/A/crops/{x}.jpg",) for x in ("t0003_02m05s", "t0004_00m05s", "t0012_10m01s")] + [("/r/scans/B/t0003_02m05s.jpg",)], "path string")
+    got = {(r["folder"][-1], r["track"]): (r["crop"], tuple(r["corner"])) for r in annotate.with_crop(cand, crops).collect()}
+    assert got == {("A", 3): ("/r/scans/A/crops/t0003_02m05s.jpg", (182, 77)), ("A", 4): ("/r/scans/A/crops/t0004_00m05s.jpg", (0, 0)), ("B", 3): (None, (0, 0)), ("A", 12): (None, (0, 0))}
     assert catalog.token_join(spark.createDataFrame([], "t string"), crops, "t", "path").count() == 0
     assert probe.grid(spark, ["s", "o"], 3).count() == 2 * 11 * 4 * 3
 
