@@ -2,7 +2,7 @@
 
 Every word walks down a path-compressed trie. A state is (word, position, node, edits); a round joins all
 states with the edges that leave their nodes, and an edge lets a state pass if its label is what comes next in the word, or is so
-after one replaced, deleted or inserted code point, placed where the label first differs. States without an edit
+after one replaced, deleted or inserted code point, placed where the word leaves its own way. States without an edit
 are the words themselves, so they also make the next level of edges: words of a node that go on with the
 same code point form one edge, as long as what their least and greatest have in common. A state that ends on a word with one edit is a pair of neighbours.
 
@@ -43,68 +43,64 @@ def damaged_runs(docs: DataFrame, least: int = LEAST_LENGTH) -> DataFrame:
     return runs.select(F.when(F.col("h") % DAMAGED == 0, cut).otherwise(F.col("run")).alias("word")).where(F.length("word") >= least)
 
 
-def _after(text: Column, start: Column) -> Column:
-    return F.substring(text, start + 1, F.length(text))
-
-
 def common_length(a: Column, b: Column) -> Column:
     """Code points that two strings begin with alike."""
     differs = F.array_position(F.zip_with(F.split(a, ""), F.split(b, ""), lambda x, y: x.eqNullSafe(y)), F.lit(False)).cast("int") - 1
-    return F.when(a == b, F.length(a)).when(F.substring(a, 1, 1) != F.substring(b, 1, 1), 0).otherwise(differs)
+    return F.when(a == b, F.length(a)).otherwise(differs)
 
 
 def edges(states: DataFrame) -> DataFrame:
     """(way, node, first, label, child, word_ends, leaf) of the edges below the nodes of the states without an edit."""
-    own = states.where((F.col("edits") == 0) & (F.col("pos") < F.length("key")))
-    own = own.groupBy("way", "node", F.substring("key", F.col("pos") + 1, F.lit(1)).alias("first")).agg(F.min("key").alias("low"), F.max("key").alias("high"))
-    child = F.substring("low", F.lit(1), common_length(F.col("low"), F.col("high")))
-    own = own.withColumn("child", child)
-    return own.select("way", "node", "first", _after(F.col("child"), F.length("node")).alias("label"), "child", (F.col("low") == F.col("child")).alias("word_ends"), (F.col("low") == F.col("high")).alias("leaf"))
+    own = states.where("edits = 0 and rest <> ''").groupBy("way", "node", F.substring("rest", 1, 1).alias("first")).agg(F.min("key").alias("low"), F.max("key").alias("high"))
+    own = own.withColumn("child", F.substring("low", F.lit(1), common_length(F.col("low"), F.col("high"))))
+    label = F.substring("child", F.length("node") + 1, F.length("child"))
+    return own.select("way", "node", "first", label.alias("label"), "child", (F.col("low") == F.col("child")).alias("word_ends"), (F.col("low") == F.col("high")).alias("leaf"))
 
 
 def advanced(states: DataFrame) -> DataFrame:
-    """The states one level further down, with word_ends and leaf of their new node; only those that are a result or may become one."""
-    length = F.length("key")
-    second = F.col("pos") >= F.floor(length / 2)
-    met = states.join(edges(states), ["way", "node"]).where((F.substring("key", F.col("pos") + 1, F.lit(1)) == F.col("first")) | ((F.col("edits") == 0) & second))
-    met = met.withColumn("same", common_length(_after(F.col("key"), F.col("pos")), F.col("label")))
-    rest, label, end = lambda k: _after(F.col("key"), F.col("pos") + F.col("same") + k), lambda k: _after(F.col("label"), F.col("same") + k), F.col("pos") + F.length("label")
-    state = lambda pos, edits: F.struct(pos.cast("int").alias("pos"), edits.cast("int").alias("edits"))
-    exact = F.col("same") == F.length("label")
-    may = ~exact & (F.col("edits") == 0) & (F.col("pos") + F.col("same") >= F.floor(length / 2))
-    more = may & (F.col("pos") + F.col("same") < length)
-    one = F.lit(1)
-    moves = F.array(
-        F.when(exact, state(end, F.col("edits"))),
-        F.when(more & F.startswith(rest(1), label(1)), state(end, one)),  # replaced
-        F.when(more & F.startswith(rest(1), label(0)), state(end + 1, one)),  # deleted
-        F.when(may & F.startswith(rest(0), label(1)), state(end - 1, one)),  # inserted
+    """states (way, key, rest, node, edits) one level further down, with word_ends and leaf of the new node; only those that are a result or may become one.
+
+    rest is what the word has left. A state without an edit always passes the edge that its own word made; on any other edge the first
+    code point differs, so that is where the edit comes.
+    """
+    may = (F.col("edits") == 0) & (F.length("key") - F.length("rest") >= F.floor(F.length("key") / 2))
+    own = states.select("*", F.substring("rest", 1, 1).alias("next"), may.alias("may"))
+    below = edges(states).withColumn("tail", F.substring("label", F.lit(2), F.length("label"))).hint("shuffle_hash")  # one row an edge: even, and never many a partition
+    met = own.join(below, ["way", "node"]).where((F.col("next") == F.col("first")) | F.col("may"))
+    rest, label, tail, n = F.col("rest"), F.col("label"), F.col("tail"), F.length("label")
+    rest_1 = F.substring(rest, F.lit(2), F.length(rest))
+    state = lambda start, edits: F.struct(F.substring(rest, start, F.length(rest)).alias("rest"), F.lit(edits).alias("edits"))
+    edited = F.array(
+        F.when((rest != "") & F.startswith(rest_1, tail), state(n + 1, 1)),  # replaced
+        F.when((rest != "") & F.startswith(rest_1, label), state(n + 2, 1)),  # deleted
+        F.when(F.startswith(rest, tail), state(n, 1)),  # inserted
     )
-    went = met.select("way", "key", F.col("child").alias("node"), "word_ends", "leaf", F.explode(F.array_compact(moves)).alias("to"))
-    return went.select("way", "key", "to.pos", "node", "to.edits", "word_ends", "leaf").where(_is_pair() | _goes_on())
+    moves = F.when(F.col("next") != F.col("first"), F.array_compact(edited)).when(F.col("edits") == 0, F.array(state(n + 1, 0))).when(F.startswith(rest, label), F.array(state(n + 1, 1)))
+    went = met.select("way", "key", F.col("child").alias("node"), "word_ends", "leaf", F.explode(moves).alias("to"))
+    return went.select("way", "key", "to.rest", "node", "to.edits", "word_ends", "leaf").where(_is_pair() | _goes_on())
 
 
 def _is_pair() -> Column:
     """An edit and the whole word, or no edit and all but the last code point, at the end of a word."""
-    return F.col("word_ends") & (F.col("pos") + 1 - F.col("edits") == F.length("key"))
+    return F.col("word_ends") & (F.length("rest") == 1 - F.col("edits"))
 
 
 def _goes_on() -> Column:
-    return ~F.col("leaf") & ((F.col("edits") == 0) | (F.col("pos") < F.length("key")))
+    return ~F.col("leaf") & ((F.col("edits") == 0) | (F.col("rest") != ""))
 
 
 def neighbours(words: DataFrame) -> DataFrame:
     """(word, near) for all ordered pairs of distinct words (of six code points or more) that differ by exactly one edit; repeated words count once."""
     w = words.select("word").distinct()
     keys = w.select(F.lit(0).alias("way"), F.col("word").alias("key")).unionByName(w.select(F.lit(1).alias("way"), F.reverse("word").alias("key")))
-    states = written(keys.select("way", "key", F.lit(ROOT).alias("pos"), F.substring("key", 1, ROOT).alias("node"), F.lit(0).alias("edits")), "states")
+    states = written(keys.select("way", "key", F.substring("key", F.lit(ROOT + 1), F.length("key")).alias("rest"), F.substring("key", 1, ROOT).alias("node"), F.lit(0).alias("edits")), "states")
     levels = []
     while not states.isEmpty():
         level = written(advanced(states), "states")
         if not levels:
             drop_written(states)
         levels.append(level)
-        states = level.where(_goes_on()).select("way", "key", "pos", "node", "edits")
+        states = level.where(_goes_on()).select("way", "key", "rest", "node", "edits")
     turned = lambda c: F.when(F.col("way") == 0, F.col(c)).otherwise(F.reverse(c))
     pairs = [level.where(_is_pair()).select(turned("key").alias("word"), turned("node").alias("near")) for level in levels]
     found = written(reduce(DataFrame.unionByName, pairs).distinct(), "pairs") if pairs else w.select("word", F.col("word").alias("near")).limit(0)
