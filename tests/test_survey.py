@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from aerolens.functions import rules, scalars, text
 from aerolens.operators import annotate, catalog, coverage, detect, probe, pyramid, raster, spatial, timeseries, tracking
-from aerolens.plans import details, survey  # noqa: F401
+from aerolens.plans import details, many, survey  # noqa: F401
 from aerolens.sources import sinks, tables, telemetry_packets
 
 SF = "/root/testdata/sf0.001"
