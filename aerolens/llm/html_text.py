@@ -1,10 +1,9 @@
 """Main text of web pages by composite text density.
 
-A tolerant scan builds the element tree. Elements that say what they are (menus, forms, adverts, comments)
-go first, unless by their name alone they would take the article with them. For each remaining element, characters per
-tag are adjusted by its share of links; the element whose children's densities have the largest sum, whatever its tag,
-holds the article. The least density on its path to the body is the threshold below which lists of links inside it
-go as well.
+A tolerant scan builds the element tree. For every element of the whole tree, characters per tag are adjusted by its share
+of links; of the elements that hold blocks, the one whose children's densities have the largest sum holds the article, whatever its tag or name.
+The least density on its path to the body is the threshold at or below which lists inside it are menus and go. Inside the chosen
+element, and nowhere else, what reads like the article but is none goes by what it says it is: adverts, notices, forms, reader comments.
 """
 
 from __future__ import annotations
@@ -53,19 +52,15 @@ ENDS = {
     "tfoot": ({"tbody", "thead", "tfoot", "tr", "td", "th"}, {"table"}),
     "option": ({"option"}, {"select", "datalist"}),
 }
+#: Inside the chosen element these go, if their tag, role or a word of their class or id says so. Whatever lies outside it needs no list.
 DROP_TAGS = frozenset("nav footer aside form button select menu head dialog canvas object audio video svg math applet frameset datalist fieldset".split())
-DROP_ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
-DROP_NAMES = frozenset(
-    "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu sidebar "
-    "footer masthead breadcrumb breadcrumbs cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe signup login "
-    "comment comments disqus replies share sharing social related recommended widget toolbar pagination pager".split()
-)
+DROP_ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog".split())
+#: Prose that densities can't tell from an article's: adverts, notices, invitations and comments.
+DROP_NAMES = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo cookie cookies consent notice notices newsletter sidebar share comment comments disqus replies".split())
 NEVER_DROP = frozenset(["html", "body", "article", "main"])
 #: How sure a drop is: by tag or role, or by a word of its class or id only.
 SURE, NAMED = 1, 2
-#: Share of the page's text that no element is dropped with by its name, and links that make a list of links.
-MOST_TEXT, LIST_LINKS = 0.9, 3
-CONTAINERS = frozenset("body html article main section div td blockquote center details".split())
+LISTS = frozenset(["ul", "ol", "dl"])
 
 
 class Node:
@@ -175,38 +170,31 @@ def parse(page: str) -> Node:
     return root
 
 
-def spare(root: Node) -> None:
-    """Undo drops by name alone of elements that hold an article, a main part, or nearly all text of the page."""
-    nodes, todo = [], [root]
-    while todo:
-        n = todo.pop()
-        nodes.append(n)
-        todo.extend(x for x in n.items if isinstance(x, Node) and x.drop != SURE)
+def drops(chosen: Node) -> set[Node]:
+    """Elements inside the chosen one that go. A word of a name takes no article or main part along, and no names take the whole text."""
+    nodes = _in_order(chosen)[1:]
     holds: set[Node] = set()
     for n in reversed(nodes):
-        n.chars += sum(len("".join(x.split())) for x in n.items if isinstance(x, str))
-        if n.parent is not None:
-            n.parent.chars += n.chars
-            if n in holds or n.tag in ("article", "main"):
-                holds.add(n.parent)
-    for n in nodes:
-        if n.drop == NAMED and n.chars and (n in holds or n.chars >= MOST_TEXT * root.chars):
-            n.drop = 0
+        if n in holds or n.tag in ("article", "main"):
+            holds.add(n.parent)
+    named = {n for n in nodes if n.drop == NAMED and n not in holds}
+    sure = {n for n in nodes if n.drop == SURE}
+    return sure | named if text_of(chosen, sure | named) else sure
 
 
 def _in_order(root: Node) -> list[Node]:
-    """Elements that stay, each before its descendants."""
+    """All elements below and with root, each before its descendants."""
     out, todo = [], [root]
     while todo:
         n = todo.pop()
         out.append(n)
-        n.kids = [x for x in n.items if isinstance(x, Node) and not x.drop]
+        n.kids = [x for x in n.items if isinstance(x, Node)]
         todo.extend(n.kids)
     return out
 
 
 def measure(root: Node) -> list[Node]:
-    """Composite text density and the sum of the children's, for every element that stays."""
+    """Composite text density and the sum of the children's, for every element."""
     nodes = _in_order(root)
     for n in reversed(nodes):
         n.chars = sum(len("".join(x.split())) for x in n.items if isinstance(x, str))
@@ -229,16 +217,17 @@ def measure(root: Node) -> list[Node]:
 
 
 def main_node(nodes: list[Node]) -> tuple[Node, float]:
-    """The container with the largest sum of its children's densities, ties to the first on the page, and the threshold."""
-    best = max((n for n in nodes if n.chars and n.tag in CONTAINERS), key=lambda n: (n.total, n.chars), default=nodes[0])
+    """The element with the largest sum of its children's densities, of those that hold a block, ties to the first on the page; and the threshold."""
+    holding = (n for n in nodes if n.chars and any(k.tag in BLOCK and k.chars for k in n.kids))
+    best = max(holding, key=lambda n: (n.total, n.chars), default=nodes[0])
     threshold, n = best.density, best
     while n is not None:
         threshold, n = min(threshold, n.density), n.parent
     return best, threshold
 
 
-def text_of(node: Node, threshold: float) -> str:
-    """Text of the blocks of an element in page order, without lists of links that are below the threshold."""
+def text_of(node: Node, gone: set[Node]) -> str:
+    """Text of the blocks of an element in page order, without the elements in gone."""
     out: list[str] = []
     todo: list = [node]
     while todo:
@@ -249,7 +238,7 @@ def text_of(node: Node, threshold: float) -> str:
         if x is None:
             out.append(" ")
             continue
-        if x.drop or x is not node and x.tag in BLOCK and x.density <= threshold and x.link_tags >= LIST_LINKS and 2 * x.link_chars > x.chars:
+        if x in gone:
             continue
         block = x.tag in BLOCK
         if block:
@@ -263,10 +252,10 @@ def extract(page: str | None) -> str:
     """Main text of a page; empty for null, for an empty page, or if there is no text."""
     if not page:
         return ""
-    root = parse(page)
-    spare(root)
-    nodes = measure(root)
-    return text_of(*main_node(nodes))
+    nodes = measure(parse(page))
+    chosen, threshold = main_node(nodes)
+    menus = {n for n in _in_order(chosen) if n.tag in LISTS and n.link_tags and n.density <= threshold and n is not chosen}
+    return text_of(chosen, drops(chosen) | menus)
 
 
 OUT = T.StructType([T.StructField("page_id", T.LongType()), T.StructField("url", T.StringType()), T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
