@@ -113,20 +113,13 @@ def findings(docs: DataFrame, ledger: DataFrame, rule_version: str = RULE_VERSIO
 def redact(docs: DataFrame, ledger: DataFrame | None = None) -> DataFrame:
     """docs, all columns and rows, with MASK for each run of findings, and n_chars, if there is that column, of a text that changed.
 
-    Without a ledger, documents that some rule may match are set aside and scanned; the others pass by. With one, which
-    must know all blobs of docs, no text is scanned at all.
+    ledger must know all blobs of docs; without one, it is made here: each distinct text is scanned once, and
+    findings are joined back to all rows by the texts' hashes.
     """
-    own = [F.struct(*docs.columns).alias("d_"), F.col("text"), blob_id(F.col("text")).alias("blob_")]  # names of docs can't clash
     if ledger is None:
-        hit = may_hold(F.col("text"))
-        rest = docs.where(~hit)
-        risky = written(docs.where(hit).select(*own), "risky")
-        ledger = scan(risky.select("d_.doc_id", "text"))
-        known = _known(ledger)
-    else:
-        known = _known(ledger)
-        rest = docs.select(*own).join(known, "blob_", "left_anti").select("d_.*")
-        risky = docs.select(*own).join(known.select("blob_"), "blob_", "left_semi")
+        ledger = written(scan(docs.select("doc_id", "text")), "ledger")
+    rest = [c for c in docs.columns if c != "text"]
+    own = docs.select(F.struct(*rest).alias("d_"), F.col("text"), blob_id(F.col("text")).alias("blob_"))  # names of docs can't clash
     zero = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
@@ -135,11 +128,11 @@ def redact(docs: DataFrame, ledger: DataFrame | None = None) -> DataFrame:
         return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), add.alias("out"))
 
     clean = F.aggregate("found_", zero, step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"].cast("int") + 1, F.lit(2**31 - 1))))
-    done = risky.join(known, "blob_", "left").withColumn("new_", F.when(F.size("found_") > 0, clean))
+    done = own.join(_known(ledger), "blob_", "left").withColumn("new_", F.when(F.size("found_") > 0, clean))
     new = {"text": F.coalesce("new_", "text")}
     if "n_chars" in docs.columns:
         new["n_chars"] = F.coalesce(F.length("new_").cast("long"), F.col("d_.n_chars"))
-    return rest.unionByName(done.select(*[new.get(c, F.col("d_")[c]).alias(c) for c in docs.columns]))
+    return done.select(*[new.get(c, F.col("d_")[c]).alias(c) for c in docs.columns])
 
 
 def _known(ledger: DataFrame) -> DataFrame:
