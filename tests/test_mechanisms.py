@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from aerolens.operators import annotate, cover, nearest, orderstats, pyramid, raster, spatial
+from aerolens.operators import annotate, cover, detect, nearest, orderstats, pyramid, raster, regions, spatial
 from aerolens.sources import telemetry_packets
 
 
@@ -164,3 +164,36 @@ def test_a_tag_of_kind_seven_is_part_of_a_message():
     assert not any(telemetry_packets.is_message(bytes([1 << 3 | k])) for k in (3, 4, 6)) and not telemetry_packets.is_message(bytes([7]))
     inner = bytes([2 << 3, 5]) + bare + bytes([3 << 3, 6])
     assert telemetry_packets.decode(bytes([4 << 3 | 2, len(inner)]) + inner) == {"4.2": (5, None, None, None)}  # a message, which ends at the unknown kind
+
+
+def test_regions_over_tiles_equal_the_frame_kernel(spark):
+    rng = np.random.default_rng(21)
+    rows = []
+    for name, share in (("a", 0.08), ("b", 0.3), ("c", 0.5)):
+        mask = rng.random((90, 110)) < share
+        mask[20:24, 5:100] = mask[20:70, 40:44] = mask[66:70, 5:100] = True  # a region over many tiles
+        mask[80:86, 62:66] = True
+        rows += [(name, int(y) - 20, int(x) - 30, float(rng.integers(1, 9))) for y, x in zip(*np.nonzero(mask))]
+    rows.append(("lone", 5, 5, 1.0))
+    rare = spark.createDataFrame(rows, "frame string, y int, x int, rarity double")
+    got = {}
+    for mode, tile in (("sum", 32), ("max", 16)):
+        for r in regions.tiled_blobs(rare, mode, tile).collect():
+            got.setdefault((mode, r["frame"]), []).append(tuple(r)[1:])
+    seen = 0
+    for mode in ("sum", "max"):
+        for name in ("a", "b", "c", "lone"):
+            p = rare.where(F.col("frame") == name).toPandas()
+            want = sorted(tuple(map(float, r)) for r in detect.frame_blobs(p, mode).itertuples(index=False))
+            assert sorted(tuple(map(float, r)) for r in got.get((mode, name), [])) == want
+            seen += len(want)
+    assert seen > 20
+
+
+def test_labels_of_a_long_winding_region():
+    m = np.zeros((401, 401), bool)
+    m[::4] = True
+    m[::8, -1] = m[1::8, -1] = m[2::8, -1] = m[3::8, -1] = True
+    m[4::8, 0] = m[5::8, 0] = m[6::8, 0] = m[7::8, 0] = True
+    lab = detect.label(m)
+    assert lab.max() == 1 and (lab > 0).sum() == m.sum()
