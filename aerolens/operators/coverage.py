@@ -12,7 +12,8 @@ PIXELS, OBJECTS = 8, (1.00, 0.60, 0.17)
 
 
 def status(dist: Column, focal: Column) -> Column:
-    return F.when(dist.isNull(), "above_horizon").when(focal.isNull(), "no_focal").otherwise("ok")
+    """no_focal goes first: without a focal length nothing is cast."""
+    return F.when(focal.isNull(), "no_focal").when(dist.isNull(), "above_horizon").otherwise("ok")
 
 
 def classify(df: DataFrame, dist: str = "dist_m", focal: str = "f_px") -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from aerolens.functions import rules, scalars, text
 from aerolens.operators import annotate, catalog, coverage, detect, probe, pyramid, raster, spatial, timeseries, tracking
-from aerolens.plans import details, many, survey  # noqa: F401
+from aerolens.plans import details, journeys, many, survey  # noqa: F401
 from aerolens.sources import sinks, tables, telemetry_packets
 
 SF = "/root/testdata/sf0.001"
@@ -226,7 +226,7 @@ def test_summary_conserves_rows(spark):
     df = spark.createDataFrame([("v", 100.0, 2000.0), ("v", None, 2000.0), ("v", 50.0, None), ("w", None, None)], "video string, dist_m double, f_px double")
     got = {r["video"]: r for r in coverage.summarize(coverage.classify(df)).collect()}
     assert got["v"]["n"] == 3 and got["v"]["gsd_med"] == 5.0 and abs(got["v"]["shows_100"] - 1 / 3) < 1e-9
-    assert got["w"]["sky"] == 1.0 and got["w"]["shows_100"] is None
+    assert got["w"]["no_focal"] == 1.0 and got["w"]["sky"] == 0 and got["w"]["shows_100"] is None  # without a focal length nothing is cast
 
 
 def _packet(**more):
