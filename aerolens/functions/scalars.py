@@ -21,14 +21,6 @@ def number(text: Column) -> Column:
     return F.when(F.isnan(x) | (F.abs(x) == float("inf")), None).otherwise(x)
 
 
-def from_deci(x: Column) -> Column:
-    return x / 10
-
-
-def from_milli(x: Column) -> Column:
-    return x / 1000
-
-
 def ascii_text(b: Column) -> Column:
     return F.trim(F.translate(F.decode(b, "US-ASCII"), "\0", ""))
 

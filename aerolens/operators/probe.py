@@ -12,6 +12,8 @@ SITE_STEP, MARGIN = 64, 64
 TOP, TOP_TIGHT = 25, 10
 #: Pixels around an object's middle, besides half its size, and around a box, in which a blob counts.
 REACH, RIM = 6.0, 2
+#: Pixels of a side of the tiles on which objects and blobs meet.
+TILE = 64
 
 
 def grid(spark: SparkSession, backgrounds: list[str], repeats: int) -> DataFrame:
@@ -21,12 +23,19 @@ def grid(spark: SparkSession, backgrounds: list[str], repeats: int) -> DataFrame
 
 
 def first_match(objects: DataFrame, blobs: DataFrame, key: str) -> DataFrame:
-    """Rank (from 0) and score of the first blob near or around each object (frame, x, y, size); -1 if none is."""
+    """Rank (from 0) and score of the first blob near or around each object (frame, x, y, size); -1 if none is.
+
+    Both meet on tiles of their frame: an object on those within reach of it, a blob on those of its box and the rim.
+    """
+    over = lambda low, high: F.explode(F.sequence(F.floor(low / TILE), F.floor(high / TILE)))
+    reach = REACH + F.col("size") / 2
+    own = objects.withColumn("i_", over(F.col("x") - reach, F.col("x") + reach)).withColumn("j_", over(F.col("y") - reach, F.col("y") + reach))
     b = blobs.select("frame", F.col("x").alias("bx"), F.col("y").alias("by"), "w", "h", "score", "rank")
-    near = F.hypot(F.col("bx") + F.col("w") / 2 - F.col("x"), F.col("by") + F.col("h") / 2 - F.col("y")) <= REACH + F.col("size") / 2
+    b = b.withColumn("i_", over(F.col("bx") - RIM, F.col("bx") + F.col("w") + RIM)).withColumn("j_", over(F.col("by") - RIM, F.col("by") + F.col("h") + RIM))
+    near = F.hypot(F.col("bx") + F.col("w") / 2 - F.col("x"), F.col("by") + F.col("h") / 2 - F.col("y")) <= reach
     within = lambda at, low, size: F.col(at).between(F.col(low) - RIM, F.col(low) + F.col(size) + RIM)
     inside = within("x", "bx", "w") & within("y", "by", "h")
-    best = objects.join(b, "frame").where(near | inside).groupBy(key).agg(F.min(F.struct("rank", "score")).alias("m_"))
+    best = own.join(b, ["frame", "i_", "j_"]).where(near | inside).groupBy(key).agg(F.min(F.struct("rank", "score")).alias("m_"))
     return objects.join(best, key, "left").select(*objects.columns, F.coalesce(F.col("m_.rank"), F.lit(-1)).alias("rank"), F.col("m_.score").alias("score"))
 
 

@@ -223,13 +223,15 @@ def q17_raycast(spark, sf_dir):
 
 
 @query("""
-WITH RECURSIVE g AS (SELECT i // 40 AS iy, i % 40 AS ix, ((i // 40 - 17) * (i // 40 - 17) + 2 * (i % 40 - 23) * (i % 40 - 23) + (i * 7919 % 101)) * 1.0 AS z FROM range(1600) r(i)),
+WITH RECURSIVE g AS (SELECT iy, ix, ((iy - 17) * (iy - 17) + 2 * (ix - 23) * (ix - 23))::DOUBLE + 3 * avg(q) AS z FROM (SELECT l_orderkey % 40 AS iy, l_partkey % 40 AS ix, l_quantity AS q FROM lineitem) GROUP BY iy, ix),
 n AS (SELECT a.iy * 1048576 + a.ix AS id, b.iy * 1048576 + b.ix AS nx, row_number() OVER (PARTITION BY a.iy, a.ix ORDER BY b.z, b.iy, b.ix) AS r FROM g a JOIN g b ON abs(a.iy - b.iy) <= 1 AND abs(a.ix - b.ix) <= 1 AND b.z < a.z),
 s AS (SELECT id, nx FROM n WHERE r = 1),
 w AS (SELECT iy * 1048576 + ix AS start, 0 AS k, iy * 1048576 + ix AS place FROM g UNION ALL SELECT w.start, w.k + 1, s.nx FROM w JOIN s ON s.id = w.place WHERE w.k < 400)
 SELECT start, max(k) AS steps, max_by(place, k) AS stop FROM w GROUP BY 1""")
 def q18_descent(spark, sf_dir):
-    g = spark.range(1600).select(F.expr("id div 40").alias("iy"), F.expr("id % 40").alias("ix"), ((F.expr("(id div 40 - 17) * (id div 40 - 17) + 2 * (id % 40 - 23) * (id % 40 - 23) + (id * 7919 % 101)")) * F.lit(1.0)).alias("z"))
+    """The ways down from all places of a terrain: a bowl, roughened by the mean quantity of the order lines that fall on each place."""
+    g = _t(spark, sf_dir, "lineitem").groupBy((F.col("l_orderkey") % 40).alias("iy"), (F.col("l_partkey") % 40).alias("ix")).agg(F.avg("l_quantity").alias("q"))
+    g = g.select("iy", "ix", (F.expr("(iy - 17) * (iy - 17) + 2 * (ix - 23) * (ix - 23)").cast("double") + 3 * F.col("q")).alias("z"))
     s = raster.successors(g)
     return raster.descend(s.select("id"), s)
 

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from aerolens.operators import annotate, cover, detect, nearest, orderstats, pyramid, raster, regions, spatial
+from aerolens.operators import annotate, cover, detect, levels, nearest, orderstats, pyramid, raster, regions, spatial
 from aerolens.sources import telemetry_packets
 
 
@@ -197,3 +197,36 @@ def test_labels_of_a_long_winding_region():
     m[4::8, 0] = m[5::8, 0] = m[6::8, 0] = m[7::8, 0] = True
     lab = detect.label(m)
     assert lab.max() == 1 and (lab > 0).sum() == m.sum()
+
+
+def test_level_lines_are_whole_across_the_grid(spark):
+    y, x = np.mgrid[:61, :61]
+    z = np.minimum(np.hypot(x - 30.0, y - 30.0), 25.4)
+    z[:, :8] = x[:, :8] * 5.0  # open lines at the left
+    z += np.random.default_rng(3).normal(size=z.shape) * 1e-6
+    rows = [(int(i), int(j), float(z[i, j])) for i in range(61) for j in range(61)]
+    rows += [(i, 200 + j, None if (i, j) == (3, 3) else float(j)) for i in range(8) for j in range(8)]  # a gap ends lines
+    grid = spark.createDataFrame(rows, "iy int, ix int, z double").repartition(5)
+    got = levels.level_lines(grid, [10.5, 17.25, 3.5, 99.0])
+    lines = {}
+    for r in got.collect():
+        lines.setdefault((r["level"], tuple(r["line"])), []).append((r["i"], r["x"], r["y"]))
+    for k in lines:
+        lines[k].sort()
+        assert [i for i, _, _ in lines[k]] == list(range(len(lines[k])))
+    left = {lev: [np.array([p[1:] for p in v]) for (lv, _), v in lines.items() if lv == lev and v[0][1] < 100] for lev in (10.5, 17.25, 3.5)}
+    ring = max(left[10.5], key=len)
+    assert (ring[0] == ring[-1]).all() and np.abs(np.hypot(*(ring - 30).T) - 10.5).max() < 0.05 and len(ring) > 60
+    a, b = (ring[:-1] - 30).T, (ring[1:] - 30).T
+    turn = (a[0] * b[1] - a[1] * b[0]).sum()
+    assert turn < 0  # the ground rises outwards, so it is on the left when going clockwise
+    for lev in left:
+        want = raster.contours(z, lev)
+        assert sorted(len(a) for a in want) == sorted(len(a) for a in left[lev])
+        for a in left[lev]:
+            assert np.hypot(*np.diff(a, axis=0).T).max() <= 1.5 and any(len(a) == len(b) and np.allclose(sorted(map(tuple, np.round(a, 9))), sorted(map(tuple, np.round(b, 9)))) for b in want)
+    gap = [np.array([p[1:] for p in v]) for (lv, _), v in lines.items() if lv == 3.5 and v[0][1] > 100]
+    assert sorted(len(g) for g in gap) == [3, 4]
+    thin = levels.level_lines(grid.where("ix < 100"), [10.5], thin=2)
+    assert max(r["n"] for r in thin.groupBy("line").agg(F.count("*").alias("n")).collect()) == (len(ring) + 1) // 2
+    assert levels.level_lines(grid.limit(0), [1.0]).count() == 0
