@@ -495,6 +495,54 @@ def test_mixing(spark, docs, none):
     assert all(times[r["doc_id"]] in (0, r["taken"] // r["size"] * (2 if r["doc_id"] == 3 else 1)) or r["doc_id"] == 3 for r in got if r["size"])
 
 
+@pytest.mark.parametrize("most", [10_000, 40])
+def test_picks_equal_a_plain_sort_by_key(spark, most):
+    """Weights from 0.01 to 100 and one source with most documents: the budget's end is the same, however finely sources are cut."""
+    import struct
+
+    import xxhash
+
+    rng = random.Random(9)
+    rows = [(i, " ".join(["w"] * rng.choice([0, 1, 5, 30]) + [str(i)]), "big" if i % 8 else f"s{i % 3}") for i in range(1500)]
+    rows += [(5000 + i, "same text for all of these", "copies") for i in range(300)] + [(9000, None, None), (9001, "a b c", None), (None, "no id here", None)]
+    weight = {i: rng.choice([0.01, 0.5, 1.0, 2.0, 100.0]) for i in range(0, 1500, 2)}
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    got = mixing.mix(df, spark.createDataFrame(list(weight.items()), "doc_id long, weight double"), sorted_rows=most).collect()
+
+    def h(seed, *values):
+        for v in values:
+            if v is not None:
+                seed = xxhash.xxh64_intdigest(v.encode() if isinstance(v, str) else struct.pack("<q", v) if isinstance(v, int) else v, seed)
+        return seed
+
+    signed = lambda x: x - 2**64 if x >= 2**63 else x
+    plain = {}
+    for i, t, s in rows:
+        text = signed(h(42, t))
+        u = (h(h(42, struct.pack("<i", 0)), i, text) >> 11) + 1
+        plain.setdefault(s, []).append((-math.log(u / 2**53) / weight.get(i, 1.0), -(2**63) if i is None else i, text, len((t or "").split())))
+    facts = {r["source"]: (r["target"], r["source_size"]) for r in got}
+    want = Counter()
+    for s, own in plain.items():
+        target, size = facts[s]
+        epochs = math.floor(target / size) if size else 0
+        rest, upto = target - epochs * size, 0
+        for _, i, _, n in sorted(own):
+            upto += n
+            want[(i, n * (epochs + (upto - n / 2 <= rest)))] += 1
+    assert Counter((-(2**63) if r["doc_id"] is None else r["doc_id"], r["taken"]) for r in got) == want
+
+
+def test_no_set_of_keys_is_sorted_whole(spark):
+    """Of 30,000 documents, nearly all of weight 0.01, at most 500 are sorted together."""
+    rows = spark.range(30_000).select(F.lit("s").alias("key_"), (-F.log(mixing.uniform("id")) / F.when(F.col("id") % 50 == 0, 1.0).otherwise(0.01)).alias("draw_"), F.col("id").alias("doc_id"), F.xxhash64("id").alias("hash_"), F.lit(3).cast("long").alias("size"))
+    plan = spark.createDataFrame([("s", 44_444.0)], "key_ string, rest_ double")
+    whole = rows.orderBy("draw_").select("doc_id").limit(14_815).collect()
+    end = mixing.budget_ends(rows, plan, 500, 20).first()
+    assert end["stop_"]["doc_id"] not in {r[0] for r in whole} and end["last_"] is not None
+    assert rows.where(F.col("draw_") < end["stop_"]["draw_"]).count() == 14_815
+
+
 def test_heavier_documents_are_taken_more_often(spark):
     df = spark.createDataFrame([(i, f"w{i} b c d", "s") for i in range(2000)] + [(5000, "x " * 1000, "t")], "doc_id long, text string, source string")
     q = spark.createDataFrame([(i, 4.0 if i % 2 else 0.25) for i in range(2000)], "doc_id long, weight double")
