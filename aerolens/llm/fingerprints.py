@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import SPACE, SPACE_CHARS, ascii_lower, table
+from .common import SPACE, SPACE_CHARS, ascii_lower, table, written
 
 SAMPLES = 32
 WORDS = 5
@@ -24,6 +24,8 @@ BEHIND = 1e9
 #: Documents of a range that are sorted together, about, and the most ranges. Ranges' ends are broadcast: 16 bytes each.
 RANGE_ROWS = 256
 MOST_RANGES = 200_000
+#: A range is too full with so many times the rows of an even one, and is parted so many times at most.
+FULL, LEVELS = 4, 4
 COARSE = 64
 
 
@@ -91,14 +93,14 @@ def fingerprints(docs: DataFrame, samples: int = SAMPLES, words: int = WORDS) ->
     return sampled(exploded(with_terms(rows, "text", words)), ["row_", "doc_id"], samples).drop("row_")
 
 
-def _ranges(docs: DataFrame) -> tuple[Column, int]:
-    """A range number for each doc_id, rising with it, and how many there are: equal counts coarsely, equal widths within."""
+def _ranges(docs: DataFrame, range_rows: int = RANGE_ROWS) -> tuple[Column, int, int]:
+    """A range number for each doc_id, rising with it, how many there are, and of how many rows: equal counts coarsely, equal widths within."""
     steps = [i / COARSE for i in range(1, COARSE)]
     s = docs.select(F.count("*").alias("n"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.percentile_approx("doc_id", steps, 10_000).alias("q")).first()
     if s["lo"] is None:
-        return F.lit(0), 1
+        return F.lit(0), 1, s["n"]
     ends = sorted({*s["q"], s["hi"]})
-    each = max(1, min(MOST_RANGES, s["n"] // RANGE_ROWS) // len(ends))
+    each = max(1, min(MOST_RANGES, s["n"] // range_rows) // len(ends))
     lows = [s["lo"] - 1, *ends[:-1]]
 
     def pick(i: int, j: int) -> Column:
@@ -108,7 +110,29 @@ def _ranges(docs: DataFrame) -> tuple[Column, int]:
         m = (i + j) // 2
         return F.when(F.col("doc_id") <= ends[m - 1], pick(i, m)).otherwise(pick(m, j))
 
-    return F.when(F.col("doc_id").isNull(), 0).otherwise(pick(0, len(ends))).cast("int"), len(ends) * each
+    return F.when(F.col("doc_id").isNull(), 0).otherwise(pick(0, len(ends))).cast("int"), len(ends) * each, s["n"]
+
+
+def ranged(docs: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
+    """docs with range_, a number that rises with doc_id and that about range_rows rows share, whatever gaps the ids have.
+
+    Ranges of quantiles and equal widths are counted first; those that gaps made too full are parted at their own
+    quantiles, and once more where that wasn't enough. Rows of one id always share a range.
+    """
+    number, ranges, n = _ranges(docs, range_rows)
+    out, even = docs.withColumn("range_", number.cast("long")), max(range_rows, n / ranges)
+    for _ in range(LEVELS):
+        cuts = F.percentile_approx("doc_id", F.array(*[F.lit(i / COARSE) for i in range(1, COARSE)]), F.lit(20 * COARSE))
+        some = out.select("doc_id", "range_").groupBy("range_").agg(F.count("*").alias("n_"), F.min("doc_id").alias("low_"), F.max("doc_id").alias("top_"), cuts.alias("cuts_"))
+        each = F.greatest(F.lit(1), F.floor(COARSE * even / F.col("n_")).cast("int"))  # no more parts than the rows are worth
+        full = some.where((F.col("n_") > FULL * even) & (F.col("low_") < F.col("top_"))).select(F.col("range_").alias("r_"), F.filter("cuts_", lambda c, i: (c < F.col("top_")) & ((i + 1) % each == 0)).alias("cuts_"))
+        full = written(full, "ranges")
+        if full.isEmpty():
+            break
+        # At most MOST_RANGES / FULL rows, of less than COARSE ids, and together no more ids than twice the ranges: safe to broadcast.
+        part = F.when(F.col("r_").isNull() | F.col("doc_id").isNull(), 0).otherwise(F.size(F.filter("cuts_", lambda c: c < F.col("doc_id"))))
+        out = out.join(F.broadcast(full), F.col("range_") == F.col("r_"), "left").withColumn("range_", F.col("range_") * COARSE + part).drop("r_", "cuts_")
+    return out
 
 
 def with_next(docs: DataFrame) -> DataFrame:
@@ -117,8 +141,7 @@ def with_next(docs: DataFrame) -> DataFrame:
     Ties go by the texts' hashes and null ids come last. range_ and row_ name a row, and rows are clustered by
     range_. The highest row of the range below stands in each range as a guest, after its own rows.
     """
-    number, _ = _ranges(docs)
-    rows = docs.select("doc_id", "text", number.alias("range_"))
+    rows = ranged(docs.select("doc_id", "text"))
     ends = rows.groupBy("range_").agg(F.max("doc_id").alias("end_"))
     order, all_ = Window.orderBy("range_"), Window.partitionBy()
     guests = ends.select(F.when(F.row_number().over(order) == 1, F.max("end_").over(all_)).otherwise(F.lag("end_").over(order)).alias("guest_"), F.col("range_").alias("to_"))

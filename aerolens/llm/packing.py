@@ -10,6 +10,7 @@ that a third of all documents have is spread over many tasks.
 from __future__ import annotations
 
 import bisect
+import math
 import zlib
 from dataclasses import dataclass
 
@@ -201,6 +202,11 @@ def placements(counts: dict[int, int], capacity: int = CAPACITY) -> tuple[list[P
     return p.placed, p.bins
 
 
+def salts_of(counts: dict[int, int], capacity: int) -> list[int]:
+    """Parts in which the pieces of each length are ranked: of RANK_ROWS pieces, or, if that is more, as many parts as each has pieces."""
+    return [max(1, math.ceil(counts.get(s, 0) / max(RANK_ROWS, counts.get(s, 0) ** 0.5))) for s in range(capacity + 1)]
+
+
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Add sequence_id and offset to pieces that have `length`. Pieces must be cheap to read twice.
 
@@ -209,8 +215,8 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     spark = pieces.sparkSession
     counts = {int(r["length"]): r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `capacity` rows
     placed, _ = placements(counts, capacity)
-    salts = max(1, -(-sum(counts.values()) // RANK_ROWS))
-    keyed = pieces.withColumn("salt_", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)))
+    salts = salts_of(counts, capacity)
+    keyed = pieces.withColumn("salt_", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.array(*map(F.lit, salts))[F.col("length").cast("int")]))
     before = Window.partitionBy("length").orderBy("salt_").rowsBetween(Window.unboundedPreceding, -1)
     base = keyed.groupBy("length", "salt_").agg(F.count("*").alias("n_")).select("length", "salt_", F.coalesce(F.sum("n_").over(before), F.lit(0)).alias("base_"))
     within = Window.partitionBy("length", "salt_").orderBy("doc_id", "piece", "ids_crc32")

@@ -99,6 +99,22 @@ def test_fingerprints(spark, docs, none):
     assert all(len(v) == 1 for v in seen.values())
 
 
+def test_no_range_of_ids_fills_up(spark):
+    """Ids in blocks far apart, and one far from all others: no range has more than a few times its share, and ranges rise with ids."""
+    for ids in ([*range(12_000), 2**60], [s * 2**40 + i for s in range(3) for i in range(4000)], [7] * 50 + [None, None, *range(0, 10**15, 10**11)]):
+        df = spark.createDataFrame([(i,) for i in ids], "doc_id long").withColumn("text", F.lit("x"))
+        got = fingerprints.ranged(df, 32).groupBy("range_").agg(F.count("*").alias("n"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).orderBy("range_").collect()
+        assert sum(r["n"] for r in got) == len(ids) and max(r["n"] for r in got) <= 5 * 32
+        ends = [(r["lo"], r["hi"]) for r in got if r["lo"] is not None]
+        assert all(a[1] < b[0] for a, b in zip(ends, ends[1:]))
+        assert len(got) < 3 * len(ids) / 32 + 70
+
+
+def test_salts_follow_the_pieces_of_a_length():
+    salts = packing.salts_of({5: 10, 7: 100_000, 9: 10**12}, 1024)
+    assert len(salts) == 1025 and salts[5] == salts[6] == 1 and salts[7] == 50 and salts[9] == 10**6  # as many salts as pieces of each
+
+
 def _plain_samples(text, samples, words=5):
     """The least term's draw in each sample, by the formulas of consistent weighted sampling over all terms of a text."""
     import struct
