@@ -68,15 +68,22 @@ def span(df: DataFrame, key: str, column: str) -> DataFrame:
     return df.groupBy(key).agg(F.min(column).alias("low"), F.max(column).alias("high"))
 
 
-def label_places(line: Column, zoom: Column, minor: Column) -> Column:
-    """Vertices of a contour that carry its label: the middle one, and those at a sixth and five sixths of more than 80.
-    Minor contours have labels from zoom 15 on."""
-    n = F.size(line)
-    at = lambda share: F.get(line, F.floor(n * share).cast("int"))
-    places = F.when(n > 80, F.array(at(1 / 6), at(1 / 2), at(5 / 6))).otherwise(F.array(at(1 / 2)))
+def label_places(line: Column, zoom: Column, minor: Column, seen: Callable[[Column], Column] | None = None) -> Column:
+    """Vertices of a contour that carry its label: of those that are seen (all, if nothing else is asked), the middle one, and those at a sixth and
+    five sixths of more than 80. Minor contours have labels from zoom 15 on; a contour of which nothing is seen has none."""
+    there = line if seen is None else F.filter(line, seen)
+    n = F.size(there)
+    at = lambda share: F.get(there, F.floor(n * share).cast("int"))
+    places = F.when(n > 80, F.array(at(1 / 6), at(1 / 2), at(5 / 6))).when(n > 0, F.array(at(1 / 2))).otherwise(F.slice(there, 1, 0))
     return F.when(minor & (zoom < 15), F.slice(places, 1, 0)).otherwise(places)
 
 
+def in_view(south: float, north: float, west: float, east: float, rim: float = 0.05) -> Callable[[Column], Column]:
+    """Whether a vertex (lat, lon) lies in a viewport, by `rim` of its size within its edges."""
+    dy, dx = (north - south) * rim, (east - west) * rim
+    return lambda v: v["lat"].between(south + dy, north - dy) & v["lon"].between(west + dx, east - dx)
+
+
 def equalize(plane: np.ndarray, limit: float = 2.0, tiles: int = 8) -> np.ndarray:
     """Contrast-limited adaptive equalization of an eight-bit plane, blended between the tiles' curves."""
     h, w = plane.shape

@@ -54,7 +54,7 @@ def level_lines(grid: DataFrame, levels: list[float], thin: int = 1) -> DataFram
     """(level, line, i, x, y): the points of all level lines of a grid (iy, ix, z), in order, with the higher ground on the left where y grows upwards.
 
     line is the number of the edge that a line begins at, a closed one at its least edge, where it also ends. thin keeps every thin-th point of
-    each line from its first. Lines of a single point are left out.
+    each line from its first. Lines of which a single point is left are left out.
     """
     seg = written(crossings(grid, levels), "segments")
     # The last crossing of an open line is nobody's start; its place is that of the edge that it lies on.
@@ -91,11 +91,17 @@ def level_lines(grid: DataFrame, levels: list[float], thin: int = 1) -> DataFram
     place = _places(grid, ranked)
     again = place.where("closed and i = 0").withColumn("i", F.col("size") + 1)
     all_ = place.unionByName(again).where(f"size > 0 and i % {int(thin)} = 0")
+    all_ = all_.withColumn("left", F.count("*").over(Window.partitionBy("line"))).where("left > 1")
     out = written(all_.select("n.level", F.struct("line.at.iy", "line.at.ix", "line.at.across").alias("line"), (F.col("i") / thin).cast("long").alias("i"), "x", "y"), "lines")
     drop_written(*made)
     return out
 
 
+def in_degrees(lines: DataFrame, lat0: float, lon0: float, dlat: float, dlon: float) -> DataFrame:
+    """(level, line, i, lat, lon) with six decimals: lines of a grid whose corner (0, 0) lies at (lat0, lon0), northern rows first."""
+    return lines.select("level", "line", "i", F.round(lat0 - F.col("y") * dlat, 6).alias("lat"), F.round(lon0 + F.col("x") * dlon, 6).alias("lon"))
+
+
 def _ends(chain: DataFrame, opened: DataFrame, made: list) -> DataFrame:
     """(n, line, steps, closed) of open lines: line is the end of each crossing's way, found by the same jumps."""
     now = written(chain.join(opened, "n").select("n", F.coalesce("next", "n").alias("line"), "steps"), "ends")

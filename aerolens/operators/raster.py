@@ -87,10 +87,10 @@ class Terrain:
         m = len(x)
         return self.march(x, y, alt - lift, e, n, u, np.ones(m, int), np.full(m, int(MOST / STEP)), np.zeros(m, bool), cell)[2:]
 
-    def descend(self, x: np.ndarray, y: np.ndarray, cell: float = 1.0, stride: float = 12.0, probe: float = 15.0, most: int = 400, least_deg: float = 4.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def descend(self, x: np.ndarray, y: np.ndarray, cell: float = 1.0, stride: float = 12.0, probe: float = 15.0, most: int = 400, least_deg: float = 4.0, frame: tuple[float, float, float, float] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(start, x, y) of the ways down, step by step: all starts go one stride along the steepest slope together.
 
-        A way ends where the slope is below least_deg, where a height is missing, or after `most` strides.
+        A way ends where the slope is below least_deg, where a height is missing, where it would leave the frame (x0, y0, x1, y1), or after `most` strides.
         """
         reach, on, ways = probe / cell, np.arange(len(x)), [(np.arange(len(x)), x.astype(float), y.astype(float))]
         at = np.stack([x, y]).astype(float)
@@ -101,6 +101,8 @@ class Terrain:
             steep = np.degrees(np.arctan(slope)) >= least_deg
             on, to = on[steep], at[:, on[steep]] - rise[:, steep] / slope[steep] * stride / cell
             there = ~np.isnan(self.height(*to))
+            if frame is not None:
+                there &= (to[0] > frame[0]) & (to[1] > frame[1]) & (to[0] < frame[2]) & (to[1] < frame[3])
             on, to = on[there], to[:, there]
             if not len(on):
                 break
@@ -133,7 +135,7 @@ def cast(rays: DataFrame, grid: DataFrame, key: str, cell: float = 1.0, forks: t
     return cast_pyramid(rays, grid, key, cell, forks) if terrain is None else cast_rays(rays, terrain, key, cell, forks)
 
 
-def descents(starts: DataFrame, terrain: Terrain, key: str, **how: float) -> DataFrame:
+def descents(starts: DataFrame, terrain: Terrain, key: str, **how: object) -> DataFrame:
     """(key, i, x, y): the way down from each start (key, x, y). The starts of a batch go down together."""
     shared = starts.sparkSession.sparkContext.broadcast(terrain)  # at most MOST_BYTES
     kind = dict(starts.dtypes)[key]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -50,3 +52,28 @@ def with_preamble(df: DataFrame, preamble: str, columns: list[str]) -> DataFrame
 def map_json(df: DataFrame) -> DataFrame:
     """Each row as one JSON object, for a map."""
     return df.select(F.to_json(F.struct(*df.columns)).alias("json"))
+
+
+def map_document(groups: dict[str, DataFrame], **constants: object) -> DataFrame:
+    """One row with one JSON document of a map: constants as they are, and for each group its rows, in order of their columns, as a list.
+
+    It is what a browser loads, so it has the size of a page; groups are what is drawn, not what was computed from.
+    """
+    spark = next(iter(groups.values())).sparkSession
+    doc = spark.range(1).select(*[F.parse_json(F.lit(json.dumps(v, ensure_ascii=False))).alias(k) for k, v in constants.items()], F.lit(None).alias("none_"))
+    for name, df in groups.items():
+        rows = df.agg(F.sort_array(F.collect_list(F.struct(*df.columns))).alias(name))
+        doc = doc.crossJoin(F.broadcast(rows))  # one row
+    return doc.select(F.to_json(F.struct(*constants, *groups), {"ignoreNullFields": "false"}).alias("json"))
+
+
+def message_lines(messages: DataFrame) -> DataFrame:
+    """(topic, id, line): messages as the text of an export, a head, the text if there is one, and an empty line. Service messages are left out.
+
+    messages: (topic, id, ts, sender, text, media, action), ts a timestamp; media is the path of what came along.
+    """
+    note = F.when(F.col("media").isNotNull(), F.concat(F.lit(" [медиа: "), F.col("media"), F.lit("]"))).otherwise("")
+    head = F.concat(F.lit("["), F.date_format("ts", "yyyy-MM-dd HH:mm"), F.lit("] #"), F.col("id"), F.lit(" "), F.coalesce("sender", F.lit("")), F.lit(":"), note)
+    said = F.regexp_replace(F.coalesce("text", F.lit("")), r"^\s+|\s+$", "")
+    lines = F.concat(F.array(head), F.when(said != "", F.array(said)).otherwise(F.array().cast("array<string>")), F.array(F.lit("")))
+    return messages.where("action is null").select("topic", "id", F.array_join(lines, "\n").alias("line"))
