@@ -2,7 +2,8 @@
 
 Every word walks down a path-compressed trie. A state is (word, position, node, edits); a round joins all
 states with the edges that leave their nodes, and an edge lets a state pass if its label is what comes next in the word, or is so
-after one replaced, deleted or inserted code point, placed where the word leaves its own way. States without an edit
+after one replaced or deleted code point, placed where the word leaves its own way (what is inserted from one word is deleted
+from the other). States without an edit
 are the words themselves, so they also make the next level of edges: words of a node that go on with the
 same code point form one edge, as long as what their least and greatest have in common. A state that ends on a word with one edit is a pair of neighbours.
 
@@ -61,32 +62,31 @@ def advanced(states: DataFrame) -> DataFrame:
     """states (way, key, rest, node, edits) one level further down, with word_ends and leaf of the new node; only those that are a result or may become one.
 
     rest is what the word has left. A state without an edit always passes the edge that its own word made; on any other edge the first
-    code point differs, so that is where the edit comes.
+    code point differs, so that is where the edit comes. A pair is walked from one of its words only: code points are deleted, or
+    replaced by greater ones.
     """
     may = (F.col("edits") == 0) & (F.length("key") - F.length("rest") >= F.floor(F.length("key") / 2))
-    own = states.select("*", F.substring("rest", 1, 1).alias("next"), may.alias("may"))
+    own = states.select("*", F.substring("rest", 1, 1).alias("next"), F.when(may, F.substring("rest", 2, 1)).alias("second"))
     below = edges(states).withColumn("tail", F.substring("label", F.lit(2), F.length("label"))).hint("shuffle_hash")  # one row an edge: even, and never many a partition
-    met = own.join(below, ["way", "node"]).where((F.col("next") == F.col("first")) | F.col("may"))
-    rest, label, tail, n = F.col("rest"), F.col("label"), F.col("tail"), F.length("label")
+    replaced = F.col("second").isNotNull() & (F.col("next") < F.col("first"))
+    deleted = F.coalesce(F.col("second") == F.col("first"), F.lit(False)) & (F.col("next") != F.col("first"))
+    met = own.join(below, ["way", "node"]).where((F.col("next") == F.col("first")) | replaced | deleted)
+    rest, label, n = F.col("rest"), F.col("label"), F.length("label")
     rest_1 = F.substring(rest, F.lit(2), F.length(rest))
     state = lambda start, edits: F.struct(F.substring(rest, start, F.length(rest)).alias("rest"), F.lit(edits).alias("edits"))
-    edited = F.array(
-        F.when((rest != "") & F.startswith(rest_1, tail), state(n + 1, 1)),  # replaced
-        F.when((rest != "") & F.startswith(rest_1, label), state(n + 2, 1)),  # deleted
-        F.when(F.startswith(rest, tail), state(n, 1)),  # inserted
-    )
+    edited = F.array(F.when(replaced & F.startswith(rest_1, F.col("tail")), state(n + 1, 1)), F.when(deleted & F.startswith(rest_1, label), state(n + 2, 1)))
     moves = F.when(F.col("next") != F.col("first"), F.array_compact(edited)).when(F.col("edits") == 0, F.array(state(n + 1, 0))).when(F.startswith(rest, label), F.array(state(n + 1, 1)))
     went = met.select("way", "key", F.col("child").alias("node"), "word_ends", "leaf", F.explode(moves).alias("to"))
     return went.select("way", "key", "to.rest", "node", "to.edits", "word_ends", "leaf").where(_is_pair() | _goes_on())
 
 
 def _is_pair() -> Column:
-    """An edit and the whole word, or no edit and all but the last code point, at the end of a word."""
+    """At the end of a word, an edit and the whole key, or no edit and all of it but the last code point."""
     return F.col("word_ends") & (F.length("rest") == 1 - F.col("edits"))
 
 
 def _goes_on() -> Column:
-    return ~F.col("leaf") & ((F.col("edits") == 0) | (F.col("rest") != ""))
+    return ~F.col("leaf") & (F.col("rest") != "")
 
 
 def neighbours(words: DataFrame) -> DataFrame:
@@ -103,7 +103,8 @@ def neighbours(words: DataFrame) -> DataFrame:
         states = level.where(_goes_on()).select("way", "key", "rest", "node", "edits")
     turned = lambda c: F.when(F.col("way") == 0, F.col(c)).otherwise(F.reverse(c))
     pairs = [level.where(_is_pair()).select(turned("key").alias("word"), turned("node").alias("near")) for level in levels]
-    found = written(reduce(DataFrame.unionByName, pairs).distinct(), "pairs") if pairs else w.select("word", F.col("word").alias("near")).limit(0)
+    both = F.explode(F.array(F.struct("word", "near"), F.struct(F.col("near").alias("word"), F.col("word").alias("near")))).alias("p")
+    found = written(reduce(DataFrame.unionByName, pairs).select(both).select("p.*").distinct(), "pairs") if pairs else w.select("word", F.col("word").alias("near")).limit(0)
     for level in levels:
         drop_written(level)
     return found
