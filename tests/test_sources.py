@@ -1,10 +1,12 @@
 """Data sources and the delivering sink: files written by hand come back as rows, restarts repeat nothing, failures leave nothing."""
 
 import json
+import random
 import struct
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -171,3 +173,29 @@ def test_files_arrive_whole_or_not_at_all(spark, tmp_path):
     with pytest.raises(Exception, match="outside"):
         bad.write.format("delivery").mode("append").save(str(tmp_path))
     assert not (tmp_path / "e" / "ok.bin").exists() and not list(tmp_path.rglob("*.part")) and len(list((tmp_path / "_ledger").iterdir())) == 1
+
+
+def test_batches_of_packets_equal_one_by_one(spark):
+    rng = random.Random(1)
+    leaf = lambda: rng.choice([rng.randint(-5, 300), rng.random(), bytes(rng.randrange(256) for _ in range(rng.randint(0, 9))), 2**63 + 5])
+    tree = lambda d: {rng.randint(1, 20): tree(d - 1) if d and rng.random() < 0.5 else leaf() for _ in range(rng.randint(1, 5))}
+    packets = []
+    for k in range(1500):
+        b = bytearray(telemetry_packets.encode(tree(4)))
+        if k % 5 == 0:
+            b = b[: rng.randint(0, len(b))]
+        elif k % 5 == 1:
+            b[rng.randrange(len(b))] = rng.randrange(256)
+        elif k % 5 == 2:
+            b = b + b
+        packets.append(bytes(b))
+    deep = {1: 5}
+    for _ in range(12):
+        deep = {1: deep}
+    packets += [b"", None, telemetry_packets.encode(deep)]
+    plain = lambda d: {k: tuple(map(repr, v)) for k, v in d.items()}
+    for own in (packets, packets[700:703], [None], []):
+        got = telemetry_packets.decode_batch(pa.array(own, pa.binary())).to_pylist()
+        assert [plain({x["k"]: tuple(x["v"][c] for c in "idfb") for x in g}) for g in got] == [plain(telemetry_packets.decode(p or b"")) for p in own]
+    part = pa.array(packets, pa.binary()).slice(100, 50)
+    assert len(telemetry_packets.decode_batch(part)) == 50 and {x["k"] for x in telemetry_packets.decode_batch(part)[0].as_py()} == set(telemetry_packets.decode(packets[100]))
