@@ -145,7 +145,7 @@ def with_next(docs: DataFrame) -> DataFrame:
     ends = rows.groupBy("range_").agg(F.max("doc_id").alias("end_"))
     order, all_ = Window.orderBy("range_"), Window.partitionBy()
     guests = ends.select(F.when(F.row_number().over(order) == 1, F.max("end_").over(all_)).otherwise(F.lag("end_").over(order)).alias("guest_"), F.col("range_").alias("to_"))
-    # At most MOST_RANGES rows of 12 bytes: safe to broadcast.
+    # At most MOST_RANGES rows of 16 bytes, and as many again for each time that full ranges were parted: safe to broadcast.
     extra = docs.select("doc_id", "text").join(F.broadcast(guests), F.col("doc_id").eqNullSafe(F.col("guest_"))).select("doc_id", "text", F.col("to_").alias("range_"), F.lit(1).alias("is_guest_"))
     both = rows.select("doc_id", "text", "range_", F.lit(0).alias("is_guest_")).unionByName(extra).withColumn("hash_", F.xxhash64("text"))
     w = Window.partitionBy("range_").orderBy("is_guest_", F.col("doc_id").desc_nulls_last(), "hash_")
