@@ -111,10 +111,21 @@ def resorted(df: DataFrame, distance: str, order: str) -> DataFrame:
 
 
 def annotated(df: DataFrame, new: list[str], file: str, group: str, order: list[Column]) -> DataFrame:
-    """df with rank in its file and rank_in_group by order, then the new columns, then all others."""
+    """df with rank in its file and rank_in_group by order, then the new columns, then all others.
+
+    Rows are dealt to parts in order of file and rank, and a part's rows count on from the number of those in the parts before it, so that no task
+    holds a whole file or group; rows that are equal in all of order are in one part. A null file or group is one of its own.
+    """
+    parts = written(df.repartitionByRange(file, *order).withColumn("part_", F.spark_partition_id()), "parts")
+    n = parts.groupBy(F.col(file).alias("file_"), F.col(group).alias("group_"), F.col("part_").alias("at_")).agg(F.count("*").alias("n_"))
+    before = lambda *keys: F.coalesce(F.sum("n_").over(Window.partitionBy(*keys).orderBy("at_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    in_file = n.groupBy("file_", "at_").agg(F.sum("n_").alias("n_")).select("file_", "at_", before("file_").alias("in_file_"))
+    in_group = n.select("file_", "group_", "at_", before("file_", "group_").alias("in_group_"))
+    at = (F.col("part_") == F.col("at_")) & F.col(file).eqNullSafe(F.col("file_"))
+    own = parts.select("*", group_rank([file, "part_"], order).alias("rank_"), group_rank([file, group, "part_"], order).alias("rank_in_group_"))
+    own = own.join(in_file, at).drop("file_", "at_").join(in_group, at & F.col(group).eqNullSafe(F.col("group_")))
     old = [c for c in df.columns if c not in new]
-    ranks = [group_rank([file], order).alias("rank"), group_rank([file, group], order).alias("rank_in_group")]
-    return df.select(*ranks, *new, *old)
+    return own.select((F.col("rank_") + F.col("in_file_")).alias("rank"), (F.col("rank_in_group_") + F.col("in_group_")).alias("rank_in_group"), *new, *old)
 
 
 def with_crop(tracks: DataFrame, crops: DataFrame, folder: str = "folder", ident: str = "track", t: str = "t_best", bbox: str = "bbox", path: str = "path") -> DataFrame:

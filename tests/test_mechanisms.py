@@ -1,14 +1,18 @@
 """Order statistics, nearest objects, ring covers and terrain pyramids against brute force."""
 
 import math
+import os
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from aerolens.operators import annotate, cover, detect, levels, nearest, orderstats, pyramid, raster, regions, spatial
+from aerolens.plans import details, survey  # noqa: F401
 from aerolens.sources import telemetry_packets
 
+SF = "/root/testdata/sf0.001"
+
 
 @pytest.mark.parametrize("most", [100_000, 40])
 def test_quantiles_equal_sorted_values(spark, most):
@@ -230,3 +234,28 @@ def test_level_lines_are_whole_across_the_grid(spark):
     thin = levels.level_lines(grid.where("ix < 100"), [10.5], thin=2)
     assert max(r["n"] for r in thin.groupBy("line").agg(F.count("*").alias("n")).collect()) == (len(ring) + 1) // 2
     assert levels.level_lines(grid.limit(0), [1.0]).count() == 0
+
+
+def test_ranks_of_one_file_are_counted_on_over_parts(spark):
+    x = spark.range(3000).select(F.col("id").alias("i"), F.when(F.col("id") % 11 > 0, F.col("id") % 4).alias("grp"), F.when(F.col("id") % 5 > 0, F.col("id") * 37 % 101).alias("dist"), F.when(F.col("id") % 10 > 0, "one").alias("file"))
+    order = [F.col("dist").asc_nulls_last(), F.col("i")]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = annotate.annotated(x, ["dist"], "file", "grp", order)
+        assert got.columns == ["rank", "rank_in_group", "dist", "i", "grp", "file"]
+        rows = got.collect()
+        parts = spark.read.parquet(*{f.rsplit("/", 1)[0] for f in got.inputFiles()}).groupBy("part_").count().collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(parts) > 1 and max(r["count"] for r in parts) < 1500  # no task holds the file
+    want = x.select(annotate.group_rank(["file"], order).alias("rank"), annotate.group_rank(["file", "grp"], order).alias("rank_in_group"), "dist", "i", "grp", "file").collect()
+    assert sorted(map(tuple, rows), key=lambda r: r[3]) == sorted(map(tuple, want), key=lambda r: r[3])
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_q59_ranks_all_orders(spark):
+    n = spark.read.parquet(f"{SF}/orders.parquet").count()
+    got = survey.QUERIES["q59_annotated"](spark, SF)
+    assert sorted(r["rank"] for r in got.collect()) == list(range(1, n + 1))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "SinglePartition" not in plan
