@@ -82,6 +82,12 @@ def filed(data: bytes, window: int = WINDOW, gram: int = GRAM) -> tuple[np.ndarr
     return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
 
+def _keys(h: np.ndarray, bits: int) -> np.ndarray:
+    """Numbers of q-grams, whose first bits are their bucket. The least hash of a window is small, so that without a
+    scramble the first of 32 buckets would hold three quarters of all."""
+    return mix(h) >> _U(64 - bits - LOW_BITS)
+
+
 def _chunks(b: pa.RecordBatch):
     """(nul, id, h, text) of runs of rows within the limits of a chunk, in order of place within each run."""
     rows, size = [], 0
@@ -110,7 +116,7 @@ def _grams(bits: int, window: int, gram: int):
         for b in batches:
             for rows in _chunks(b):
                 hashes = [filed(r[3], window, gram)[0] for r in rows]
-                flat = np.concatenate(hashes) >> _U(64 - bits - LOW_BITS)
+                flat = _keys(np.concatenate(hashes), bits)
                 place = np.repeat(np.arange(len(rows), dtype=np.uint8), list(map(len, hashes)))
                 order = np.argsort(flat, kind="stable")
                 flat, place = flat[order], place[order]
@@ -197,7 +203,7 @@ def _stretches(bits: int, buckets: int, window: int, gram: int):
                     before = place
                     h, first, last = filed(text, window, gram)
                     own = np.frombuffer(grams, "<u8")
-                    key = h >> _U(64 - bits - LOW_BITS)
+                    key = _keys(h, bits)
                     at = np.minimum(np.searchsorted(own, key), len(own) - 1)
                     hit = np.flatnonzero(own[at] == key)
                     to = (mix(h[hit]) % _U(buckets)).tolist()

@@ -702,6 +702,15 @@ def test_filed_windows_cover_all_and_hang_on_the_window_alone(monkeypatch):
     assert {w: x for x, a, b in zip(h2.tolist(), f2.tolist(), l2.tolist()) for w in range(a, b + 1)} == at
 
 
+def test_buckets_of_grams_are_even(spark):
+    rng = np.random.default_rng(4)
+    rows = [(0, i, i, bytearray(rng.integers(97, 123, 3000).astype(np.uint8).tobytes())) for i in range(200)]
+    docs = spark.createDataFrame(rows, "nul int, id long, h long, text binary").coalesce(1)
+    grams = docs.mapInArrow(substrings._grams(5, 100, 20), substrings.GRAMS).where("bucket >= 0")
+    n = [r["n"] for r in grams.groupBy("bucket").agg((F.sum(F.length("low")) / 4).alias("n")).collect()]
+    assert len(n) == 32 and max(n) < 2 * sum(n) / 32
+
+
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables")
 @pytest.mark.parametrize("name", ["op2_embedding_near_dedup", "op3_secret_scan", "op6_ngram_jaccard_join", "op7_suffix_array_dedup"])
 def test_query_equals_its_sql(spark, name):
