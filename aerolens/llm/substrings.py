@@ -9,9 +9,9 @@ under one q-gram travel as one stretch of bytes.
    goes straight to where its q-grams come back, under a number below 0 that is no bucket.
 2. Stretches under q-grams that occur again go to buckets. Equal stretches of a task go once; places of the
    others pass by, again under numbers below 0.
-3. In a bucket, positions are sorted by their first bytes into initial buckets, which are refined by the bucket
-   numbers at later offsets; refined numbers are reused in the next round, so that 8 bytes grow to 24, 72
-   and 100 without comparing text again. Each final bucket keeps its earliest window.
+3. In a bucket, equal stretches of several tasks are one. Positions are sorted by their first bytes into initial
+   buckets, which are refined by the bucket numbers at later offsets; refined numbers are reused in the next round,
+   so that 8 bytes grow to 24, 72 and 100 without comparing text again. Each final bucket keeps its earliest window.
 4. What the other windows cover is cut from the documents.
 """
 
@@ -241,35 +241,39 @@ def _numbered(key: np.ndarray) -> np.ndarray:
     """Place of each key among the distinct keys."""
     order = np.argsort(key)
     k = key[order]
-    out = np.empty(len(key), np.int64)
-    out[order] = np.cumsum(np.concatenate([[0], k[1:] != k[:-1]]))
+    new = np.concatenate([[False], k[1:] != k[:-1]])
+    del k
+    out = np.empty(len(key), np.int32)
+    out[order] = np.cumsum(new, dtype=np.int32)
     return out
 
 
-def refine(data: np.ndarray, window: int = WINDOW) -> np.ndarray:
-    """Bucket numbers of all positions of data with `window` bytes after them: equal exactly if the windows are.
+def refine(data: np.ndarray, window: int = WINDOW, at: np.ndarray | None = None) -> np.ndarray:
+    """Bucket numbers of all positions of data with `window` bytes after them, or of those at `at`: equal exactly if the windows are.
 
     Initial buckets are by 8 bytes; each round sorts a position's bucket with the buckets at one or two later
     offsets: two if three numbers fit one key, so that 8 bytes grow to 24, 72 and 100.
     """
     n, have = len(data) - 7, 8
     if len(data) < window or window < 8:
-        return np.zeros(0, np.int64)
+        return np.zeros(0, np.int32)
     word = np.zeros(n, _U)
     for k in range(8):
         word |= data[k : k + n].astype(_U) << _U(8 * (7 - k))
     bucket = _numbered(word)
+    del word
     while have < window:
-        b = bucket.astype(_U)
-        if 3 * have <= window and len(b) < 1 << 21:
-            m = len(b) - 2 * have
-            bucket = _numbered(b[:m] << _U(42) | b[have : have + m] << _U(21) | b[2 * have :])
-            have *= 3
-        else:
-            step = min(have, window - have)
-            bucket = _numbered(b[: len(b) - step] << _U(32) | b[step:])
-            have += step
-    return bucket
+        later, bits = ((have, 2 * have), 21) if 3 * have <= window and len(bucket) < 1 << 21 else ((min(have, window - have),), 32)
+        m = len(bucket) - later[-1]
+        have += later[-1]
+        wanted = slice(None) if at is None or have < window else at
+        key = bucket[:m][wanted].astype(_U)
+        for k in later:
+            key <<= _U(bits)
+            key |= bucket[k : k + m][wanted].astype(_U)
+        bucket = _numbered(key)
+        del key
+    return bucket[at] if at is not None and window == 8 else bucket
 
 
 def _spans(window: int):
@@ -291,14 +295,24 @@ def _spans(window: int):
         doc = rank[np.frombuffer(b"".join(places), np.uint8) + np.repeat(base[:-1], list(map(len, places)))]
         length = np.frombuffer(b"".join(t["lengths"].to_pylist()), "<u4").astype(np.int64)
         start = np.frombuffer(b"".join(t["starts"].to_pylist()), "<u8").astype(np.int64)
-        data = np.frombuffer(b"".join(t["bytes"].to_pylist()), np.uint8)
+        raw = b"".join(t["bytes"].to_pylist())
         first = np.cumsum(length) - length
-        wins = length - window + 1
         by = np.lexsort((start, doc))  # windows in the order of their places
-        first, wins, start, doc = first[by], wins[by], start[by], doc[by]
+        first, length, start, doc = first[by], length[by], start[by], doc[by]
+        known: dict[bytes, int] = {}  # equal stretches of several tasks: the earliest stands for all
+        lead = np.array([known.setdefault(raw[x : x + n], k) for k, (x, n) in enumerate(zip(first.tolist(), length.tolist(), strict=True))], np.int64)
+        again = (doc != doc[lead]) | (start != start[lead])
+        og, fg, tg = doc[again], start[again], start[again] + length[again]
+        own = lead == np.arange(len(lead))
+        length, start, doc = length[own], start[own], doc[own]
+        data = np.frombuffer(b"".join(known), np.uint8)
+        del raw, known
+        first = np.cumsum(length) - length
+        wins = length - window + 1
         step = np.arange(wins.sum()) - np.repeat(np.cumsum(wins) - wins, wins)
+        bucket = refine(data, window, np.repeat(first, wins) + step) if len(step) else step
         o, w = np.repeat(doc, wins), np.repeat(start, wins) + step
-        bucket = refine(data, window)[np.repeat(first, wins) + step] if len(o) else o
+        del step
         lead = np.zeros(int(bucket.max(initial=0)) + 1, np.int64)
         lead[bucket[::-1]] = np.arange(len(o))[::-1]  # the first window of each bucket is written last
         lead = lead[bucket]
@@ -310,7 +324,7 @@ def _spans(window: int):
         new = np.concatenate([[True], (o[1:] != o[:-1]) | (w[1:] > w[:-1] + 1)]) if len(o) else np.zeros(0, bool)
         head = np.flatnonzero(new)
         end = w[np.append(head[1:], len(w)) - 1] + window if len(o) else w
-        o, lo, hi = np.concatenate([o[head], od]), np.concatenate([w[head], fd]), np.concatenate([end, td])
+        o, lo, hi = np.concatenate([o[head], od, og]), np.concatenate([w[head], fd, fg]), np.concatenate([end, td, tg])
         by = np.argsort(o, kind="stable")
         o, lo, hi = o[by], lo[by].astype("<u8"), hi[by].astype("<u8")
         docs, cut = np.unique(o, return_index=True)

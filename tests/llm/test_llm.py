@@ -5,6 +5,7 @@ import math
 import os
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -702,6 +703,36 @@ def test_filed_windows_cover_all_and_hang_on_the_window_alone(monkeypatch):
     assert {w: x for x, a, b in zip(h2.tolist(), f2.tolist(), l2.tolist()) for w in range(a, b + 1)} == at
 
 
+@pytest.mark.parametrize("window", [8, 13, 72, 100])
+def test_wanted_positions_are_refined_alike(window):
+    data = np.random.default_rng(5).integers(0, 2, 2000).astype(np.uint8)
+    data[1200:1500] = data[100:400]
+    at = np.arange(0, len(data) - window + 1, 3)
+    whole, own = substrings.refine(data, window)[at], substrings.refine(data, window, at)
+    assert (np.unique(own, return_inverse=True)[1] == np.unique(whole, return_inverse=True)[1]).all()
+
+
+def test_a_bucket_of_many_stretches_stays_small():
+    """Temporary arrays of a bucket hold less than 60 bytes a byte of its stretches."""
+    rng = np.random.default_rng(6)
+    n, size = 20_000, 126
+    data = rng.integers(97, 123, n * size).astype(np.uint8).tobytes()
+    pack = lambda x, kind: np.asarray(x, kind).tobytes()
+    row = {"bucket": 0, "bytes": data, "lengths": pack([size] * n, "<u4"), "starts": pack(np.arange(n) * size, "<u8"), "place": bytes(n), "nuls": b"\0", "ids": pack([1], "<i8"), "hs": pack([2], "<i8"), "done_place": b"", "done_from": b"", "done_to": b""}
+    twice = row | {"ids": pack([5], "<i8"), "bytes": data[: 10 * size], "lengths": pack([size] * 10, "<u4"), "starts": pack(np.arange(10) * size, "<u8"), "place": bytes(10)}
+    t = pa.Table.from_pylist([row, twice], schema=jaccard._schema(substrings.STRETCHES))
+    tracemalloc.start()
+    try:
+        got = substrings._spans(100)(t).to_pylist()
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert [r["id"] for r in got] == [5]
+    lo, hi = (np.frombuffer(got[0][c], "<u8").astype(np.int64) for c in ("low", "high"))
+    assert [x.tolist() for x in substrings.merged(lo, hi)] == [[0], [10 * size]]
+    assert peak < 60 * len(data)
+
+
 def test_buckets_of_grams_are_even(spark):
     rng = np.random.default_rng(4)
     rows = [(0, i, i, bytearray(rng.integers(97, 123, 3000).astype(np.uint8).tobytes())) for i in range(200)]
