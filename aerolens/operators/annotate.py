@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions.scalars import box, colour_distance, timecode
 from ..session import written
+from . import boxes as boxes_
 from . import nearest, orderstats
 
 #: Signatures that every item is compared with at most; more are searched.
@@ -16,8 +17,6 @@ MOST_SIGNATURES = 256
 TOL_AB, TOL_L, CROP = 8.0, 28.0, 128
 #: Where a colour was measured, classes of signatures, and the chroma below which one is neutral.
 SOURCES, KINDS, NEUTRAL = ("маска", "bbox", "нет"), ("предмет", "контроль", "ловушка"), 8.0
-#: Pixels of a side of the tiles on which pixels and boxes meet.
-TILE = 64
 
 
 def nearest_signature(items: DataFrame, signatures: DataFrame, key: str, name: str, order: str) -> DataFrame:
@@ -49,35 +48,21 @@ def median_and_mad(df: DataFrame, key: str, value: str) -> DataFrame:
     return med.join(mad, key)
 
 
-def _in_boxes(pixels: DataFrame, boxes: DataFrame, key: str) -> DataFrame:
-    """Pixels (frame, x, y, ...) with the key of each box (frame, x, y, w, h) that holds them. Both meet on tiles of TILE pixels.
+def box_colour(pixels: DataFrame, boxes: DataFrame, key: str, means: tuple[str, ...] = ()) -> DataFrame:
+    """(key, L, a, b, source): medians in CIE units over the rare pixels of each box, or over all if fewer than three are rare; and mean_{c}, the whole part of the mean, for each of means.
 
-    A negative corner moves to 0; the box keeps its width and height.
+    pixels: (frame, x, y, L, a, b, rare) in eight-bit planes. A box without a pixel has no colour. Keys of boxes are unique.
     """
-    tile = lambda c: F.floor(F.col(c) / TILE)
-    corner = lambda c: F.greatest(F.col(c), F.lit(0))
-    some = boxes.where("w > 0 and h > 0").select(key, "frame", corner("x").alias("x0"), corner("y").alias("y0"), "w", "h")
-    span = lambda c, size: F.explode(F.sequence(tile(c), F.floor((F.col(c) + F.col(size) - 1) / TILE)))
-    some = some.withColumn("i_", span("x0", "w")).withColumn("j_", span("y0", "h"))
-    own = pixels.withColumn("i_", tile("x")).withColumn("j_", tile("y"))
-    return own.join(some, ["frame", "i_", "j_"]).where("x >= x0 and x < x0 + w and y >= y0 and y < y0 + h")
-
-
-def box_colour(pixels: DataFrame, boxes: DataFrame, key: str) -> DataFrame:
-    """(key, L, a, b, source): medians in CIE units over the rare pixels of each box, or over all if fewer than three are rare.
-
-    pixels: (frame, x, y, L, a, b, rare) in eight-bit planes. A box without a pixel has no colour.
-    """
-    n = F.count_if("rare")
-    med = lambda c: F.when(n >= 3, F.median(F.when(F.col("rare"), F.col(c)))).otherwise(F.median(c)).alias(c)
-    got = _in_boxes(pixels, boxes, key).groupBy(key).agg(*[med(c) for c in "Lab"], F.when(n >= 3, SOURCES[0]).otherwise(SOURCES[1]).alias("source"))
-    got = got.select(key, (F.col("L") * 100 / 255).alias("L"), (F.col("a") - 128).alias("a"), (F.col("b") - 128).alias("b"), "source")
-    return boxes.select(key).join(got, key, "left").withColumn("source", F.coalesce("source", F.lit(SOURCES[2])))
+    got = boxes_.box_values(pixels, boxes, key, tuple("Lab"), means, "rare")
+    source = F.when(F.col("n").isNull(), SOURCES[2]).when(F.col("m") >= boxes_.LEAST_RARE, SOURCES[0]).otherwise(SOURCES[1])
+    lab = [(F.col("q.L") * 100 / 255).alias("L"), (F.col("q.a") - 128).alias("a"), (F.col("q.b") - 128).alias("b")]
+    return got.select(key, *lab, source.alias("source"), *[F.col(f"means.{c}").cast("int").alias(f"mean_{c}") for c in means])
 
 
 def box_mean(pixels: DataFrame, boxes: DataFrame, key: str, columns: tuple = ("r", "g", "b")) -> DataFrame:
-    """(key, columns): whole parts of the means over each box's pixels."""
-    return _in_boxes(pixels, boxes, key).groupBy(key).agg(*[F.avg(c).cast("int").alias(c) for c in columns])
+    """(key, columns): whole parts of the means over each box's pixels. Keys of boxes are unique."""
+    got = boxes_.box_values(pixels, boxes, key, (), tuple(columns))
+    return got.where("n is not null").select(key, *[F.col(f"means.{c}").cast("int").alias(c) for c in columns])
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:

@@ -84,9 +84,8 @@ def q45_box_colours(spark, sf_dir):
     li, pa = _t(spark, sf_dir, "lineitem"), F.col("p_partkey")
     pixels = li.select((F.col("l_orderkey") % 40).cast("string").alias("frame"), (F.col("l_partkey") % 200).alias("x"), (F.col("l_suppkey") % 90).alias("y"), F.floor(F.col("l_quantity") * 5).alias("L"), (F.floor(F.col("l_discount") * 1000) + 100).alias("a"), (F.floor(F.col("l_tax") * 1000) + 90).alias("b"), (F.col("l_linenumber") >= 5).alias("rare"))
     boxes = _t(spark, sf_dir, "part").select(pa.alias("box"), (pa % 40).cast("string").alias("frame"), (pa * 7 % 210 - 5).alias("x"), (pa * 11 % 95 - 3).alias("y"), (F.col("p_size") % 20).alias("w"), (F.col("p_size") % 13).alias("h"))
-    mean = annotate.box_mean(pixels, boxes, "box", ("L",)).select("box", F.col("L").alias("mean_l"))
-    out = annotate.box_colour(pixels, boxes, "box").join(mean, "box", "left")
-    return out.select("box", *[F.round(c, 6).alias(c) for c in "Lab"], "source", "mean_l")
+    out = annotate.box_colour(pixels, boxes, "box", ("L",))
+    return out.select("box", *[F.round(c, 6).alias(c) for c in "Lab"], "source", F.col("mean_L").alias("mean_l"))
 
 
 @query("""
