@@ -58,8 +58,8 @@ def q70_nearest_of_many_signatures(spark, sf_dir):
     lab = lambda c, f: [tenth(c, m, n, off).alias(x) for x, (m, n, off) in zip("Lab", f, strict=True)]
     s = _t(spark, sf_dir, "part").select(F.col("p_partkey").alias("ord"), F.col("p_partkey").cast("string").alias("name"), *lab("p_partkey", ((7919, 1000, 0), (104729, 1201, 60), (31, 1187, 60))))
     i = _t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), *lab("c_custkey", ((31, 997, 0), (7919, 1193, 60), (613, 1181, 60))))
-    out = annotate.nearest_signature(i, s, "id", "name", "ord")
-    return out.select("id", F.round("dist", 6).alias("dist"), (F.round("dist", 6) == 0).alias("same"))
+    dist = F.round(F.round("dist", 9), 6)  # as in SQL
+    return annotate.nearest_signature(i, s, "id", "name", "ord").select("id", dist.alias("dist"), (dist == 0).alias("same"))
 
 
 #: Terrain from order lines: a height for each of 40 x 40 places, the mean of the quantities there on a slope. Places without a line are missing.
