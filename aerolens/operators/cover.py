@@ -2,19 +2,25 @@
 
 A ring is laid over square tiles of a power of two, so that some thirty cover its longer side. Tiles that no edge
 comes near lie wholly inside or outside, which is told once for each; a point in such a tile meets no edge at all.
-Points in the other tiles are tested against the edges that reach their row of tiles, and no others.
+Points in the other tiles are tested against the edges that reach their row of tiles, and no others: the edges that pass
+a height are put in order once for all points of that height, so points and edges do not meet in pairs. Points of one place are one.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 from pyspark.sql.window import Window
 
 from ..session import drop_written, written
 
 #: Tiles along the longer side of a ring, about.
 ACROSS = 32
+#: Places of a row of tiles that a task tests at a time, about.
+PLACES = 100_000
 
 
 def _tile(c: Column, level: Column) -> Column:
@@ -73,6 +79,23 @@ def cover(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     return written(tiles, "tiles"), rows
 
 
+def _odd(key: tuple[pa.Scalar, ...], places: pa.Table, edges: pa.Table) -> pa.Table:
+    """The places of a row of tiles that lie to the left of an odd number of a ring's edges."""
+    px, py = (places.column(c).to_numpy() for c in ("px", "py"))
+    x1, y1, x2, y2 = (edges.column(c).to_numpy() for c in ("x1", "y1", "x2", "y2"))
+    order = np.argsort(py, kind="stable")
+    heights, start = np.unique(py[order], return_index=True)
+    odd = np.zeros(len(px), bool)
+    for y, mine in zip(heights, np.split(order, start[1:]), strict=True):
+        passes = np.flatnonzero((y1 > y) != (y2 > y))
+        at = (y - y1[passes]) * ((x2[passes] - x1[passes]) / (y2[passes] - y1[passes])) + x1[passes]
+        if len(mine) > 1:
+            odd[mine] = (len(at) - np.searchsorted(np.sort(at), px[mine], "right")) % 2 == 1
+        else:
+            odd[mine] = np.count_nonzero(at > px[mine]) % 2 == 1
+    return pa.table([px[odd], py[odd], pa.array([key[0].as_py()] * int(odd.sum()), key[0].type)], names=["px", "py", "ring"])
+
+
 def in_rings(points: DataFrame, key: str, rings: DataFrame, x: str = "x", y: str = "y", ring: str = "ring", seq: str = "seq") -> DataFrame:
     """(key, ring) of each point and each ring that holds it, by the even-odd rule.
 
@@ -82,13 +105,19 @@ def in_rings(points: DataFrame, key: str, rings: DataFrame, x: str = "x", y: str
     tiles, rows = cover(ring_edges(rings, ring, seq))
     levels = [r[0] for r in tiles.select("level").distinct().collect()]  # powers of two of ring sizes: few
     own = points.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(F.col(key).alias("point"), F.col(x).cast("double").alias("px"), F.col(y).cast("double").alias("py"))
-    own = own.withColumn("level", F.explode(F.array(*map(F.lit, levels)) if levels else F.array().cast("array<int>")))
-    own = own.withColumn("i", _tile(F.col("px"), F.col("level"))).withColumn("j", _tile(F.col("py"), F.col("level")))
-    met = written(own.join(tiles, ["level", "i", "j"]), "met")
-    near = met.where("inside is null").select("point", "px", "py", "ring", "level", "j").join(rows, ["ring", "level", "j"])
-    right = F.col("px") < _crossing(F.col("py"))
-    tested = near.groupBy("point", "px", "py", "ring").agg((F.count_if(right) % 2 == 1).alias("odd")).where("odd")
-    out = met.where("inside").select("point", "ring").unionByName(tested.select("point", "ring"))
-    out = written(out.select(F.col("point").alias(key), F.col("ring").alias(ring)), "in-rings")
+    places = own.select("px", "py").distinct()
+    places = places.withColumn("level", F.explode(F.array(*map(F.lit, levels)) if levels else F.array().cast("array<int>")))
+    places = places.withColumn("i", _tile(F.col("px"), F.col("level"))).withColumn("j", _tile(F.col("py"), F.col("level")))
+    met = written(places.join(tiles, ["level", "i", "j"]).select("ring", "level", "j", "px", "py", "inside"), "met")
+    at = ["ring", "level", "j"]
+    near = met.where("inside is null").select(*at, "px", "py")
+    # A row with many places is tested by several tasks, each at heights of its own.
+    parts = near.groupBy(*at).agg(F.ceil(F.count("*") / PLACES).alias("parts"))
+    near = near.join(parts, at).withColumn("part", F.pmod(F.xxhash64("py"), "parts"))
+    cut = rows.join(parts, at).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).select(*at, "part", "x1", "y1", "x2", "y2")
+    kind = StructType([StructField("px", DoubleType()), StructField("py", DoubleType()), StructField("ring", met.schema["ring"].dataType)])
+    tested = near.groupBy(*at, "part").cogroup(cut.groupBy(*at, "part")).applyInArrow(_odd, kind)
+    out = met.where("inside").select("px", "py", "ring").unionByName(tested)
+    out = written(own.join(out, ["px", "py"]).select(F.col("point").alias(key), F.col("ring").alias(ring)), "in-rings")
     drop_written(tiles, rows, met)
     return out
