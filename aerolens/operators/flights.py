@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars
+from ..session import written
 from . import coverage, detect, raster, spatial, timeseries, tracking
 
 #: Seconds around a sample whose focal estimates count, how many there must be, and the frame whose middle is looked at.
@@ -38,11 +39,10 @@ class Ground:
 
 def poses(telemetry: DataFrame, step: float, key: str = "video") -> DataFrame:
     """(video, i, t, lat, lon, alt, yaw, pitch) at regular times of each video; yaw is unwrapped before it is interpolated."""
-    rows = timeseries.unwrap_degrees(telemetry.where("yaw is not null"), [key], "t", "yaw", "turned").select(key, "t", F.col("turned").alias("yaw"))
-    out = timeseries.resample(telemetry, [key], "t", step)
-    for source, names in ((rows, ["yaw"]), *((telemetry.select(key, "t", c), [c]) for c in ("lat", "lon", "alt", "pitch"))):
-        out = timeseries.interpolate(out, source, [key], "t", names)
-    return out
+    others = ["lat", "lon", "alt", "pitch"]
+    rows = timeseries.unwrap_degrees(telemetry.where("yaw is not null"), [key], "t", "yaw", "turned").select(key, "t", F.col("turned").alias("yaw"), *others)
+    rows = rows.unionByName(telemetry.where("yaw is null").select(key, "t", F.lit(None).cast("double").alias("yaw"), *others))
+    return timeseries.interpolate_each(timeseries.resample(telemetry, [key], "t", step), rows, [key], "t", ["yaw", *others]).select(key, "i", "t", "yaw", *others)
 
 
 def looks(at: DataFrame, ground: Ground, ident: list[str]) -> DataFrame:
@@ -63,12 +63,11 @@ def focal_series(telemetry: DataFrame, shifts: DataFrame, key: str = "video", **
     shifts: (video, t0, dx, dy), how far the image moved from t0 on; a pair without one can't be read and tells nothing.
     """
     turned = timeseries.unwrap_degrees(telemetry, [key], "t", "yaw", "turned").select(key, "t", F.col("turned").alias("yaw"), "pitch")
-    found = timeseries.pan_pairs(turned, key, **pairs)
-    pairs_ = found
-    found = found.join(shifts.select(key, "t0", "dx", "dy"), [key, "t0"])
-    at = lambda c, t: timeseries.interpolate(pairs_.select(key, "t0", t.alias("t")), turned, [key], "t", ["yaw", "pitch"]).select(key, "t0", *[F.col(x).alias(f"{x}_{c}") for x in ("yaw", "pitch")])
-    for name, t in (("a", F.col("t0")), ("b", F.col("t1")), ("m", (F.col("t0") + F.col("t1")) / 2)):
-        found = found.join(at(name, t), [key, "t0"])
+    found = written(timeseries.pan_pairs(turned, key, **pairs).join(shifts.select(key, "t0", "dx", "dy"), [key, "t0"]), "pairs")
+    times = F.array(*[F.struct(F.lit(n).alias("of"), t.alias("t")) for n, t in (("a", F.col("t0")), ("b", F.col("t1")), ("m", (F.col("t0") + F.col("t1")) / 2))])
+    at = timeseries.interpolate(found.select(*found.columns, F.explode(times).alias("e")).select(*found.columns, "e.*"), turned, [key], "t", ["yaw", "pitch"])
+    of = [F.max(F.when(F.col("of") == n, F.col(c))).alias(f"{c}_{n}") for c in ("yaw", "pitch") for n in "abm"]
+    found = at.groupBy(*found.columns).agg(*of)
     f = scalars.focal_from_turn(F.col("dx"), F.col("dy"), F.col("yaw_b") - F.col("yaw_a"), F.col("pitch_b") - F.col("pitch_a"), F.col("pitch_m"))
     return found.select(key, ((F.col("t0") + F.col("t1")) / 2).alias("t"), f.alias("f")).where(scalars.in_focal_band(F.col("f")))
 

@@ -48,6 +48,24 @@ def interpolate(left: DataFrame, right: DataFrame, keys: list[str], t: str, valu
     return x.select("row_.*", *[at(v).alias(v) for v in values])
 
 
+def interpolate_each(left: DataFrame, right: DataFrame, keys: list[str], t: str, values: list[str]) -> DataFrame:
+    """interpolate() of each of values by the rows of right that have it, in one pass."""
+    rows = [F.when(F.col(v).isNotNull(), F.struct(F.col(t).alias("t"), F.col(v).alias("v"))).alias(f"{v}_r_") for v in values]
+    b = right.where(F.col(t).isNotNull()).select(*keys, F.col(t).alias("t_"), F.lit(0).alias("left_"), *rows)
+    a = left.select(*keys, F.col(t).alias("t_"), F.lit(1).alias("left_"), *[F.lit(None).cast(b.schema[f"{v}_r_"].dataType).alias(f"{v}_r_") for v in values], F.struct(*left.columns).alias("row_"))
+    both = a.unionByName(b.withColumn("row_", F.lit(None).cast(a.schema["row_"].dataType)))
+    w = Window.partitionBy(*keys)
+    near = lambda v, order: F.last(f"{v}_r_", True).over(w.orderBy(order, "left_").rowsBetween(Window.unboundedPreceding, 0))
+    x = both.select("left_", "row_", "t_", *[near(v, F.col("t_")).alias(f"{v}_p_") for v in values], *[near(v, F.col("t_").desc()).alias(f"{v}_n_") for v in values]).where("left_ = 1")
+
+    def at(v: str) -> Column:
+        p, n = F.col(f"{v}_p_"), F.col(f"{v}_n_")
+        line = p["v"] + (n["v"] - p["v"]) * ((F.col("t_") - p["t"]) / (n["t"] - p["t"]))
+        return F.when(p.isNull(), n["v"]).when(n.isNull() | (n["t"] == p["t"]), p["v"]).otherwise(line).alias(v)
+
+    return x.select("row_.*", *map(at, values))
+
+
 def unwrap_degrees(df: DataFrame, keys: list[str], t: str, angle: str, out: str = "unwrapped") -> DataFrame:
     """Add the angle without jumps: each step is taken the short way round, a half turn in its own direction."""
     w = Window.partitionBy(*keys).orderBy(t)
@@ -81,6 +99,23 @@ def resample(df: DataFrame, keys: list[str], t: str, step: float) -> DataFrame:
     return ends.select(*keys, "lo_", F.explode(F.sequence(F.lit(0).cast("long"), n)).alias("i")).select(*keys, "i", (F.col("lo_") + F.col("i") * step).alias(t))
 
 
+def resampled(df: DataFrame, keys: list[str], t: str, step: float, values: list[str]) -> DataFrame:
+    """What resample() and interpolate() give together, keys, i, t and values without gaps, but only the rows of df are shuffled: regular times come up between them."""
+    w = Window.partitionBy(*keys)
+    row = lambda c: F.lead(c).over(w.orderBy(t)).alias(f"{c}_")
+    own = df.where(" and ".join(f"{c} is not null" for c in (t, *values)))
+    own = own.select(*keys, t, *values, row(t), *map(row, values), F.min(t).over(w).alias("lo_"), F.max(t).over(w).alias("hi_"))
+    last, place = F.col(f"{t}_").isNull(), lambda c: F.floor((F.col(c) - F.col("lo_")) / step)
+    # One more on both sides for rounding; which row a time belongs to is told by the time itself.
+    first, end = F.greatest(place(t) - 1, F.lit(0)), F.least(F.coalesce(place(f"{t}_") + 1, place("hi_")), place("hi_"))
+    own = own.withColumn("i", F.explode(F.filter(F.sequence(first, F.greatest(first, end)), lambda i: i <= end)))
+    at = F.col("lo_") + F.col("i") * step
+    own = own.withColumn("at_", at).where((F.col("at_") >= F.col(t)) & (last | (F.col("at_") < F.col(f"{t}_"))))
+    share = (F.col("at_") - F.col(t)) / (F.col(f"{t}_") - F.col(t))
+    line = lambda v: F.when(last | (F.col("at_") == F.col(t)), F.col(v)).otherwise(F.col(v) + (F.col(f"{v}_") - F.col(v)) * share).alias(v)
+    return own.select(*keys, "i", F.col("at_").alias(t), *map(line, values))
+
+
 def lead_time(keys: list[str], t: str, default: float = 1 / 30) -> Column:
     """The next time of the key, or `default` later for the last."""
     return F.coalesce(F.lead(t).over(Window.partitionBy(*keys).orderBy(t)), F.col(t) + default)
@@ -127,7 +162,7 @@ def pan_pairs(df: DataFrame, key: str, dt: float = 0.5, every: float = 2.0, leas
     so only the marks of one chain are gone through in order.
     """
     series = df.select(key, "t", "yaw", "pitch").dropna(subset=["t", "yaw", "pitch"])
-    at = interpolate(resample(series, [key], "t", dt), series, [key], "t", ["yaw", "pitch"])
+    at = resampled(series, [key], "t", dt, ["yaw", "pitch"])
     w = Window.partitionBy(key).orderBy("i")
     turn = [F.abs(F.lead(c).over(w) - F.col(c)) for c in ("yaw", "pitch")]
     size, one_axis = F.hypot("dy_", "dp_"), F.greatest("dy_", "dp_") > 2 * F.least("dy_", "dp_")
